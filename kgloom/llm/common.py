@@ -69,12 +69,22 @@ def bases(totals: dict[int, int]) -> dict[int, int]:
     return out
 
 
+#: Rows up to which a driver-made table may be broadcast (some 20 MB at two or three numbers a row).
+BROADCAST_ROWS = 1_000_000
+
+
+def driver_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table made on the driver, broadcast in joins only where its row count is within the bound."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+
 def with_base(df: DataFrame, part: str, amount: str, out: str) -> DataFrame:
     """Adds the sum of ``amount`` over all lower partitions. ``df`` must be a written table.
 
     One row per partition comes to the driver; the number of partitions is the number of tasks
-    of the writing stage, which Spark's driver tracks anyway. The small table goes back through
-    an ordinary join, which Spark broadcasts only below its size threshold.
+    of the writing stage, which Spark's driver tracks anyway. The small table goes back as a
+    broadcast, or through an ordinary join where it is too long for that.
     """
     spark = df.sparkSession
     sums = {r[0]: r[1] for r in df.groupBy(part).agg(F.sum(amount)).collect()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import packing
+from kgloom.llm import exact_dedup, mixing, packing, sharding, simhash, simple8b
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -25,9 +25,37 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE)))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = simple8b.write_files(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+    return simple8b.digest(simple8b.read_files(files))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.groups(table(spark, sf_dir, "documents")))
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.digest(exact_dedup.annotate(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing}
+    return {
+        "op1_packing": op1_packing,
+        "op2_sharding": op2_sharding,
+        "op6_mixing": op6_mixing,
+        "op7_simple8b": op7_simple8b,
+        "op8_simhash": op8_simhash,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_exact_dedup": exact_dedup.SQL}
