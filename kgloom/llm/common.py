@@ -89,7 +89,7 @@ def with_base(df: DataFrame, part: str, amount: str, out: str) -> DataFrame:
     spark = df.sparkSession
     sums = {r[0]: r[1] for r in df.groupBy(part).agg(F.sum(amount)).collect()}
     kind = dict(df.dtypes)[part]
-    base = spark.createDataFrame(list(bases(sums).items()), f"`{part}` {kind}, `{out}` bigint")
+    base = driver_table(spark, list(bases(sums).items()), f"`{part}` {kind}, `{out}` bigint")
     return df.join(base, part)
 
 
