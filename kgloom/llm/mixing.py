@@ -35,6 +35,7 @@ from kgloom.llm import common
 BLOCK, SEED = 64, 17
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
 WORD = r"[^\x20\x09-\x0D]+"
+_SPACED = r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"
 
 
 def targets(sizes: list[int], weights: list[int], share: Fraction = SHARE, most: int = MOST) -> list[Fraction]:
@@ -127,7 +128,7 @@ def _overlap(a, b, lo, hi):
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: Fraction = SHARE, most: int = MOST, block: int = BLOCK, seed: int = SEED,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, passes, spans.
+    """One row per document: doc_id, tie (a hash of its text), source, size, source_size, target, taken, passes, spans.
 
     ``passes`` is how often the whole document is taken; ``spans`` are the (from, to) word ranges
     taken besides, in order. taken = passes * size + the spans' words."""
@@ -152,7 +153,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: Fraction = SHARE, most
     w = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = base.withColumn("end", F.sum("size").over(w))
     j = placed.alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")))
-    j = j.select("d.doc_id", "d.source", "d.size", "d.end", *[f"q.{c.split()[0]}" for c in kind.split(", ")[2:]])
+    j = j.select("d.doc_id", "d.tie", "d.source", "d.size", "d.end", *[f"q.{c.split()[0]}" for c in kind.split(", ")[2:]])
     # word ranges on the line of the source
     c, last = F.col, (c_base := F.col("base")) + F.col("end")
     a, b = last - c("size"), last
@@ -172,8 +173,41 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: Fraction = SHARE, most
         F.struct(cut(lo, F.least(hi, wrap))["from"].alias("from"), cut(lo, F.least(hi, wrap))["to"].alias("to"), F.when(_overlap(a, b, lo, F.least(hi, wrap)) > 0, 1).otherwise(0).alias("times")),
     )
     spans = F.flatten(F.transform(extra, lambda x: F.array_repeat(F.struct(x["from"].alias("from"), F.coalesce(x["to"], c("size")).alias("to")), x["times"].cast("int"))))
-    return j.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), whole.alias("passes"), spans.alias("spans"))
+    return j.select("doc_id", "tie", "source", "size", "source_size", "target", taken.alias("taken"), whole.alias("passes"), spans.alias("spans"))
 
 
 def digest(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def materialize(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The mix as rows of ``docs``: one for each pass over the whole document, unchanged, and one for
+    each span taken besides, with the text from the span's first word to its last and its own
+    length in ``chars_col``. Documents of which nothing is taken are left out.
+
+    ``mixed`` must come from the same docs; documents are told by id and text."""
+    text = F.col(f"row.`{text_col}`").cast("string")
+    key = lambda i: [F.coalesce(i, F.lit(0).cast("bigint")).alias("k"), i.isNull().alias("none")]
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", *key(F.col(f"row.`{id_col}`").cast("bigint")), F.xxhash64(text).alias("tie"))
+    takes = F.sort_array(F.collect_list(F.struct("passes", "spans")), asc=False).alias("takes")
+    taken = mixed.where("taken > 0").select(*key(F.col("doc_id")), "tie", "passes", "spans").groupBy("k", "none", "tie").agg(takes)
+    # of repeated rows, the n-th of docs takes the n-th of the mix; the window reuses the join's partitions
+    nth = F.row_number().over(Window.partitionBy("k", "none", "tie").orderBy("k"))
+    both = rows.join(taken, ["k", "none", "tie"]).select("row", "takes", nth.alias("nth")).where(F.col("nth") <= F.size("takes"))
+    both = both.select("row", F.element_at("takes", F.col("nth")).alias("take"))
+    whole = F.array_repeat(F.struct(F.lit(-1).cast("bigint").alias("from"), F.lit(-1).cast("bigint").alias("to")), F.col("take.passes").cast("int"))
+    out = both.select("row", F.explode(F.concat(whole, "take.spans")).alias("span"))
+    words = F.regexp_extract_all(text, F.lit(_SPACED), F.lit(1))  # each with the white space behind it
+    part = F.array_join(F.slice(words, (F.col("span.from") + 1).cast("int"), (F.col("span.to") - F.col("span.from")).cast("int")), "")
+    part = F.regexp_replace(part, r"[\x20\x09-\x0D]+$", "")
+    out = out.withColumn("new", F.when(F.col("span.from") < 0, text).otherwise(part))
+    cols = []
+    for c in docs.columns:
+        old = F.col(f"row.`{c}`")
+        if c == text_col:
+            old = F.col("new")
+        elif c == chars_col:
+            old = F.when(F.col("span.from") < 0, old).otherwise(F.length("new").cast(dict(docs.dtypes)[c]))
+        cols.append(old.alias(c))
+    return out.select(*cols)

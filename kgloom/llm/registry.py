@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import exact_dedup, mixing, packing, sharding, simhash, simple8b
+from kgloom.llm import exact_dedup, mixing, packing, quality, sharding, simhash, simple8b, spotsigs, token_counts, toxicity
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -29,6 +29,20 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -42,6 +56,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.groups(table(spark, sf_dir, "documents")))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.sections(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(exact_dedup.annotate(table(spark, sf_dir, "documents")))
 
@@ -50,9 +68,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_sharding": op2_sharding,
+        "op3_quality": op3_quality,
+        "op4_toxicity": op4_toxicity,
+        "op5_spotsigs": op5_spotsigs,
         "op6_mixing": op6_mixing,
         "op7_simple8b": op7_simple8b,
         "op8_simhash": op8_simhash,
+        "op9_token_counts": op9_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
