@@ -20,15 +20,13 @@ results; columns other than id and text are not read by ``score`` and travel alo
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm import linear
+from kgloom.llm import common, linear
 
 LABELLED, FEATURES, FOLDS = 6000, 1500, 4
 #: Lengths of word beginnings that are features, so that an inflected word is known by its stem.
@@ -76,32 +74,29 @@ class Chain:
         return out
 
 
-def select_features(sets: list[set[str]], y: np.ndarray, most: int) -> dict[str, int]:
-    """The words whose presence goes most with or against the label, by the z-score of the log odds."""
-    pos, all_ = Counter(), Counter()
-    for words, label in zip(sets, y):
-        all_.update(words)
-        if label:
-            pos.update(words)
-    names = sorted(w for w, n in all_.items() if n >= 3 and w)
-    if not names or not len(y):
-        return {}
-    a = np.array([pos[w] for w in names], float) + 0.5
-    c = np.array([all_[w] for w in names], float) - a + 1.0
-    p, q = y.sum() + 1.0, len(y) - y.sum() + 1.0
-    z = (np.log(a / (p - a + 0.5)) - np.log(c / (q - c + 0.5))) / np.sqrt(1 / a + 1 / c)
-    best = np.argsort(-np.abs(z), kind="stable")[:most]
-    return {names[i]: k for k, i in enumerate(sorted(best.tolist()))}
-
-
-def train(ids: np.ndarray, sets: list[set[str]], toxic: np.ndarray, features: int = FEATURES, k: int = FOLDS) -> Chain:
-    words = select_features(sets, toxic, features)
+def select_features(words: DataFrame, most: int) -> list[str]:
+    """The words whose presence goes most with or against the label, by the z-score of the log odds.
+
+    ``words`` is (id, toxic, word), distinct. Counting is distributed; only the chosen words come
+    to the driver."""
+    n, p = (words.select("id", "toxic").distinct().agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).collect()[0])
+    counts = words.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).where("n >= 3 AND word <> ''")
+    a, c = F.col("p") + 0.5, F.col("n") - F.col("p") + 0.5
+    odds = lambda x, all_: F.log(x / (all_ + 1.0 - x))
+    z = (odds(a, F.lit(p)) - odds(c, F.lit(n - p))) / F.sqrt(1 / a + 1 / c)
+    best = counts.select("word", F.abs(z).alias("z")).orderBy(F.desc("z"), "word").limit(most)
+    return sorted(r.word for r in best.collect())
+
+
+def train(ids: np.ndarray, sets: list[set[str]], toxic: np.ndarray, names: list[str], k: int = FOLDS) -> Chain:
+    """The chain over the features ``names``; ``sets`` are those that each row has."""
+    words = {w: i for i, w in enumerate(names)}
     x = linear.Rows([{words[w]: 1.0 for w in s if w in words} for s in sets], len(words))
     fold = linear.folds(ids, k)
     seen = np.zeros((len(ids), 0))  # out-of-fold probabilities of the links so far
     weights = []
     for name in CHAIN:
-        y = toxic.astype(float) if name == "toxic" else np.array([float(t and not s.isdisjoint(KINDS[name])) for t, s in zip(toxic, sets)])
+        y = toxic.astype(float) if name == "toxic" else np.array([float(t and f"\x01{name}" in s) for t, s in zip(toxic, sets)])
         full = x.with_columns(seen)
         w, b = linear.fit(full, y)
         weights.append((w[: len(words)], w[len(words) :], b))
@@ -125,9 +120,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, id_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string()))], ["id", "toxic", "words"])
 
     read = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = linear.labelled(read, labels, ["toxic"], most)
-    got = rows.select("label_id", "label_toxic", "text").mapInArrow(run, "id bigint, toxic int, words array<string>").toPandas().sort_values("id", kind="stable")
-    return train(got["id"].to_numpy(np.int64), [set(w) for w in got["words"]], (got["toxic"].to_numpy() > 0))
+    rows = linear.labelled(read, labels, ["toxic"], most).select("label_id", (F.col("label_toxic") > 0).cast("int").alias("toxic"), "text")
+    rows = common.written(rows.mapInArrow(run, "id bigint, toxic int, words array<string>"), "labelled")
+    names = sorted({*select_features(rows.select("id", "toxic", F.explode("words").alias("word")), FEATURES), *_KIND_OF.values()})
+    # rows come to the driver with the chosen features alone: the labelled bound times a short list
+    chosen = rows.select("id", "toxic", F.array_intersect("words", F.array(*[F.lit(w) for w in names])).alias("words"))
+    got = chosen.toPandas().sort_values("id", kind="stable")
+    return train(got["id"].to_numpy(np.int64), [set(w) for w in got["words"]], got["toxic"].to_numpy() > 0, names)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
