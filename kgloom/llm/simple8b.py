@@ -42,13 +42,44 @@ ZEROS, ESCAPE = 120, 15
 BLOCK = 1 << 18
 END_ID = 2
 
-_NARROW = [s for s in range(14) if COUNTS[s] <= 8]
-_WIDE = [s for s in range(14) if COUNTS[s] > 8]
+#: Ids a word of each selector covers.
+_TAKES = np.array([ZEROS, *COUNTS, 1])
 
 
-def _pack(values: np.ndarray, selector: int, bits: int) -> np.ndarray:
-    shifts = np.arange(values.shape[1], dtype=np.uint64) * np.uint64(bits)
-    return np.bitwise_or.reduce(values << shifts, axis=1) | np.uint64(selector << 60)
+def _shift(a: np.ndarray, n: int) -> np.ndarray:
+    """Each row moved n places to the left, zeros behind."""
+    out = np.zeros_like(a)
+    out[:, :-n] = a[:, n:]
+    return out
+
+
+def _selectors(grid: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The selector that covers most ids, for a word begun at any place of any lane."""
+    need = np.zeros(grid.shape, np.uint8)  # selectors too narrow for the id
+    top = int(grid.max())
+    for bits in BITS:
+        if top >> bits:
+            need += grid >= np.uint64(1 << bits)
+    most = {1: need}
+    for n in range(2, 9):
+        most[n] = np.maximum(most[n - 1], _shift(need, n - 1))
+    best = np.where(need == len(BITS), ESCAPE, len(COUNTS)).astype(np.uint8)
+    for s in range(len(COUNTS) - 2, -1, -1):  # from few ids a word to many
+        n = COUNTS[s]
+        if n > 8:
+            if not (most[8] <= s).any():
+                break
+            half = {10: (8, 2), 12: (8, 4), 15: (8, 7), 20: (15, 5), 30: (15, 15), 60: (30, 30)}[n]
+            most[n] = np.maximum(most[half[0]], _shift(most[half[1]], half[0]))
+        best[most[n] <= s] = s + 1
+    if (best == 1).any():
+        # places to the next id that isn't zero, or to the lane's end
+        place = np.arange(grid.shape[1])
+        end = np.where((grid > 0) | (place >= length[:, None]), place, grid.shape[1])
+        run = np.minimum.accumulate(end[:, ::-1], axis=1)[:, ::-1] - place
+        lasts = run + place >= length[:, None]
+        best[(run >= ZEROS) | lasts & (run > COUNTS[0])] = 0
+    return best
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,55 +88,38 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lanes = -(-len(ids) // LANE)
     if not lanes:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint32)
-    grid = np.zeros((lanes, LANE + ZEROS), np.uint64)
+    grid = np.zeros((lanes, LANE + COUNTS[0]), np.uint64)
     flat = np.zeros(lanes * LANE, np.uint64)
     flat[: len(ids)] = ids
     grid[:, :LANE] = flat.reshape(lanes, LANE)
     length = np.full(lanes, LANE)
     length[-1] = len(ids) - (lanes - 1) * LANE
-    out = np.zeros((lanes, 2 * LANE), np.uint64)
-    at, used = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    live = np.arange(lanes)
+    best = _selectors(grid, length)
+    # all lanes step from word to word together
+    at, live, steps = np.zeros(lanes, np.int64), np.arange(lanes), []
     while len(live):
-        win = grid[live[:, None], at[live, None] + np.arange(8)]
-        top = np.maximum.accumulate(win, axis=1)
-        choice = np.full(len(live), -1)
-        for s in reversed(_NARROW):  # from one id a word to eight
-            choice[top[:, COUNTS[s] - 1] < np.uint64(1 << BITS[s])] = s
-        raw = choice < 0
-        small = np.flatnonzero(top[:, 7] < np.uint64(1 << BITS[_WIDE[-1]]))
-        zero = np.zeros(len(live), bool)
-        if len(small):
-            wide = grid[live[small, None], at[live[small], None] + np.arange(ZEROS)]
-            top = np.maximum.accumulate(wide, axis=1)
-            for s in reversed(_WIDE):
-                choice[small[top[:, COUNTS[s] - 1] < np.uint64(1 << BITS[s])]] = s
-            run = top[:, min(ZEROS, LANE) - 1] == 0
-            # a shorter run of zeros that reaches the lane's end also fits
-            rest = length[live[small]] - at[live[small]]
-            run |= (rest > COUNTS[0]) & (rest < ZEROS) & (top[np.arange(len(small)), np.minimum(rest, ZEROS) - 1] == 0)
-            zero[small[run]] = True
-        step = np.zeros(len(live), np.int64)
-        for s in np.unique(choice[~raw & ~zero]):
-            rows = np.flatnonzero((choice == s) & ~zero)
-            lane, n = live[rows], COUNTS[s]
-            values = win[rows, :n] if n <= 8 else grid[lane[:, None], at[lane, None] + np.arange(n)]
-            out[lane, used[lane]] = _pack(values, s + 1, BITS[s])
-            step[rows] = n
-            used[lane] += 1
-        lane = live[zero]
-        used[lane] += 1  # selector 0 without payload is a zero word
-        step[zero] = ZEROS
-        lane = live[raw]
-        out[lane, used[lane]] = np.uint64(ESCAPE << 60)
-        out[lane, used[lane] + 1] = grid[lane, at[lane]]
-        used[lane] += 2
-        step[raw] = 1
-        at[live] += step
+        sel = best[live, at[live]]
+        steps.append((live, at[live], sel))
+        at[live] += _TAKES[sel]
         live = live[at[live] < length[live]]
+    lane, place, sel = (np.concatenate(x) for x in zip(*steps))
+    order = np.argsort(lane, kind="stable")
+    lane, place, sel = lane[order], place[order], sel[order]
+    first = np.concatenate([[0], np.cumsum(1 + (sel == ESCAPE))])  # an escape takes two words
+    words = np.zeros(first[-1], np.uint64)
+    for s in np.unique(sel):
+        rows = np.flatnonzero(sel == s)
+        head = np.uint64(int(s) << 60)
+        if s == ESCAPE:
+            words[first[rows]] = head
+            words[first[rows] + 1] = grid[lane[rows], place[rows]]
+        elif s:
+            slot = np.arange(COUNTS[s - 1])
+            values = grid[lane[rows, None], place[rows, None] + slot] << (slot.astype(np.uint64) * np.uint64(BITS[s - 1]))
+            words[first[rows]] = np.bitwise_or.reduce(values, axis=1) | head
     offsets = np.zeros(lanes + 1, np.uint32)
-    offsets[1:] = np.cumsum(used)
-    return out[np.arange(2 * LANE) < used[:, None]], offsets
+    offsets[1:] = first[np.cumsum(np.bincount(lane, minlength=lanes))]
+    return words, offsets
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
@@ -120,7 +134,7 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     for i in np.flatnonzero(sel == ESCAPE):  # in order: a raw word may look like an escape
         if not raw[i]:
             raw[i + 1] = True
-    counts = np.array([ZEROS, *COUNTS, 1])[sel]
+    counts = _TAKES[sel]
     counts[raw] = 0
     before = np.concatenate([[0], np.cumsum(counts)])
     lane = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))

@@ -23,7 +23,7 @@ BARE_SOURCE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _encoders: dict[tuple, "Encoder"] = {}
 
 
-def encoder(path: str, memory: int = 600_000) -> "Encoder":
+def encoder(path: str, memory: int = 1_200_000) -> "Encoder":
     """One encoder per worker process and file; it outlives the task."""
     if (path, memory) not in _encoders:
         _encoders[path, memory] = Encoder(path, memory)
@@ -49,42 +49,36 @@ def kind_of(path: str) -> str:
     return "whole"
 
 
-class _Pieces(dict):
-    """Pre-split piece, in the byte-level alphabet -> ids as little-endian 32-bit bytes."""
+class _Memory(dict):
+    """What ``make`` returns for a key. Two generations bound it: when the young one is full it
+    becomes the old one, and what is still in use is taken over from there."""
 
-    def __init__(self, model, memory: int):
-        self.model, self.memory = model, memory
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, max(most // 2, 1), {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.memory:
+    def __missing__(self, key: str):
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        out = self[piece] = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
-        return out
-
-
-class _Chunks(dict):
-    """White-space-delimited chunk -> ids as bytes, or None where the chunk can't stand alone."""
-
-    def __init__(self, owner: "Encoder"):
-        self.owner = owner
-
-    def __missing__(self, chunk: str):
-        if len(self) >= self.owner.memory:
-            self.clear()
-        out = self[chunk] = self.owner.chunk(chunk)
+        out = self.old.get(key, self)
+        if out is self:  # in neither
+            out = self.make(key)
+        self[key] = out
         return out
 
 
 class Encoder:
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tk = Tokenizer.from_file(path)
         self.tk.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind, self.memory = kind_of(path), memory
-        self.pieces = _Pieces(self.tk.model, memory)
-        self.chunks = _Chunks(self)
+        # pre-split piece, in the byte-level alphabet -> ids as little-endian 32-bit bytes
+        self.pieces = _Memory(lambda p: np.array([t.id for t in self.tk.model.tokenize(p)], "<u4").tobytes(), memory // 2)
+        # chunk between white space -> ids as bytes, or None where the chunk can't stand alone
+        self.chunks = _Memory(self.chunk, memory)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
