@@ -20,6 +20,12 @@ SPACED = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0
 BARE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 BARE_SOURCE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Characters that end a plain word's chunk, and the first letter too new or rare to be split here.
+STOPS, LAST_PLAIN = (".", ",", ";", ":", "!", "?"), "\u0530"
+#: The byte-level alphabet: printable Latin-1 stands for itself, the rest follows from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
 _encoders: dict[tuple, "Encoder"] = {}
 
 
@@ -76,27 +82,39 @@ class Encoder:
         self.tk.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind, self.memory = kind_of(path), memory
         # pre-split piece, in the byte-level alphabet -> ids as little-endian 32-bit bytes
-        self.pieces = _Memory(lambda p: np.array([t.id for t in self.tk.model.tokenize(p)], "<u4").tobytes(), memory // 2)
+        self.pieces = _Memory(self.piece, memory // 8)
         # chunk between white space -> ids as bytes, or None where the chunk can't stand alone
         self.chunks = _Memory(self.chunk, memory)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of a pre-split piece in the byte-level alphabet."""
+        return np.array([t.id for t in self.tk.model.tokenize(piece)], "<u4").tobytes()
+
     def chunk(self, chunk: str) -> bytes | None:
+        """Ids of what stands between two white spaces; a leading line feed belongs to it. Plain words,
+        with a stop behind them or not, are split here, anything else by the library."""
+        if chunk[-1:] in STOPS and chunk[:-1].isalpha() and max(chunk) < LAST_PLAIN:
+            return self.chunks[chunk[:-1]] + self.pieces[chunk[-1]]
         if self.kind == "bare":
             if chunk.isascii() and chunk.isprintable():
-                return b"".join(map(self.pieces.__getitem__, BARE.findall(chunk.lower())))
-            pre = self.tk.pre_tokenizer.pre_tokenize_str(self.tk.normalizer.normalize_str(chunk))
-            return b"".join([self.pieces[p] for p, _ in pre])
-        body = chunk[1:] if chunk[:1] == "\n" else chunk
+                low = chunk.lower()
+                return self.piece(low) if low.isalpha() else b"".join(map(self.pieces.__getitem__, BARE.findall(low)))
+            norm = self.tk.normalizer.normalize_str(chunk)
+            if norm.isalpha() and max(norm) < LAST_PLAIN:
+                return self.piece(norm.encode().decode("latin-1").translate(BYTE_LEVEL))
+            return b"".join([self.pieces[p] for p, _ in self.tk.pre_tokenizer.pre_tokenize_str(norm)])
+        feed, body = chunk[:1] == "\n", chunk[1:] if chunk[:1] == "\n" else chunk
         if not body or body[0].isspace() or body[-1].isspace():
             return None
+        if body.isalpha() and max(body) < LAST_PLAIN:
+            word = body if body.isascii() else body.encode().decode("latin-1").translate(BYTE_LEVEL)
+            return self.pieces["Ċ"] + self.piece(word) if feed else self.piece("Ġ" + word)
         if chunk.isascii() and body.isprintable():
-            spaced = SPACED.findall(chunk if chunk[0] == "\n" else " " + chunk)
-            return b"".join([self.pieces[p.replace(" ", "Ġ").replace("\n", "Ċ")] for p in spaced])
-        pre = self.tk.pre_tokenizer.pre_tokenize_str(chunk if chunk[0] == "\n" else " " + chunk)
-        return b"".join([self.pieces[p] for p, _ in pre])
+            return b"".join([self.pieces[p.replace(" ", "Ġ").replace("\n", "Ċ")] for p in SPACED.findall(chunk if feed else " " + chunk)])
+        return b"".join([self.pieces[p] for p, _ in self.tk.pre_tokenizer.pre_tokenize_str(chunk if feed else " " + chunk)])
 
     def ids(self, text: str | None) -> bytes:
         """Ids of the whole text as little-endian 32-bit bytes; null counts as empty."""
