@@ -5,13 +5,541 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kgloom import model as M
+from kgloom.functions import prompts
+from kgloom.functions import text as X
+from kgloom.operators import alignments as A
+from kgloom.operators import graph as G
+from kgloom.operators import matchers as MA
+from kgloom.operators import ranking as R
+from kgloom.operators import scoring as SC
+from kgloom.operators import vectors as V
+from kgloom.plans import derived as D
+from kgloom.plans import sparql
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _kg(sql: str) -> str:
+    return f"WITH RECURSIVE {D.KG_SQL} {sql}"
+
+
+_T, _L, _SUB, _CLASS = M.TYPE, M.LABEL, M.SUBCLASS, M.OWL + "Class"
+_CLASSES = f"""(SELECT s AS uri FROM kg WHERE p = '{_T}' AND o = '{_CLASS}' UNION SELECT s FROM kg WHERE p = '{_SUB}' UNION SELECT o FROM kg WHERE p = '{_SUB}')"""
+_FRAGMENT = "CASE WHEN contains(uri, '#') THEN regexp_replace(uri, '^.*#', '') ELSE regexp_replace(uri, '^.*/', '') END"
+
+
+# --- graphs -------------------------------------------------------------------------------------
+
+
+@_register(_kg(f"SELECT uri FROM {_CLASSES}"))
+def kg_classes(spark, sf_dir):
+    return G.classes(D.kg(spark, sf_dir))
+
+
+@_register(
+    _kg(f""", c AS {_CLASSES}, l AS (SELECT s AS uri, o AS label FROM kg WHERE p = '{_L}')
+SELECT uri, label FROM l WHERE uri IN (SELECT uri FROM c)
+UNION SELECT uri, {_FRAGMENT} FROM c WHERE uri NOT IN (SELECT uri FROM l)
+  AND length(regexp_replace({_FRAGMENT}, '[^0-9]', '', 'g')) * 2 < length(regexp_replace({_FRAGMENT}, '\\s', '', 'g'))""")
+)
+def kg_labels(spark, sf_dir):
+    t = D.kg(spark, sf_dir)
+    return G.labels(t, G.classes(t))
+
+
+@_register(_kg(f""", c AS {_CLASSES}, l AS (SELECT s AS uri, min(o) AS label FROM kg WHERE p = '{_L}' GROUP BY s)
+SELECT c.uri, coalesce(l.label, CASE WHEN length(regexp_replace(f, '[^0-9]', '', 'g')) * 2 < length(regexp_replace(f, '\\s', '', 'g')) THEN f ELSE '' END) AS label
+FROM (SELECT uri, {_FRAGMENT} AS f FROM c) c LEFT JOIN l ON l.uri = c.uri"""))
+def kg_one_label(spark, sf_dir):
+    t = D.kg(spark, sf_dir)
+    return G.one_label(t, G.classes(t))
+
+
+@_register(_kg(f"SELECT s AS uri, regexp_replace(o, '^.*#', '') AS kind FROM kg WHERE p = '{_T}' AND o IN ('{M.OBJECT_PROPERTY}', '{M.DATATYPE_PROPERTY}', '{M.RDF_PROPERTY}')"))
+def kg_properties_by_kind(spark, sf_dir):
+    t = D.kg(spark, sf_dir)
+    kinds = (("ObjectProperty", G.object_properties), ("DatatypeProperty", G.datatype_properties), ("Property", G.rdf_properties))
+    parts = [f(t).withColumn("kind", F.lit(k)) for k, f in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_register(_kg(f"""SELECT o AS class, s AS uri FROM (SELECT DISTINCT o, s FROM kg WHERE p = '{_T}' AND o LIKE 'urn:nation:%')
+QUALIFY row_number() OVER (PARTITION BY o ORDER BY s) <= 3"""))
+def kg_instance_sample(spark, sf_dir):
+    t = D.kg(spark, sf_dir)
+    return G.instances(t, G.classes(t).where(F.col("uri").startswith("urn:nation:")), 3)
+
+
+@_register(f"""WITH u AS (SELECT url AS uri FROM pages UNION SELECT 'urn:part#' || p_partkey FROM part UNION SELECT 'http://x.org/c/' || p_name FROM part),
+f AS (SELECT uri, {_FRAGMENT} AS fragment FROM u)
+SELECT uri, fragment, length(regexp_replace(fragment, '[^0-9]', '', 'g')) * 2 >= length(regexp_replace(fragment, '\\s', '', 'g')) AS mostly_numbers FROM f""")
+def uri_fragment_mostly_numbers(spark, sf_dir):
+    p = D.table(spark, sf_dir, "part")
+    u = D.table(spark, sf_dir, "pages").select(F.col("url").alias("uri"))
+    u = u.union(p.select(F.concat(F.lit("urn:part#"), F.col("p_partkey").cast("string")))).union(p.select(F.concat(F.lit("http://x.org/c/"), "p_name"))).distinct()
+    f = X.fragment(F.col("uri"))
+    return u.select("uri", f.alias("fragment"), X.mostly_numbers(f).alias("mostly_numbers"))
+
+
+def _hops(n: int) -> str:
+    out = "SELECT e.uri AS entity, k.s, k.p, k.o, k.o_kind FROM e JOIN kg k ON k.s = e.uri"
+    ctes = [f"h1 AS ({out})"]
+    ctes += [f"h{i} AS (SELECT DISTINCT h.entity, k.s, k.p, k.o, k.o_kind FROM h{i - 1} h JOIN kg k ON k.s = h.o WHERE h.o_kind <> 'literal')" for i in range(2, n + 1)]
+    return ", ".join(ctes) + " " + " UNION ".join(f"SELECT entity, s, p, o FROM h{i}" for i in range(1, n + 1))
+
+
+_SOME = f"e AS (SELECT uri FROM {_CLASSES} WHERE uri LIKE 'urn:supplier:%' OR uri LIKE 'urn:nation:%' OR uri LIKE 'urn:part:%')"
+
+
+def _some(spark, sf_dir):
+    t = D.kg(spark, sf_dir)
+    return t, D.entities(t, ("supplier", "nation", "part"))
+
+
+@_register(_kg(f", {_SOME}, {_hops(2)}"))
+def describe_two_outgoing(spark, sf_dir):
+    return G.describe("description_two_outgoing", *_some(spark, sf_dir)).select("entity", "s", "p", "o")
+
+
+@_register(_kg(f", {_SOME}, {_hops(3)}"))
+def describe_three_outgoing(spark, sf_dir):
+    return G.describe("description_three_outgoing", *_some(spark, sf_dir)).select("entity", "s", "p", "o")
+
+
+@_register(_kg(f", {_SOME}, {_hops(2)}"))
+def describe_two_outgoing_blank(spark, sf_dir):
+    """Without blank nodes the two hops of any object."""
+    return G.describe("description_two_outgoing_blank", *_some(spark, sf_dir)).select("entity", "s", "p", "o")
+
+
+@_register(
+    _kg(f""", {_SOME}, h AS (SELECT e.uri AS entity, k.* FROM e JOIN kg k ON k.s = e.uri)
+SELECT entity, s, p, o FROM h UNION SELECT h.entity, k.s, k.p, k.o FROM h JOIN kg k ON k.s = h.o WHERE h.o_kind = 'iri' AND k.p IN ('{_L}', '{_T}')""")
+)
+def describe_one_gen(spark, sf_dir):
+    return G.describe("description_one_gen", *_some(spark, sf_dir)).select("entity", "s", "p", "o")
+
+
+@_register(
+    _kg(f""", {_SOME}, h AS (SELECT e.uri AS entity, k.* FROM e JOIN kg k ON k.s = e.uri WHERE k.p IN ('{_L}', '{_T}', '{M.RDFS}comment'))
+SELECT entity, s, p, o FROM h UNION SELECT h.entity, k.s, k.p, k.o FROM h JOIN kg k ON k.s = h.o WHERE h.p = '{_T}' AND k.p = '{_L}'""")
+)
+def describe_basic(spark, sf_dir):
+    return G.describe("description_basic", *_some(spark, sf_dir)).select("entity", "s", "p", "o")
+
+
+@_register(
+    _kg(f""", {_SOME}, h AS (
+  SELECT e.uri AS entity, 0 AS r, 'Label: ' || o AS line FROM e JOIN kg k ON k.s = e.uri WHERE k.p = '{_L}'
+  UNION SELECT e.uri, 1, 'Description: ' || o FROM e JOIN kg k ON k.s = e.uri WHERE k.p = '{M.RDFS}comment'
+  UNION SELECT e.uri, 2, 'Type: ' || l.o FROM e JOIN kg k ON k.s = e.uri AND k.p = '{_T}' JOIN kg l ON l.s = k.o AND l.p = '{_L}')
+SELECT e.uri AS entity, coalesce(string_agg(line, chr(10) ORDER BY r, line) || chr(10), '') AS text FROM e LEFT JOIN h ON h.entity = e.uri GROUP BY e.uri""")
+)
+def describe_text(spark, sf_dir):
+    return G.describe("description_text", *_some(spark, sf_dir))
+
+
+_CLOSURE = f"""tc AS (SELECT o AS anc, s AS low FROM kg WHERE p = '{_SUB}' UNION SELECT tc.anc, k.s FROM tc JOIN kg k ON k.p = '{_SUB}' AND k.o = tc.low),
+cl AS (SELECT anc, low FROM tc WHERE anc <> low)"""
+
+
+@_register(_kg(f", {_CLOSURE}, n AS {_CLASSES} SELECT n.uri, count(cl.low) AS n_descendants FROM n LEFT JOIN cl ON cl.anc = n.uri GROUP BY n.uri"))
+def class_descendants(spark, sf_dir):
+    return G.class_descendants(D.kg(spark, sf_dir))
+
+
+@_register(_kg(f", {_CLOSURE} SELECT anc AS uri, count(*) AS n_descendants FROM cl WHERE anc NOT IN (SELECT s FROM kg WHERE p = '{_SUB}') GROUP BY anc"))
+def root_classes(spark, sf_dir):
+    return G.root_classes(D.kg(spark, sf_dir))
+
+
+@_register(
+    _kg(f""", {_CLOSURE}, c AS (SELECT anc AS uri, count(*) AS n FROM cl GROUP BY anc),
+top AS (SELECT uri FROM c WHERE uri NOT IN (SELECT s FROM kg WHERE p = '{_SUB}') ORDER BY n DESC, uri LIMIT 20),
+ins AS (SELECT s AS uri FROM (SELECT DISTINCT o, s FROM kg WHERE p = '{_T}' AND o IN (SELECT uri FROM top)) QUALIFY row_number() OVER (PARTITION BY o ORDER BY s) <= 2),
+pr AS (SELECT DISTINCT s AS uri FROM kg WHERE p = '{_T}' AND o IN ('{M.OBJECT_PROPERTY}', '{M.DATATYPE_PROPERTY}', '{M.RDF_PROPERTY}') ORDER BY uri LIMIT 20)
+SELECT s, p, o FROM kg WHERE s IN (SELECT uri FROM top UNION SELECT uri FROM ins UNION SELECT uri FROM pr)""")
+)
+def ontology_context(spark, sf_dir):
+    """The 20 largest roots, two instances of each and the first 20 properties are the operator's own limits."""
+    return G.ontology_context(D.kg(spark, sf_dir)).select("s", "p", "o")
+
+
+@_register(_kg(f"""SELECT a.s AS x, b.o AS parent_label FROM kg a JOIN kg b ON b.s = a.o AND b.p = '{_L}' WHERE a.p = '{_SUB}'"""))
+def bgp_two_pattern(spark, sf_dir):
+    q = "SELECT ?x ?parent_label WHERE { ?x rdfs:subClassOf ?p . ?p rdfs:label ?parent_label } ORDER BY ?x"
+    return sparql.compile_query(q, D.kg(spark, sf_dir))[1]
+
+
+@_register(_kg(f"""SELECT a.o AS parent, count(*) AS n FROM kg a LEFT JOIN kg c ON c.s = a.o AND c.p = '{M.RDFS}comment'
+WHERE a.p = '{_SUB}' AND c.s IS NULL GROUP BY a.o"""))
+def sparql_group_optional(spark, sf_dir):
+    q = "SELECT ?parent (COUNT(*) AS ?n) WHERE { ?x rdfs:subClassOf ?parent OPTIONAL { ?parent rdfs:comment ?c } FILTER(!BOUND(?c)) } GROUP BY ?parent"
+    return sparql.compile_query(q, D.kg(spark, sf_dir))[1]
+
+
+@_register(_kg(f", {_CLOSURE} SELECT DISTINCT cl.low AS x, l.o AS name FROM cl JOIN kg l ON l.s = cl.anc AND l.p = '{_L}' WHERE cl.anc LIKE 'urn:region:%'"))
+def sparql_property_path(spark, sf_dir):
+    q = 'SELECT DISTINCT ?x ?name WHERE { ?x rdfs:subClassOf+ ?r . ?r rdfs:label ?name FILTER(STRSTARTS(STR(?r), "urn:region:")) }'
+    return sparql.compile_query(q, D.kg(spark, sf_dir))[1]
+
+
+# --- labels and lexical matching ----------------------------------------------------------------
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in ("", *X.STOPWORDS)) + "]"
+
+
+def _words_sql(label: str) -> str:
+    """Two passes stand in for the look-around of the camel-case rule, which RE2 lacks."""
+    x = f"trim({label}, ' ' || chr(9) || chr(10) || chr(13))"
+    camel = "'([^\\s\"_])([A-Z][a-z])', '\\1_\\2', 'g'"
+    x = f"regexp_replace(regexp_replace({x}, {camel}), {camel})"
+    x = f"regexp_replace(lower(replace({x}, ' ', '_')), '[^a-z0-9\\s:_]', '_', 'g')"
+    x = f"string_split(regexp_replace({x}, '_+', '_', 'g'), '_')"
+    return f"list_sort(list_distinct(list_filter({x}, lambda w: NOT list_contains({_STOP}, w))))"
+
+
+@_register(f"""WITH l AS (SELECT DISTINCT p_name AS label FROM part UNION SELECT DISTINCT c_name FROM customer UNION SELECT DISTINCT string_split(text, chr(10))[1] FROM documents)
+SELECT label, array_to_string({_words_sql('label')}, ' ') AS words FROM l""")
+def label_normalize(spark, sf_dir):
+    t = lambda n: D.table(spark, sf_dir, n)
+    rows = t("part").select(F.col("p_name").alias("label")).union(t("customer").select("c_name")).union(t("documents").select(F.element_at(F.split("text", "\n"), 1))).distinct()
+    return rows.select("label", F.array_join(X.token_set(F.col("label")), " ").alias("words"))
+
+
+_PARTS = f"""pl AS (SELECT 'urn:part:' || p_partkey AS uri, p_partkey % 2 AS side, p_name, {_words_sql('p_name')} AS w FROM part),
+lex AS (SELECT DISTINCT a.uri AS source, b.uri AS target, '=' AS relation, 1.0::DOUBLE AS confidence FROM pl a JOIN pl b ON a.w = b.w WHERE a.side = 0 AND b.side = 1)"""
+
+
+@_register(f"WITH {_PARTS} SELECT source, target, relation, confidence FROM lex")
+def lexical_match(spark, sf_dir):
+    return MA.lexical(*D.part_labels(spark, sf_dir)).select(*M.KEY, "confidence")
+
+
+@_register(f"""WITH {_PARTS}, gold AS (SELECT a.uri AS source, b.uri AS target FROM pl a JOIN pl b ON a.p_name = b.p_name WHERE a.side = 0 AND b.side = 1),
+n AS (SELECT (SELECT count(*) FROM lex) AS s, (SELECT count(*) FROM gold) AS g, (SELECT count(*) FROM lex SEMI JOIN gold USING (source, target)) AS tp),
+m AS (SELECT CASE WHEN s > 0 THEN tp::DOUBLE / s ELSE 0 END AS precision, CASE WHEN g > 0 THEN tp::DOUBLE / g ELSE 0 END AS recall, tp, s - tp AS fp, g - tp AS fn FROM n)
+SELECT precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, tp, fp, fn FROM m""")
+def prf1_by_system(spark, sf_dir):
+    return R.precision_recall(MA.lexical(*D.part_labels(spark, sf_dir)), D.name_gold(spark, sf_dir))
+
+
+# --- alignment algebra --------------------------------------------------------------------------
+
+
+def _al(spark, sf_dir):
+    return A.upsert(D.line_alignment(spark, sf_dir))
+
+
+@_register(f"WITH {D.LINE_SQL} SELECT * FROM al")
+def alignment_upsert(spark, sf_dir):
+    return _al(spark, sf_dir).select(*M.KEY, "confidence")
+
+
+@_register(f"WITH {D.LINE_SQL} SELECT a.* FROM al a ANTI JOIN (SELECT * FROM li WHERE confidence >= 0.05) b USING (source, target, relation)")
+def alignment_difference(spark, sf_dir):
+    return A.difference(_al(spark, sf_dir), A.at_least(D.line_alignment(spark, sf_dir), 0.05)).select(*M.KEY, "confidence")
+
+
+@_register(f"WITH {D.LINE_SQL} SELECT a.* FROM al a SEMI JOIN (SELECT * FROM li WHERE confidence >= 0.05) b USING (source, target, relation)")
+def alignment_contains(spark, sf_dir):
+    return A.contains(_al(spark, sf_dir), A.at_least(D.line_alignment(spark, sf_dir), 0.05)).select(*M.KEY, "confidence")
+
+
+@_register(f"WITH {D.LINE_SQL} SELECT DISTINCT confidence FROM al")
+def alignment_distinct_conf(spark, sf_dir):
+    return A.distinct_confidences(_al(spark, sf_dir))
+
+
+@_register(f"WITH {D.LINE_SQL} SELECT count(*) AS size FROM al")
+def alignment_size(spark, sf_dir):
+    return A.size(D.line_alignment(spark, sf_dir))
+
+
+@_register(f"WITH {D.LINE_SQL} SELECT * FROM al WHERE source <> target")
+def remove_trivial(spark, sf_dir):
+    return A.remove_trivial(_al(spark, sf_dir)).select(*M.KEY, "confidence")
+
+
+@_register(f"WITH {D.LINE_SQL} SELECT * FROM al WHERE source = 'urn:n:7' OR target = 'urn:n:9'")
+def alignment_lookup(spark, sf_dir):
+    a = _al(spark, sf_dir)
+    return A.of_source(a, "urn:n:7").unionByName(A.of_target(a, "urn:n:9")).select(*M.KEY, "confidence").distinct()
+
+
+@_register(f"WITH {D.LINE_SQL} SELECT source, target, count(DISTINCT relation) AS n_relations FROM al GROUP BY ALL HAVING count(DISTINCT relation) > 1")
+def double_annotated(spark, sf_dir):
+    return A.double_annotated(_al(spark, sf_dir))
+
+
+@_register(f"WITH {D.LINE_SQL} SELECT relation, count(*) AS n FROM al GROUP BY relation")
+def relation_histogram(spark, sf_dir):
+    return A.relation_histogram(_al(spark, sf_dir))
+
+
+@_register(f"""WITH {D.LINE_SQL} SELECT source, count(*) AS total, count(*) FILTER (relation = '=') AS "=", count(*) FILTER (relation = '<') AS "<", count(*) FILTER (relation = '>') AS ">" FROM al GROUP BY source""")
+def relation_pivot(spark, sf_dir):
+    return A.relation_pivot(_al(spark, sf_dir), "source", ["=", "<", ">"])
+
+
+def _cap_sql(n: int) -> str:
+    return f"""WITH {D.LINE_SQL},
+pos AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, source, target, relation) AS place FROM al),
+ends AS (SELECT place, source AS uri FROM pos UNION ALL SELECT place, target FROM pos),
+cnt AS (SELECT place, max(n) AS n FROM (SELECT place, count(*) OVER (PARTITION BY uri ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM ends) GROUP BY place)
+SELECT source, target, relation, confidence FROM pos JOIN cnt USING (place) WHERE n <= {n}"""
+
+
+@_register(_cap_sql(1))
+def rank_cap_1(spark, sf_dir):
+    return A.rank_cap(_al(spark, sf_dir), 1).select(*M.KEY, "confidence")
+
+
+@_register(_cap_sql(5))
+def rank_cap_5(spark, sf_dir):
+    return A.rank_cap(_al(spark, sf_dir), 5).select(*M.KEY, "confidence")
+
+
+# --- vectors ------------------------------------------------------------------------------------
+
+
+@_register(f"WITH {D.vector_sql(5)} SELECT source, target, confidence FROM sym")
+def topk_forward(spark, sf_dir):
+    return V.top_k(*D.sides(spark, sf_dir), 5).select("source", "target", "confidence")
+
+
+@_register(f"WITH {D.vector_sql(5)} SELECT source, target, confidence FROM sym")
+def topk_blocks(spark, sf_dir):
+    """The same join as blocks of matrix products."""
+    s, t = D.sides(spark, sf_dir)
+    return V.top_k_blocks(s, t, 5, s.count(), t.count(), 256).select("source", "target", "confidence")
+
+
+_BOTH = f"""{D.vector_sql(5)},
+back AS (SELECT source, target, '=' AS relation, confidence FROM (
+  SELECT s.id AS source, t.id AS target, round(list_inner_product(s.v, t.v), 6) AS confidence FROM sv s, tv t)
+  QUALIFY row_number() OVER (PARTITION BY target ORDER BY confidence DESC, source) <= 5),
+two AS (SELECT source, target, relation, max(confidence) AS confidence FROM (SELECT * FROM sym UNION ALL SELECT * FROM back) GROUP BY ALL)"""
+
+
+def _both(spark, sf_dir):
+    s, t = D.sides(spark, sf_dir)
+    back = V.top_k(t, s, 5).select(F.col("target").alias("source"), F.col("source").alias("target"), "confidence")
+    eq = lambda df: df.withColumn("relation", F.lit("="))
+    return A.upsert(eq(V.top_k(s, t, 5)), eq(back))
+
+
+@_register(f"WITH {_BOTH} SELECT * FROM two")
+def topk_both_directions(spark, sf_dir):
+    return _both(spark, sf_dir).select(*M.KEY, "confidence")
+
+
+@_register(f"WITH {D.vector_sql(20)} SELECT source, target, relation, confidence FROM asym")
+def topk_asymmetric(spark, sf_dir):
+    return A.upsert(D.predictions(spark, sf_dir)).select(*M.KEY, "confidence")
+
+
+@_register(f"""WITH {_BOTH}, lx AS (SELECT s.id AS source, t.id AS target, '=' AS relation, 1.0 AS confidence FROM sv s JOIN embeddings a ON a.vec_id = s.id::BIGINT, tv t JOIN embeddings b ON b.vec_id = t.id::BIGINT WHERE a.label = b.label AND a.vec_id // 10 = b.vec_id // 10)
+SELECT source, target, relation, max(confidence) AS confidence FROM (SELECT * FROM two UNION ALL SELECT * FROM lx) WHERE source <> target GROUP BY ALL""")
+def candidate_gen_with_lexical(spark, sf_dir):
+    """Both directions with label matches at 1.0: a label is the vector's label and its tens."""
+    e = D.table(spark, sf_dir, "embeddings")
+    name = F.concat(F.lit("label "), F.col("label").cast("string"), F.lit(" x"), F.floor(F.col("vec_id") / 10).cast("string"))
+    side = lambda i: e.where(F.col("vec_id") % 2 == i).select(F.col("vec_id").cast("string").alias("uri"), name.alias("label"))
+    return A.remove_trivial(A.upsert(_both(spark, sf_dir), MA.lexical(side(0), side(1)))).select(*M.KEY, "confidence")
+
+
+@_register("""WITH tok AS (SELECT vec_id // 4 AS id, vec_id % 4 AS position, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT id, i, avg(x) AS x FROM (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS i FROM tok WHERE position > 0) GROUP BY id, i),
+n AS (SELECT id, sqrt(sum(x * x)) AS n FROM d GROUP BY id)
+SELECT d.id, d.i AS dim, round(d.x / n.n, 6) AS x FROM d JOIN n USING (id)""")
+def token_mask_pooling(spark, sf_dir):
+    """Every four vectors are the tokens of one text, the first a special one that the mask leaves out."""
+    e = D.table(spark, sf_dir, "embeddings")
+    tok = e.select(F.floor(F.col("vec_id") / 4).alias("id"), (F.col("vec_id") % 4).alias("position"), (F.col("vec_id") % 4 > 0).alias("masked"), F.col("embedding").alias("v"))
+    return V.pool(tok, "mean").select("id", F.posexplode("v").alias("dim", "x")).select("id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x"))
+
+
+# --- ranked evaluation --------------------------------------------------------------------------
+
+_EVAL = f"WITH {D.vector_sql(20)}, {D.GOLD_SQL}"
+
+
+def _pg(spark, sf_dir):
+    return D.predictions(spark, sf_dir), D.gold(spark, sf_dir)
+
+
+def _recall_sql(mode: str) -> str:
+    return _EVAL + f""" SELECT c.mode, c.label, k.k, count(b.mode) AS n, round(coalesce(count(*) FILTER (b.rank <= k.k)::DOUBLE / nullif(count(b.mode), 0), 0), 9) AS recall
+FROM cells c CROSS JOIN (VALUES (1), (5), (10), (20)) k(k) LEFT JOIN bm b ON b.mode = c.mode AND b.label = c.label WHERE c.mode = '{mode}' GROUP BY ALL"""
+
+
+def _recall(spark, sf_dir, mode):
+    out = R.recall_at_k(*_pg(spark, sf_dir)).where(F.col("mode") == mode)
+    return out.withColumn("recall", F.round("recall", 9))
+
+
+@_register(_recall_sql("strict"))
+def recall_strict(spark, sf_dir):
+    return _recall(spark, sf_dir, "strict")
+
+
+@_register(_recall_sql("lax"))
+def recall_lax(spark, sf_dir):
+    return _recall(spark, sf_dir, "lax")
+
+
+@_register(_recall_sql("per_relation_strict"))
+def recall_per_relation(spark, sf_dir):
+    return _recall(spark, sf_dir, "per_relation_strict")
+
+
+_MRR = "SELECT c.mode, c.label, round(coalesce(avg(CASE WHEN b.mode IS NULL THEN NULL ELSE coalesce(1.0::DOUBLE / b.rank, 0) END), 0), 9) AS mrr FROM cells c LEFT JOIN bm b ON b.mode = c.mode AND b.label = c.label GROUP BY ALL"
+
+
+@_register(f"{_EVAL} {_MRR}")
+def mrr_all_modes(spark, sf_dir):
+    return R.mrr(*_pg(spark, sf_dir)).withColumn("mrr", F.round("mrr", 9))
+
+
+@_register(
+    _EVAL + f""", r AS ({_recall_sql('x').removeprefix(_EVAL).replace("WHERE c.mode = 'x'", '')}), m AS ({_MRR})
+SELECT 'recall_at_k_' || mode || '/' || label || '/k=' || k AS metric, recall AS value FROM r UNION ALL SELECT 'mrr_' || mode || '/' || label, mrr FROM m"""
+)
+def flat_metrics(spark, sf_dir):
+    p, g = _pg(spark, sf_dir)
+    return R.flat_metrics(R.recall_at_k(p, g), R.mrr(p, g)).withColumn("value", F.round("value", 9))
+
+
+_FIRST = "SELECT p.source, min(gr.strict)::INTEGER AS first_hit_at_k_strict, min(gr.lax)::INTEGER AS first_hit_at_k_lax FROM (SELECT DISTINCT source FROM asym) p LEFT JOIN gr ON gr.source = p.source GROUP BY p.source"
+
+
+@_register(f"{_EVAL} {_FIRST}")
+def first_hit(spark, sf_dir):
+    return R.first_hits(*_pg(spark, sf_dir))
+
+
+@_register(
+    _EVAL + f""", fh AS ({_FIRST}), rl AS (SELECT source, target, string_agg(DISTINCT norm, '/' ORDER BY norm) AS rels FROM g GROUP BY ALL)
+SELECT rk.source AS source_uri, '' AS source_label, rk.rank::INTEGER AS rank, rk.target AS target_uri, '' AS target_label, rk.confidence AS score, rk.relation AS predicted_relation,
+  coalesce(rl.rels, '') AS gold_relation, coalesce(list_contains(string_split(rl.rels, '/'), rk.relation), false) AS is_correct_strict, rl.rels IS NOT NULL AS is_correct_lax,
+  fh.first_hit_at_k_strict, fh.first_hit_at_k_lax
+FROM rk JOIN fh ON fh.source = rk.source LEFT JOIN rl ON rl.source = rk.source AND rl.target = rk.target"""
+)
+def per_source_long(spark, sf_dir):
+    return R.per_source(*_pg(spark, sf_dir))
+
+
+@_register(
+    _EVAL + """, h AS (SELECT rk.source, min(CASE WHEN p.source IS NOT NULL THEN rk.rank END) AS r FROM rk
+  LEFT JOIN (SELECT DISTINCT source, target FROM g) p ON p.source = rk.source AND p.target = rk.target WHERE rk.rank <= 5 GROUP BY rk.source)
+SELECT source, CASE WHEN r IS NULL THEN 'MISS' ELSE 'HIT@' || r END AS outcome FROM h"""
+)
+def smoke_probe(spark, sf_dir):
+    return R.probe(*_pg(spark, sf_dir))
+
+
+@_register(f"{_EVAL} SELECT trim(relation) AS relation, count(*) AS n FROM norm WHERE norm IS NULL GROUP BY ALL")
+def dropped_relations(spark, sf_dir):
+    return R.dropped_relations(D.gold(spark, sf_dir))
+
+
+@_register(f"{_EVAL} SELECT count(*) AS n_total, count(norm) AS n_after_filter FROM norm")
+def reference_totals(spark, sf_dir):
+    return R.reference_totals(D.gold(spark, sf_dir))
+
+
+@_register(f"{_EVAL} SELECT array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM g")
+def labels_present(spark, sf_dir):
+    return R.labels_present(D.gold(spark, sf_dir)).select(F.array_join("labels", ",").alias("labels"))
+
+
+@_register(f"""WITH {D.vector_sql(20)} SELECT CASE relation WHEN '<' THEN 'broader_run' ELSE 'narrower_run' END AS run, count(*) AS count, round(avg(confidence), 6) AS mean,
+round(median(confidence), 6) AS median, round(stddev_pop(confidence), 6) AS stddev, min(confidence) AS min, max(confidence) AS max FROM asym GROUP BY relation""")
+def score_diagnostics(spark, sf_dir):
+    got = R.score_diagnostics(D.predictions(spark, sf_dir))
+    return got.withColumns({c: F.round(c, 6) for c in ("mean", "median", "stddev")})
+
+
+# --- confidences and prompts --------------------------------------------------------------------
+
+_YES, _NO = r"(?i)(^|[^\p{L}])(true|yes)([^\p{L}]|$)", r"(?i)(^|[^\p{L}])(false|no)([^\p{L}]|$)"
+_FTC = f"""{D.LOGPROB_SQL},
+b AS (SELECT doc_id, coalesce(max(CASE WHEN regexp_matches(token, '{_YES}') THEN exp(logprob) END), 0) AS y, coalesce(max(CASE WHEN regexp_matches(token, '{_NO}') THEN exp(logprob) END), 0) AS n FROM lp GROUP BY doc_id),
+ftc AS (SELECT doc_id, round(CASE WHEN y + n > 0 THEN y / (y + n) ELSE 0.5 END, 6) AS confidence FROM b)"""
+
+
+def _ftc(spark, sf_dir):
+    return SC.first_token_confidence(D.logprobs(spark, sf_dir), "doc_id").withColumn("confidence", F.round("confidence", 6))
+
+
+@_register(f"WITH {_FTC} SELECT * FROM ftc")
+def first_token_confidence(spark, sf_dir):
+    return _ftc(spark, sf_dir)
+
+
+@_register(f"WITH {_FTC} SELECT * FROM ftc WHERE confidence >= 0.6")
+def rerank_threshold(spark, sf_dir):
+    return A.at_least(_ftc(spark, sf_dir), 0.6)
+
+
+_RERANK = prompts.reranking("c").to_text()
+
+
+@_register(f"""SELECT s_suppkey, replace(replace(replace(replace('{_RERANK.replace("'", "''")}', '{{source_url}}', 'urn:supplier:' || s_suppkey), '{{target_url}}', 'urn:nation:' || s_nationkey),
+'{{source_kg}}', s_name), '{{target_kg}}', n_name) AS prompt FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def prompt_render(spark, sf_dir):
+    s, n = D.table(spark, sf_dir, "supplier"), D.table(spark, sf_dir, "nation")
+    j = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    iri = lambda kind, c: F.concat(F.lit(f"urn:{kind}:"), F.col(c).cast("string"))
+    body = prompts.reranking("c").column(source_url=iri("supplier", "s_suppkey"), target_url=iri("nation", "s_nationkey"), source_kg=F.col("s_name"), target_kg=F.col("n_name"))
+    return j.select("s_suppkey", body.alias("prompt"))
+
+
+_SYM = prompts.INSTRUCTIONS["sym_v1"]
+
+
+@_register(f"""SELECT doc_id, 'Instruct: {_SYM}' || chr(10) || 'Query: ' || text AS instructed, '{_SYM}' || chr(10) || text AS plain, text AS bare FROM documents""")
+def instruction_format(spark, sf_dir):
+    d, i = D.table(spark, sf_dir, "documents"), prompts.instruction("sym_v1")
+    form = lambda f, x: prompts.with_instruction(f, x, F.col("text"))
+    return d.select("doc_id", form("e5-mistral", i).alias("instructed"), form("sbert", i).alias("plain"), form("auto", prompts.instruction("none")).alias("bare"))
+
+
+# --- pipelines ----------------------------------------------------------------------------------
+
+
+@_register(f"""WITH {_PARTS}, {_BOTH}, pos AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, source, target, relation) AS place FROM two),
+ends AS (SELECT place, source AS uri FROM pos UNION ALL SELECT place, target FROM pos),
+cnt AS (SELECT place, max(n) AS n FROM (SELECT place, count(*) OVER (PARTITION BY uri ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM ends) GROUP BY place)
+SELECT source, target, relation, confidence FROM pos JOIN cnt USING (place) WHERE n <= 3 AND confidence >= 0.2""")
+def pipeline_sequential(spark, sf_dir):
+    class Threshold:
+        def match(self, s, t, a, p=None):
+            return A.at_least(a, 0.2)
+
+    steps = MA.Sequential([MA.RankCapMatcher(3), Threshold()])
+    return steps.match(None, None, _both(spark, sf_dir)).select(*M.KEY, "confidence")
