@@ -24,7 +24,7 @@ from kgloom.llm.tokens import encoder
 WINDOW = 4096
 END_ID = 2
 #: Bytes of ids after which a batch goes out, so that a batch of long texts stays small.
-FLUSH = 16 << 20
+FLUSH = 4 << 20
 
 
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:

@@ -41,6 +41,8 @@ ZEROS, ESCAPE = 120, 15
 #: Ids after which a block is closed.
 BLOCK = 1 << 18
 END_ID = 2
+#: Chunks a worker remembers: more than elsewhere, as ranges of doc_id mix all languages and sources.
+MEMORY = 1_000_000
 
 #: Ids a word of each selector covers.
 _TAKES = np.array([ZEROS, *COUNTS, 1])
@@ -167,7 +169,7 @@ def write_files(docs: DataFrame, path: str, files: int | None = None, id_col: st
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part = encoder(path), TaskContext.get().partitionId()
+        enc, part = encoder(path, MEMORY), TaskContext.get().partitionId()
         block_no, start, doc, lengths, held, n = 0, 0, [], [], [], 0
 
         def block():

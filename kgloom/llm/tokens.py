@@ -29,7 +29,7 @@ BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in
 _encoders: dict[tuple, "Encoder"] = {}
 
 
-def encoder(path: str, memory: int = 1_200_000) -> "Encoder":
+def encoder(path: str, memory: int = 500_000) -> "Encoder":
     """One encoder per worker process and file; it outlives the task."""
     if (path, memory) not in _encoders:
         _encoders[path, memory] = Encoder(path, memory)
@@ -74,7 +74,7 @@ class _Memory(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, memory: int = 1_200_000):
+    def __init__(self, path: str, memory: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
