@@ -14,7 +14,7 @@ Quotas never exceed 2 b, so no document is taken more than twice.
 
 Highest quotients over many seats are found by their divisor: the seats of a party are its votes
 over a common divisor, rounded; the divisor is bisected until the seats add up. Only cell totals
-come to the driver, about sqrt(rows) / 8 shards times the sources.
+come to the driver, about sqrt(rows) / 3 shards times the sources.
 
 Defined results: the size of a null text is 0 and nothing is taken from it; null is a source of its
 own, last in the order; a null doc_id orders first; repeated rows are documents of their own; an
@@ -141,7 +141,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: Fraction = SHARE, most
     )
     base = common.written(base, "mixing")
     rows = base.count()
-    shards = max(1, math.ceil(math.sqrt(rows) / 8))
+    shards = max(1, math.ceil(math.sqrt(rows) / 3))
     base = base.withColumn("shard", F.pmod("order", F.lit(shards)).cast("int"))
     totals = base.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()
     names = sorted({r["source"] for r in totals}, key=lambda x: (x is None, x))  # by code point, null last
