@@ -22,7 +22,7 @@ def duck(sf_dir):
 
 def rows(df):
     def plain(v):
-        if v is None or v != v or str(v) == "<NA>":
+        if v is None or str(v) == "<NA>" or v != v:
             return None
         v = v.item() if hasattr(v, "item") else v
         return round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
