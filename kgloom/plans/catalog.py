@@ -162,6 +162,25 @@ def describe_text(spark, sf_dir):
     return G.describe("description_text", *_some(spark, sf_dir))
 
 
+_ALL = f"e AS (SELECT uri FROM {_CLASSES})"
+
+
+def _whole(name: str, description: str) -> None:
+    """The query ``<name>_all``: every class of the graph described; its SQL is that of ``name`` without the filter."""
+
+    def query(spark, sf_dir):
+        t = D.kg(spark, sf_dir)
+        out = G.describe(description, t, G.classes(t))
+        return out if description == "description_text" else out.select("entity", "s", "p", "o")
+
+    query.__name__ = f"{name}_all"
+    _register(_SQL[name].replace(_SOME, _ALL))(query)
+
+
+for _name in ("two_outgoing", "three_outgoing", "two_outgoing_blank", "one_gen", "basic", "text"):
+    _whole(f"describe_{_name}", f"description_{_name}")
+
+
 _CLOSURE = f"""tc AS (SELECT o AS anc, s AS low FROM kg WHERE p = '{_SUB}' UNION SELECT tc.anc, k.s FROM tc JOIN kg k ON k.p = '{_SUB}' AND k.o = tc.low),
 cl AS (SELECT anc, low FROM tc WHERE anc <> low)"""
 
@@ -222,6 +241,18 @@ def _words_sql(label: str) -> str:
     return f"list_sort(list_distinct(list_filter({x}, lambda w: NOT list_contains({_STOP}, w))))"
 
 
+def _words_of_text_sql(label: str) -> str:
+    """The same for any text: white space is Unicode's, as in token_set, and the stop words are all of STOPWORDS."""
+    space = "\\s\\p{Z}\\x0B\\x{85}"
+    x = f"regexp_replace({label}, '^[{space}]+|[{space}]+$', '', 'g')"
+    camel = f"'([^{space}\"_])([A-Z][a-z])', '\\1_\\2', 'g'"
+    x = f"regexp_replace(regexp_replace({x}, {camel}), {camel})"
+    x = f"regexp_replace(lower(replace({x}, ' ', '_')), '[^a-z0-9{space}:_]', '_', 'g')"
+    x = f"string_split(regexp_replace({x}, '_+', '_', 'g'), '_')"
+    stop = "[" + ", ".join(f"'{w}'" for w in ("", *X.STOPWORDS)) + "]"
+    return f"list_sort(list_distinct(list_filter({x}, lambda w: NOT list_contains({stop}, w))))"
+
+
 @_register(f"""WITH l AS (SELECT DISTINCT p_name AS label FROM part UNION SELECT DISTINCT c_name FROM customer UNION SELECT DISTINCT string_split(text, chr(10))[1] FROM documents)
 SELECT label, array_to_string({_words_sql('label')}, ' ') AS words FROM l""")
 def label_normalize(spark, sf_dir):
@@ -230,6 +261,16 @@ def label_normalize(spark, sf_dir):
     return rows.select("label", F.array_join(X.token_set(F.col("label")), " ").alias("words"))
 
 
+@_register(f"""WITH l AS (SELECT p_name AS label FROM part UNION SELECT c_name FROM customer UNION SELECT unnest(string_split(text, chr(10))) FROM documents)
+SELECT label, array_to_string({_words_of_text_sql('label')}, ' ') AS words FROM l""")
+def label_normalize_all(spark, sf_dir):
+    """Every line of every document, not the first alone."""
+    t = lambda n: D.table(spark, sf_dir, n)
+    lines = t("documents").select(F.explode(F.split("text", "\n")).alias("label")).distinct()
+    rows = t("part").select(F.col("p_name").alias("label")).union(t("customer").select("c_name")).union(lines).distinct()
+    return rows.select("label", F.array_join(X.token_set(F.col("label")), " ").alias("words"))
+
+
 _PARTS = f"""pl AS (SELECT 'urn:part:' || p_partkey AS uri, p_partkey % 2 AS side, p_name, {_words_sql('p_name')} AS w FROM part),
 lex AS (SELECT DISTINCT a.uri AS source, b.uri AS target, '=' AS relation, 1.0::DOUBLE AS confidence FROM pl a JOIN pl b ON a.w = b.w WHERE a.side = 0 AND b.side = 1)"""
 
