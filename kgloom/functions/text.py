@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Common stop-words of label normalisation. Longer lists are a parameter, see stopwords().
-STOPWORDS = (
+# Stop-words of label normalisation. COMMON_STOPWORDS are those of the SQL of label_normalize,
+# STOPWORDS the whole set. Other lists are a parameter, see stopwords().
+COMMON_STOPWORDS = (
     "a about after again all almost also although always am among an and another any anyone anything are as at be because become been before being but by "
     "can cannot could de do done during each either else enough etc even ever every everyone everything except few for found further get give go had has "
     "have he hence her here hers herself him himself his how however i ie if in inc indeed into is it its itself less ltd made may me might mine more most "
@@ -19,6 +20,15 @@ STOPWORDS = (
     "therefore these they this those though through thus to together too toward un until up upon us very was we well were what when where whether which while "
     "who whole whom whose why will with within without would yet you your yours yourself yourselves"
 ).split()
+STOPWORDS = sorted(
+    COMMON_STOPWORDS
+    + (
+        "afterwards alone along already amongst amoungst anyhow anyway anywhere became becomes becoming beforehand cant co con couldnt cry describe eg elsewhere "
+        "empty everywhere fify fill find fire hasnt hereafter hereby herein hereupon keep latterly meanwhile mill moreover move namely nevertheless noone nowhere "
+        "please put seemed seeming serious sincere somehow sometime sometimes somewhere still take thence thereafter thereby therein thereupon throughout thru "
+        "towards whatever whence whenever whereafter whereas whereby wherein whereupon wherever whither whoever"
+    ).split()
+)
 
 
 def stopwords(path: str) -> list[str]:

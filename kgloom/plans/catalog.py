@@ -228,7 +228,7 @@ def sparql_property_path(spark, sf_dir):
 
 # --- labels and lexical matching ----------------------------------------------------------------
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in ("", *X.STOPWORDS)) + "]"
+_STOP = "[" + ", ".join(f"'{w}'" for w in ("", *X.COMMON_STOPWORDS)) + "]"
 
 
 def _words_sql(label: str) -> str:
@@ -258,7 +258,7 @@ SELECT label, array_to_string({_words_sql('label')}, ' ') AS words FROM l""")
 def label_normalize(spark, sf_dir):
     t = lambda n: D.table(spark, sf_dir, n)
     rows = t("part").select(F.col("p_name").alias("label")).union(t("customer").select("c_name")).union(t("documents").select(F.element_at(F.split("text", "\n"), 1))).distinct()
-    return rows.select("label", F.array_join(X.token_set(F.col("label")), " ").alias("words"))
+    return rows.select("label", F.array_join(X.token_set(F.col("label"), stopwords=X.COMMON_STOPWORDS), " ").alias("words"))
 
 
 @_register(f"""WITH l AS (SELECT p_name AS label FROM part UNION SELECT c_name FROM customer UNION SELECT unnest(string_split(text, chr(10))) FROM documents)

@@ -2,7 +2,10 @@
 
 import pytest
 
+from kgloom import model as M
+from kgloom.functions import text as X
 from kgloom.operators import graph as G
+from kgloom.operators import matchers as MA
 from kgloom.plans import catalog
 from kgloom.plans import derived as D
 from pyspark.sql import functions as F
@@ -25,3 +28,14 @@ def test_every_line_is_normalized(spark, sf_dir):
     lines = {x for r in D.table(spark, sf_dir, "documents").select("text").collect() if r.text is not None for x in r.text.split("\n")}
     got = {r.label for r in catalog.queries()["label_normalize_all"](spark, sf_dir).collect()}
     assert lines <= got
+
+
+def test_all_stop_words(spark):
+    assert len(set(X.STOPWORDS)) == len(X.STOPWORDS) == 258 and {"towards", "therein", "fire", "mill", "co"} <= set(X.STOPWORDS)
+    side = lambda uri, label: spark.createDataFrame([(uri, label)], "uri string, label string")
+    s, t = side("a", "Fire station"), side("b", "Station")
+    assert [(r.source, r.target) for r in MA.lexical(s, t).collect()] == [("a", "b")]
+    assert MA.lexical(s, t, stopwords=["the"]).count() == 0
+    graph = lambda uri, label: spark.createDataFrame([("g", uri, "iri", p, o, k, None, None) for p, o, k in ((M.TYPE, M.OWL + "Class", "iri"), (M.LABEL, label, "literal"))], M.TRIPLES)
+    assert MA.LexicalMatcher().match(graph("a", "Fire station"), graph("b", "Station")).count() == 1
+    assert MA.LexicalMatcher(("the",)).match(graph("a", "Fire station"), graph("b", "Station")).count() == 0
