@@ -2,15 +2,19 @@
 
 Every source's documents stand in a seeded order, cell by cell, where a cell is the part of a
 source in one shard (a hash of the document). Their words form one line, cut into blocks of
-``BLOCK`` words; only a source's last block is shorter. Blocks are the seats: the sources' targets
-are the votes, and seats go to the highest quotients target / (2 s + 1). Inside a source, its
-seats are apportioned to its shards by the same rule, with the blocks that start in a shard as
-votes, so every (source, shard) has an integer quota.
+``BLOCK`` words; only a source's last block is shorter. Seats go to the highest quotients
+votes / (2 s + 1). First the words of the mix are dealt so, with the sources' targets as votes: a
+source's number of words is its target, rounded. As many whole blocks as fit into it are its seats,
+apportioned to its shards by the same rule, with the blocks that start in a shard as votes, so
+every (source, shard) has an integer quota.
 
 A cell with b blocks and quota q takes all its blocks q div b times and q mod b of them once more:
 a run of neighbours in the seeded order, from a seeded place, wrapping round. As the order of
 documents is seeded, a run is a random choice of documents of which only the ends are cut.
-Quotas never exceed 2 b, so no document is taken more than twice.
+Quotas never exceed 2 b. The words that blocks leave (less than a block, and what short blocks
+lack) are dealt out again: runs are prolonged where the line is taken least, so a source below a
+block has its words too, and each source takes its number of words exactly. No document is taken
+more than twice.
 
 Highest quotients over many seats are found by their divisor: the seats of a party are its votes
 over a common divisor, rounded; the divisor is bisected until the seats add up. Only cell totals
@@ -91,41 +95,77 @@ def _start(cell: tuple[int, int], blocks: int, seed: int) -> int:
     return (x ^ (x >> 29)) % blocks
 
 
+Piece = tuple[int, int, int]  # from, to, times: words on the line of a source and how often they are taken
+
+
+def _joined(pieces: list[Piece]) -> list[Piece]:
+    """Without empty pieces, neighbours taken equally often made one."""
+    out: list[Piece] = []
+    for a, b, n in pieces:
+        if a < b:
+            if out and out[-1][2] == n and out[-1][1] == a:
+                a = out.pop()[0]
+            out.append((a, b, n))
+    return out
+
+
+def _prolonged(line: list[Piece], rest: int) -> list[Piece]:
+    """``rest`` more words, from the pieces taken least, where a run ends if there is such a place."""
+    while rest > 0:
+        least = min(n for _, _, n in line)
+        open_ = [i for i, x in enumerate(line) if x[2] == least]
+        i = next((i for i in open_ if i and line[i - 1][2] > least), open_[0])
+        a, b, n = line[i]
+        end = min(b, a + rest)
+        rest -= end - a
+        line = _joined([*line[:i], (a, end, n + 1), (end, b, n), *line[i + 1 :]])
+    return line
+
+
 def plan(cells: list[tuple[int, int, int]], weights: tuple = WEIGHTS, share: Fraction = SHARE, most: int = MOST, block: int = BLOCK, seed: int = SEED) -> tuple[list, list]:
     """Quotas. cells: (source number, shard, words), every source from 0 on present.
 
-    Returns the sources' (number, size, target) and per cell (number, shard, base, first block,
-    blocks, whole passes, run start, run length, times the block reaching in is taken)."""
-    sources = sorted({c[0] for c in cells})
-    size = {s: 0 for s in sources}
-    for s, _, n in cells:
-        size[s] += n
+    Returns the sources' (number, size, target) and per cell (number, shard, base, pieces), the
+    pieces in order and together all words of the cell."""
+    of: dict[int, list] = {}
+    for c in sorted(cells):
+        of.setdefault(c[0], []).append(c)
+    size = {s: sum(n for _, _, n in own) for s, own in of.items()}
+    sources = list(of)
     aim = dict(zip(sources, targets([size[s] for s in sources], [weights[s % len(weights)] for s in sources], share, most)))
-    blocks = {s: -(-size[s] // block) for s in sources}
-    seats = dict(zip(sources, sainte_lague([aim[s] for s in sources], round(sum(aim.values()) / block), [most * blocks[s] for s in sources])))
+    words = dict(zip(sources, sainte_lague([aim[s] for s in sources], round(sum(aim.values())), [most * size[s] for s in sources])))
     out = []
-    for s in sources:
-        own, at = sorted(c for c in cells if c[0] == s), 0
-        starts = []
+    for s, own in of.items():
+        at, starts = 0, []
         for _, _, n in own:
             starts.append((at, -(-at // block), -(-(at + n) // block) - -(-at // block)))  # base, first block, blocks
             at += n
-        quota = sainte_lague([Fraction(b) for _, _, b in starts], seats[s], [most * b for _, _, b in starts])
-        reaching = 0
-        for (_, shard, _), (base, first, b), q in zip(own, starts, quota):
-            passes, run = divmod(q, b) if b else (0, 0)
-            begin = _start((s, shard), b, seed) if b else 0
-            out.append((s, shard, base, first, b, passes, begin, run, reaching))
+        quota = sainte_lague([Fraction(b) for _, _, b in starts], words[s] // block, [most * b for _, _, b in starts])
+        line = []
+        for (_, shard, _), (_, first, b), q in zip(own, starts, quota):
             if b:
-                reaching = passes + int((b - 1 - begin) % b < run)
+                passes, run = divmod(q, b)
+                begin = _start((s, shard), b, seed)
+                wrapped = max(0, begin + run - b)
+                for x, y, n in ((0, wrapped, 1), (wrapped, begin, 0), (begin, begin + run - wrapped, 1), (begin + run - wrapped, b, 0)):
+                    line.append(((first + x) * block, min((first + y) * block, size[s]), passes + n))
+        line = _joined(line)
+        line = _prolonged(line, words[s] - sum((b - a) * n for a, b, n in line))
+        i = 0
+        for (_, shard, n), (base, _, _) in zip(own, starts):
+            pieces = []
+            while n and i < len(line):
+                a, b, times = line[i]
+                pieces.append((max(a, base), min(b, base + n), times))
+                if b > base + n:
+                    break
+                i += 1
+                if b == base + n:
+                    break
+            out.append((s, shard, base, pieces))
     return [(s, size[s], float(aim[s])) for s in sources], out
 
 
-def _overlap(a, b, lo, hi):
-    """Words that [a, b) and [lo, hi) share."""
-    return F.greatest(F.least(b, hi) - F.greatest(a, lo), F.lit(0).cast("bigint"))
-
-
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: Fraction = SHARE, most: int = MOST, block: int = BLOCK, seed: int = SEED,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, tie (a hash of its text), source, size, source_size, target, taken, passes, spans.
@@ -148,32 +188,24 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: Fraction = SHARE, most
     number = {x: i for i, x in enumerate(names)}
     sizes, cells = plan([(number[r["source"]], r["shard"], r["n"]) for r in totals], weights, share, most, block, seed)
     by = {s: (n, t) for s, n, t in sizes}
-    kind = "source string, shard int, base bigint, first bigint, blocks bigint, passes bigint, begin bigint, run bigint, reaching bigint, source_size bigint, target double"
+    kind = "source string, shard int, base bigint, pieces array<struct<from:bigint,to:bigint,times:bigint>>, source_size bigint, target double"
     quotas = common.driver_table(spark, [(names[c[0]], *c[1:], *by[c[0]]) for c in cells], kind)
     w = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = base.withColumn("end", F.sum("size").over(w))
     j = placed.alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")))
-    j = j.select("d.doc_id", "d.tie", "d.source", "d.size", "d.end", *[f"q.{c.split()[0]}" for c in kind.split(", ")[2:]])
     # word ranges on the line of the source
-    c, last = F.col, (c_base := F.col("base")) + F.col("end")
-    a, b = last - c("size"), last
-    lead = c("first") * block  # here the first block that starts in the cell begins
-    lo = lead + c("begin") * block
-    hi = lead + (c("begin") + c("run")) * block
-    wrap = lead + c("blocks") * block
-    own = F.greatest(b - F.greatest(a, lead), F.lit(0).cast("bigint"))  # words in blocks of this cell
-    run = _overlap(a, b, lo, F.least(hi, wrap)) + _overlap(a, b, lead, hi - c("blocks") * block)
-    taken = (c("size") - own) * c("reaching") + own * c("passes") + run
-    cut = lambda x, y: F.struct(F.greatest(x - a, F.lit(0).cast("bigint")).alias("from"), F.least(y - a, c("size")).alias("to"))
-    whole = F.when(own == c("size"), c("passes")).when(own == 0, c("reaching")).otherwise(F.least("reaching", "passes"))
-    extra = F.array(
-        F.struct(cut(c_base, lead)["from"].alias("from"), cut(c_base, lead)["to"].alias("to"), F.when(own < c("size"), c("reaching") - whole).otherwise(0).alias("times")),
-        F.struct(cut(lead, wrap)["from"].alias("from"), F.lit(None).cast("bigint").alias("to"), F.when(own > 0, c("passes") - whole).otherwise(0).alias("times")),
-        F.struct(cut(lead, hi - c("blocks") * block)["from"].alias("from"), cut(lead, hi - c("blocks") * block)["to"].alias("to"), F.when(_overlap(a, b, lead, hi - c("blocks") * block) > 0, 1).otherwise(0).alias("times")),
-        F.struct(cut(lo, F.least(hi, wrap))["from"].alias("from"), cut(lo, F.least(hi, wrap))["to"].alias("to"), F.when(_overlap(a, b, lo, F.least(hi, wrap)) > 0, 1).otherwise(0).alias("times")),
+    c, b = F.col, F.col("q.base") + F.col("d.end")
+    j = j.select("d.doc_id", "d.tie", "d.source", "d.size", "q.source_size", "q.target", (b - c("d.size")).alias("a"), b.alias("b"), "q.pieces")
+    a, b, zero = c("a"), c("b"), F.lit(0).cast("bigint")
+    hit = F.transform(
+        F.filter("pieces", lambda x: (x["from"] < b) & (x["to"] > a)),
+        lambda x: F.struct((F.greatest(x["from"], a) - a).alias("from"), (F.least(x["to"], b) - a).alias("to"), x["times"].alias("times")),
     )
-    spans = F.flatten(F.transform(extra, lambda x: F.array_repeat(F.struct(x["from"].alias("from"), F.coalesce(x["to"], c("size")).alias("to")), x["times"].cast("int"))))
-    return j.select("doc_id", "tie", "source", "size", "source_size", "target", taken.alias("taken"), whole.alias("passes"), spans.alias("spans"))
+    j = j.withColumn("hit", hit)
+    taken = F.aggregate("hit", zero, lambda n, x: n + (x["to"] - x["from"]) * x["times"])
+    j = j.withColumn("taken", taken).withColumn("passes", F.coalesce(F.array_min(F.transform("hit", lambda x: x["times"])), zero))
+    spans = F.flatten(F.transform("hit", lambda x: F.array_repeat(F.struct(x["from"].alias("from"), x["to"].alias("to")), (x["times"] - c("passes")).cast("int"))))
+    return j.select("doc_id", "tie", "source", "size", "source_size", "target", "taken", "passes", spans.alias("spans"))
 
 
 def digest(mixed: DataFrame) -> DataFrame:
