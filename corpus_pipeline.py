@@ -23,8 +23,8 @@ def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the least doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each SimHash component one row stays: the least doc_id, nulls last, ties by text."""
+    return simhash.keep_first(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

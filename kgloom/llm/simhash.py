@@ -184,16 +184,21 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the least doc_id of its component)."""
+def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """One row per document: doc_id, tie, fp, component (its least fingerprint), component_id."""
     prints = common.written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     fps = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = common.written(components(common.written(links(fps.select("fp"), fps.count(), radius), "links")), "components")
     named = fps.join(found, fps.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
     named = common.written(named, "named")
     names = common.written(named.groupBy("component").agg(F.min("least").alias("component_id")), "names")
-    table = common.written(named.join(names, "component").select("fp", "component_id"), "table")
-    return prints.join(table, "fp").select("doc_id", "tie", "fp", "component_id")
+    table = common.written(named.join(names, "component").select("fp", "component", "component_id"), "table")
+    return prints.join(table, "fp").select("doc_id", "tie", "fp", "component", "component_id")
+
+
+def groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the least doc_id of its component)."""
+    return _grouped(docs, radius, id_col, text_col, shingle, seed).select("doc_id", "tie", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,5 +213,24 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text
     return rows.join(gone, ["doc_id", "tie"], "left_anti").select("row.*")
 
 
+def keep_first(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of each component, with all its columns: the first by doc_id, nulls last, then
+    by a hash of the text; of rows that repeat both, the one whose row has the least hash."""
+    key = ["none", "k", "tie"]
+    named = lambda i: [i.isNull().alias("none"), F.coalesce(i, F.lit(0).cast("bigint")).alias("k")]
+    found = _grouped(docs, radius, id_col, text_col, SHINGLE, SEED)
+    counted = common.written(found.select("component", *named(F.col("doc_id")), "tie").groupBy("component", *key).count(), "counted")
+    first = counted.groupBy("component").agg(F.min(F.struct(*key)).alias("first"), F.sum("count").alias("rows")).where("rows > 1")
+    several = counted.join(first, "component").select(*key, (F.struct(*key) == F.col("first")).alias("stays"), "count")
+    several = common.written(several.where("not stays or count > 1"), "several")
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", *named(F.col(f"row.`{id_col}`").cast("bigint")), F.xxhash64(F.col(f"row.`{text_col}`").cast("string")).alias("tie"))
+    once = rows.join(several.select(key), key, "left_anti").select("row")
+    repeated = several.where("stays").select(key)
+    if not repeated.isEmpty():
+        once = once.unionByName(rows.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
+    return once.select("row.*")
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
