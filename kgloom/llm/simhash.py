@@ -18,6 +18,7 @@ the fingerprint table; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -158,18 +159,21 @@ def links(fps: DataFrame, count: int, radius: int = RADIUS, tile: int = TILE) ->
     return pairs.select(same.alias("same"), "fps_a", "fps").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) of every node of an edge; a component is named by its least node.
 
     Alternating stars: a large star links every larger neighbour of a node to its least neighbour,
     a small star every smaller one. Each round is written, so lineage stays short; the rounds grow
     with the logarithm of the nodes. Groups are never gathered: minima are aggregates, joined back.
+    It goes on until a round changes nothing; where ``rounds`` run out before, it raises.
     """
     spark = edges.sparkSession
     a, b = F.col("a"), F.col("b")
     now = common.written(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    for done in itertools.count():
+        if done == rounds:
+            raise RuntimeError(f"the components have not settled in {rounds} rounds")
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         least = common.written(both.groupBy("a").agg(F.least(F.min("b"), a).alias("m")), "least")
         large = common.written(both.where(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct(), "large")
