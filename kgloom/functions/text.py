@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Stop-words of label normalisation. COMMON_STOPWORDS are those of the SQL of label_normalize,
-# STOPWORDS the whole set. Other lists are a parameter, see stopwords().
-COMMON_STOPWORDS = (
-    "a about after again all almost also although always am among an and another any anyone anything are as at be because become been before being but by "
-    "can cannot could de do done during each either else enough etc even ever every everyone everything except few for found further get give go had has "
-    "have he hence her here hers herself him himself his how however i ie if in inc indeed into is it its itself less ltd made may me might mine more most "
-    "mostly much must my myself neither never next no nobody none nor not nothing now of off often on once only onto or otherwise our ours ourselves out "
-    "own per perhaps rather re same see seem seems several she should since so some someone something such than that the their them themselves then there "
-    "therefore these they this those though through thus to together too toward un until up upon us very was we well were what when where whether which while "
-    "who whole whom whose why will with within without would yet you your yours yourself yourselves"
+
+# The stop words of label normalisation. Another list is a parameter, see stopwords().
+STOPWORDS = (
+    "a about after afterwards again all almost alone along already also although always am among amongst amoungst an and another any anyhow anyone anything "
+    "anyway anywhere are as at be became because become becomes becoming been before beforehand being but by can cannot cant co con could couldnt cry de "
+    "describe do done during each eg either else elsewhere empty enough etc even ever every everyone everything everywhere except few fify fill find fire "
+    "for found further get give go had has hasnt have he hence her here hereafter hereby herein hereupon hers herself him himself his how however i ie if "
+    "in inc indeed into is it its itself keep latterly less ltd made may me meanwhile might mill mine more moreover most mostly move much must my myself "
+    "namely neither never nevertheless next no nobody none noone nor not nothing now nowhere of off often on once only onto or otherwise our ours ourselves "
+    "out own per perhaps please put rather re same see seem seemed seeming seems serious several she should since sincere so some somehow someone something "
+    "sometime sometimes somewhere still such take than that the their them themselves then thence there thereafter thereby therefore therein thereupon "
+    "these they this those though through throughout thru thus to together too toward towards un until up upon us very was we well were what whatever when "
+    "whence whenever where whereafter whereas whereby wherein whereupon wherever whether which while whither who whoever whole whom whose why will with "
+    "within without would yet you your yours yourself yourselves"
 ).split()
-STOPWORDS = sorted(
-    COMMON_STOPWORDS
-    + (
-        "afterwards alone along already amongst amoungst anyhow anyway anywhere became becomes becoming beforehand cant co con couldnt cry describe eg elsewhere "
-        "empty everywhere fify fill find fire hasnt hereafter hereby herein hereupon keep latterly meanwhile mill moreover move namely nevertheless noone nowhere "
-        "please put seemed seeming serious sincere somehow sometime sometimes somewhere still take thence thereafter thereby therein thereupon throughout thru "
-        "towards whatever whence whenever whereafter whereas whereby wherein whereupon wherever whither whoever"
-    ).split()
-)
 
 
 def stopwords(path: str) -> list[str]:
@@ -50,14 +40,14 @@ def mostly_numbers(text: Column) -> Column:
     return digits >= solid / 2
 
 
-@F.pandas_udf(T.StringType())
-def _percent_decoded(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unquote(x))
-
-
 def percent_decode(text: Column) -> Column:
-    """URL unquoting that leaves malformed escapes and plus signs alone."""
-    return F.when(F.contains(text, F.lit("%")), _percent_decoded(text)).otherwise(text)
+    """URL unquoting that leaves malformed escapes and plus signs alone; bytes that are no UTF-8 become
+    replacement characters. The text is put together in hexadecimal, so that escapes in a row make one
+    character, all on the JVM and for texts with a percent sign alone."""
+    escape = lambda p: p.rlike("^[0-9A-Fa-f]{2}")
+    rest = lambda p: F.when(escape(p), F.concat(F.substring(p, 1, 2), F.hex(F.substring(p, F.lit(3), F.length(p))))).otherwise(F.concat(F.lit("25"), F.hex(p)))
+    digits = F.array_join(F.transform(F.split(text, "%"), lambda p, i: F.when(i == 0, F.hex(p)).otherwise(rest(p))), "")
+    return F.when(F.contains(text, F.lit("%")), F.make_valid_utf8(F.unhex(digits).cast("string"))).otherwise(text)
 
 
 def token_set(label: Column, decode: bool = True, stopwords: tuple | list = STOPWORDS) -> Column:
@@ -67,7 +57,7 @@ def token_set(label: Column, decode: bool = True, stopwords: tuple | list = STOP
     an underscore for all but a-z, 0-9, white space, colon and underscore. As lower case precedes
     decoding, decoded capitals become underscores; as the apostrophe is gone by then, a genitive
     leaves an ``s``; white space other than the space stays inside words. All regular expressions
-    are Unicode-aware. ``decode=False`` leaves the Python stage out where no label can hold '%'."""
+    are Unicode-aware. ``decode=False`` leaves the escapes as they are."""
     x = F.regexp_replace(label, r"(?U)^\s+|\s+$", "")
     x = F.regexp_replace(x, r'(?U)(?<!^)(?<!\s|")(?=[A-Z][a-z])', "_")
     x = F.lower(F.replace(x, F.lit(" "), F.lit("_")))
@@ -103,6 +93,7 @@ def sublist_positions(full: Column, sub: Column, first_only: bool = False, also:
     return F.array_sort(F.array_distinct(covered))
 
 
+# Patterns of a positive and a negative answer.
 _TRUTH = {
     "general": (r"(?i)(^|[^\p{L}])(true|yes)([^\p{L}]|$)", r"(?i)(^|[^\p{L}])(false|no)([^\p{L}]|$)"),
     "specific": (r"(?iU)(^|[.,:\s])yes([.,:\s]|$)", r"(?iU)(^|[.,:\s])no([.,:\s]|$)"),
