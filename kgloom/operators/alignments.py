@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.model import KEY, alignment
+from kgloom.operators.settle import settled
 
 
 def upsert(*alignments: DataFrame) -> DataFrame:
@@ -73,16 +74,22 @@ def rank_cap(a: DataFrame, n: int) -> DataFrame:
     both roles and every row counts, kept or not; a row that maps an entity to itself counts
     twice. So this is no greedy assignment: a row dropped for one end still uses up the other.
 
-    Both ends are laid out as one column of entities with the row's place in the walk, and a
-    running count by range gives each row the count after it. The place is the sort key itself,
-    compared as a struct, so there is no global sort: windows are per entity.
+    Both ends are laid out as one column of entities with the row's place in the walk: the sort key
+    itself, compared as a struct. They are dealt by ranges of (entity, place), so an entity of very
+    many rows spreads over several ranges; running counts inside a range, and the entity's totals of
+    its ranges before, which are few, add up to the count after each row.
     """
     place = F.struct((-F.col("confidence")).alias("c"), F.col("source").alias("s"), F.col("target").alias("t"), F.col("relation").alias("r"))
-    ends = a.withColumn("_at", place).withColumn("_uri", F.explode(F.array("source", "target")))
-    walk = Window.partitionBy("_uri").orderBy("_at")
+    ends = a.select(place.alias("_at"), F.explode(F.array("source", "target")).alias("_uri"))
+    # written: the ranges are sampled, and every use must see the same
+    ends = settled(ends.repartitionByRange("_uri", "_at").withColumn("_range", F.spark_partition_id()))
     # the default frame with an order is by range: rows of equal place count together
-    counted = ends.withColumn("_n", F.count("*").over(walk)).groupBy("_at").agg(F.max("_n").alias("_n"))
-    kept = counted.where(F.col("_n") <= n).select(F.col("_at.s").alias("source"), F.col("_at.t").alias("target"), F.col("_at.r").alias("relation"))
+    inside = ends.withColumn("_n", F.count("*").over(Window.partitionBy("_range", "_uri").orderBy("_at")))
+    totals = ends.groupBy("_uri", "_range").agg(F.count("*").alias("_all"))
+    earlier = Window.partitionBy("_uri").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.withColumn("_base", F.sum("_all").over(earlier)).where("_base > 0").select("_uri", "_range", "_base")
+    counted = inside.join(base, ["_uri", "_range"], "left").withColumn("_n", F.col("_n") + F.coalesce("_base", F.lit(0).cast("bigint")))
+    kept = counted.groupBy("_at").agg(F.max("_n").alias("_n")).where(F.col("_n") <= n).select(F.col("_at.s").alias("source"), F.col("_at.t").alias("target"), F.col("_at.r").alias("relation"))
     return a.join(kept, KEY, "left_semi")
 
 

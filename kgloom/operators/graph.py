@@ -6,14 +6,13 @@ Every operator is one batch job over all entities. ``triples`` has the schema of
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom import model as M
 from kgloom.functions.text import fragment, mostly_numbers
+from kgloom.operators.settle import settled
 
 _T = ["s", "s_kind", "p", "o", "o_kind", "o_lang", "o_dtype"]
 
@@ -78,6 +77,18 @@ def first_classes(triples: DataFrame, n: int = 3) -> DataFrame:
     return classes(triples).orderBy("uri").limit(n)
 
 
+def only_classes(triples: DataFrame, keep: DataFrame) -> DataFrame:
+    """A graph whose classes are those of ``keep`` (uri) alone: what makes another entity a class is
+    left out, all else about it stays, so descriptions still reach it."""
+    gone = classes(triples).join(keep.select("uri"), "uri", "left_anti")
+    typed = (F.col("p") == M.TYPE) & F.col("o").isin(M.CLASS_TYPES)
+    makes = F.when(typed | (F.col("p") == M.SUBCLASS), F.col("s"))
+    left = triples.withColumn("uri", makes).join(gone, "uri", "left_anti").drop("uri")
+    # a kept class's parents would be classes by being one
+    up = F.when(F.col("p") == M.SUBCLASS, F.col("o"))
+    return left.withColumn("uri", up).join(gone, "uri", "left_anti").drop("uri").select(*triples.columns)
+
+
 # --- descriptions: (entity, s, s_kind, p, o, o_kind, o_lang, o_dtype), distinct -----------------
 
 
@@ -220,30 +231,20 @@ def taxonomy(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.distinct().join(restricted, "uri", "left_anti"), edges.select("child", "parent").distinct()
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration: a written table in the shared folder where the session
-    names one, otherwise the session's cache. Never a local checkpoint."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/kgloom-closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def descendants(edges: DataFrame) -> DataFrame:
     """(ancestor, descendant): transitive closure over (child, parent), self pairs left out.
 
-    Semi-naive: each round joins only the pairs that are new, so a cycle ends the loop."""
+    Semi-naive: each round joins only the pairs that are new and writes those alone, so a cycle ends
+    the loop and no pair is written twice."""
     step = edges.select(F.col("parent").alias("mid"), F.col("child").alias("low")).distinct()
-    known = _settled(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
-    new = known
+    new = settled(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
+    known = new
     while True:
         far = new.join(step, new.descendant == step.mid).select("ancestor", F.col("low").alias("descendant")).distinct()
-        new = _settled(far.join(known, ["ancestor", "descendant"], "left_anti"))
+        new = settled(far.join(known, ["ancestor", "descendant"], "left_anti"))
         if new.isEmpty():
             return known.where(F.col("ancestor") != F.col("descendant"))
-        known = _settled(known.unionByName(new))
+        known = known.unionByName(new)
 
 
 def class_descendants(triples: DataFrame) -> DataFrame:
@@ -259,7 +260,7 @@ def root_classes(triples: DataFrame, top_n: int | None = None) -> DataFrame:
     If there are fewer than ``top_n``, descendants of theirs that have children fill up. Ties go to
     the lesser URI."""
     _, edges = taxonomy(triples)
-    closure = _settled(descendants(edges))
+    closure = settled(descendants(edges))
     counts = closure.groupBy(F.col("ancestor").alias("uri")).agg(F.count("*").alias("n_descendants"))
     # a class that is only its own parent still has an outgoing edge
     roots = counts.join(edges.select(F.col("child").alias("uri")).distinct(), "uri", "left_anti")
@@ -274,7 +275,7 @@ def root_classes(triples: DataFrame, top_n: int | None = None) -> DataFrame:
 def ontology_context(triples: DataFrame, roots: int = 20, per_root: int = 2, properties: int = 20) -> DataFrame:
     """Triples of the ontology headers, the first roots, instances of each and the first properties."""
     head = triples.where((F.col("p") == M.TYPE) & (F.col("o") == M.ONTOLOGY)).select(F.col("s").alias("uri"))
-    top = _settled(root_classes(triples, roots).select("uri"))
+    top = settled(root_classes(triples, roots).select("uri"))
     some = instances(triples, top, per_root).select("uri")
     props = all_properties(triples).orderBy("uri").limit(properties)
     wanted = head.unionByName(top).unionByName(some).unionByName(props).distinct()

@@ -64,11 +64,12 @@ def gold_ranks(predictions: DataFrame, gold: DataFrame) -> DataFrame:
 
     strict: source, target and relation among all predictions of the source; lax: source and
     target; per_relation_strict: among predictions of that relation alone, for < and > only."""
-    r = ranked(predictions)
-    exact = r.groupBy(*KEY).agg(F.min("rank").alias("strict"), F.min("relation_rank").alias("per_relation_strict")).withColumnRenamed("relation", "norm")
-    pair = r.groupBy("source", "target").agg(F.min("rank").alias("lax"))
-    g = normalized_gold(gold)
-    out = g.join(exact, ["source", "target", "norm"], "left").join(pair, ["source", "target"], "left")
+    # one row a pair of entities, with its few relations, so that predictions are ranked once
+    found = F.collect_list(F.struct("relation", "rank", "relation_rank")).alias("found")
+    pair = ranked(predictions).groupBy("source", "target").agg(F.min("rank").alias("lax"), found)
+    out = normalized_gold(gold).join(pair, ["source", "target"], "left")
+    same = F.filter("found", lambda x: x["relation"] == F.col("norm"))
+    out = out.withColumns({"strict": F.array_min(F.transform(same, lambda x: x["rank"])), "per_relation_strict": F.array_min(F.transform(same, lambda x: x["relation_rank"]))})
     directed = F.when(F.col("norm") != "=", F.col("per_relation_strict"))
     return out.select(*KEY, "norm", "label", "strict", "lax", directed.alias("per_relation_strict"))
 
@@ -90,27 +91,33 @@ def _frame(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(cells, "mode string, label string")
 
 
-def recall_at_k(predictions: DataFrame, gold: DataFrame, ks: tuple = K_VALUES) -> DataFrame:
-    """(mode, label, k, n, recall)"""
+def metrics(predictions: DataFrame, gold: DataFrame, ks: tuple = K_VALUES) -> DataFrame:
+    """(mode, label, n, recall (map of k to recall), mrr): one ranking, one join, one aggregate."""
     rows = _by_mode(gold_ranks(predictions, gold))
     hits = [F.count_if(F.col("rank") <= k).alias(f"_{k}") for k in ks]
-    counts = rows.groupBy("mode", "label").agg(F.count("*").alias("n"), *hits)
+    mean = F.avg(F.coalesce(F.try_divide(F.lit(1.0), F.col("rank")), F.lit(0.0))).alias("mrr")
+    counts = rows.groupBy("mode", "label").agg(F.count("*").alias("n"), mean, *hits)
     full = _frame(predictions).join(counts, ["mode", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _ratio(F.col(f"_{k}"), F.col("n")).alias("recall")) for k in ks]))
-    return full.select("mode", "label", "n", cells.alias("x")).select("mode", "label", "x.k", "n", "x.recall")
+    recall = F.create_map(*[x for k in ks for x in (F.lit(k), _ratio(F.col(f"_{k}"), F.col("n")))])
+    return full.select("mode", "label", "n", recall.alias("recall"), F.coalesce("mrr", F.lit(0.0)).alias("mrr"))
+
+
+def recall_at_k(predictions: DataFrame, gold: DataFrame, ks: tuple = K_VALUES) -> DataFrame:
+    """(mode, label, k, n, recall)"""
+    return metrics(predictions, gold, ks).select("mode", "label", "n", F.explode("recall").alias("k", "recall")).select("mode", "label", "k", "n", "recall")
 
 
 def mrr(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """(mode, label, mrr): mean of 1 / rank, a miss counting 0."""
-    rows = _by_mode(gold_ranks(predictions, gold))
-    got = rows.groupBy("mode", "label").agg(F.avg(F.coalesce(F.try_divide(F.lit(1.0), F.col("rank")), F.lit(0.0))).alias("mrr"))
-    return _frame(predictions).join(got, ["mode", "label"], "left").select("mode", "label", F.coalesce("mrr", F.lit(0.0)).alias("mrr"))
+    return metrics(predictions, gold).select("mode", "label", "mrr")
 
 
-def flat_metrics(recall: DataFrame, reciprocal: DataFrame) -> DataFrame:
-    """(metric, value) with names like recall_at_k_strict/all/k=5 and mrr_lax/subclass."""
-    a = recall.select(F.concat(F.lit("recall_at_k_"), "mode", F.lit("/"), "label", F.lit("/k="), F.col("k").cast("string")).alias("metric"), F.col("recall").alias("value"))
-    return a.unionByName(reciprocal.select(F.concat(F.lit("mrr_"), "mode", F.lit("/"), "label").alias("metric"), F.col("mrr").alias("value")))
+def flat_metrics(of: DataFrame) -> DataFrame:
+    """(metric, value) of ``metrics``, with names like recall_at_k_strict/all/k=5 and mrr_lax/subclass."""
+    name = lambda head, *more: F.concat(F.lit(head), "mode", F.lit("/"), "label", *more)
+    recall = F.transform(F.map_entries("recall"), lambda x: F.struct(name("recall_at_k_", F.lit("/k="), x["key"].cast("string")).alias("metric"), x["value"].alias("value")))
+    reciprocal = F.array(F.struct(name("mrr_").alias("metric"), F.col("mrr").alias("value")))
+    return of.select(F.explode(F.concat(recall, reciprocal)).alias("x")).select("x.metric", "x.value")
 
 
 def dropped_relations(gold: DataFrame) -> DataFrame:
@@ -140,7 +147,13 @@ def per_source(predictions: DataFrame, gold: DataFrame, source_labels: DataFrame
 
     Labels are (uri, label); an entity without one gets ''."""
     g = normalized_gold(gold).groupBy("source", "target").agg(F.array_sort(F.collect_set("norm")).alias("rels"))
-    rows = ranked(predictions).join(g, ["source", "target"], "left").join(first_hits(predictions, gold), "source")
+    rows = ranked(predictions).join(g, ["source", "target"], "left")
+    # a source's first hits lie among its own rows, which the ranking has brought together
+    own = Window.partitionBy("source")
+    rows = rows.withColumns({
+        "first_hit_at_k_strict": F.min(F.when(F.array_contains("rels", F.col("relation")), F.col("rank"))).over(own),
+        "first_hit_at_k_lax": F.min(F.when(F.col("rels").isNotNull(), F.col("rank"))).over(own),
+    })
     for side, labels in (("source", source_labels), ("target", target_labels)):
         if labels is None:
             rows = rows.withColumn(f"{side}_label", F.lit(""))

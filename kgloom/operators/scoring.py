@@ -33,11 +33,19 @@ def first_token_confidence(candidates: DataFrame, id_col: str = "id", kind: str
     return got.select(id_col, F.coalesce(F.try_divide(F.col("_yes"), F.col("_yes") + F.col("_no")), F.lit(0.5)).alias("confidence"))
 
 
-def answer_tokens(vocabulary: Iterable[str], kind: str = "general") -> tuple[list[int], list[int]]:
+# Answer words that are encoded where no token of a vocabulary looks like an answer.
+ANSWER_WORDS = {
+    "general": (("yes", "Yes", "YES", " yes", " Yes", "true", "True", "TRUE"), ("no", "No", "NO", " no", " No", "false", "False", "FALSE")),
+    "specific": (("yes", "Yes", " yes", " Yes"), ("no", "No", " no", " No")),
+}
+
+
+def answer_tokens(vocabulary: Iterable[str], kind: str = "general", encode: Callable[[str], list[int]] | None = None) -> tuple[list[int], list[int]]:
     """Positions of the positive and negative tokens of a vocabulary.
 
-    A vocabulary with none of either falls back on tokens that begin with an answer word; if that
-    finds none, there is no way to score and ValueError says so."""
+    Where none of a kind looks like an answer, the tokens into which ``encode`` turns the answer words
+    stand in, in order and once each; without ``encode``, tokens that are an answer word but for the
+    marks of a word's beginning. If that finds none, there is no way to score and ValueError says so."""
     import re
 
     from kgloom.functions.text import _TRUTH
@@ -45,12 +53,16 @@ def answer_tokens(vocabulary: Iterable[str], kind: str = "general") -> tuple[lis
     words = list(vocabulary)
     to_python = lambda p: re.compile(p.replace(r"[^\p{L}]", r"[\W\d_]").replace("(?iU)", "(?i)"))
     out = [[i for i, w in enumerate(words) if to_python(p).search(w)] for p in _TRUTH[kind]]
-    for n, heads in enumerate((("yes", "true", "y"), ("no", "false", "n"))):
+    for n, answers in enumerate(ANSWER_WORDS[kind]):
         if not out[n]:
-            out[n] = [i for i, w in enumerate(words) if w.strip(" Ġ▁").lower() in heads]
+            plain = {a.strip().lower() for a in answers}
+            if encode is not None:
+                out[n] = list(dict.fromkeys(i for a in answers for i in encode(a)))
+            else:
+                out[n] = [i for i, w in enumerate(words) if w.strip(" Ġ▁").lower() in plain]
             if not out[n]:
                 raise ValueError(f"the vocabulary has no {'positive' if n == 0 else 'negative'} answer")
-            log.warning("answer words were found by their beginning alone")
+            log.warning("no token looks like an answer; %d stand in for it", len(out[n]))
     return out[0], out[1]
 
 
@@ -152,6 +164,132 @@ def batch_requests(rows: DataFrame, model: str, id_col: str = "id") -> DataFrame
     return rows.select(F.to_json(line).alias("value"))
 
 
+#: States in which a batch will not change any more.
+ENDED = ("completed", "failed", "expired", "cancelled")
+
+
+@dataclass
+class BatchEndpoint:
+    """Requests sent as one file, answered by and by. ``call(method, path, body)`` reaches the service:
+    bytes are uploaded as a file, a dict is sent as JSON, and the reply is a dict, or text for the
+    content of a file. ``wait`` seconds lie between two looks at a batch."""
+
+    call: Callable[[str, str, object], object]
+    wait: float = 30.0
+    window: str = "24h"
+    endpoint: str = "/v1/chat/completions"
+
+    def run(self, lines: list[str]) -> dict[str, dict]:
+        """Replies by the requests' custom_id. A batch that ends otherwise, or leaves a request without
+        an answer, raises RuntimeError with what the service said of it."""
+        import time
+
+        sent = self.call("POST", "/v1/files", ("\n".join(lines) + "\n").encode())
+        batch = self.call("POST", "/v1/batches", {"input_file_id": sent["id"], "endpoint": self.endpoint, "completion_window": self.window})
+        while batch["status"] not in ENDED:
+            time.sleep(self.wait)
+            batch = self.call("GET", f"/v1/batches/{batch['id']}", None)
+        if batch["status"] != "completed":
+            raise RuntimeError(f"batch {batch['id']} is {batch['status']}")
+        got = {r["custom_id"]: r["response"]["body"] for r in self._rows(batch.get("output_file_id"))}
+        missing = [i for i in (json.loads(x)["custom_id"] for x in lines) if i not in got]
+        if missing:
+            said = {r["custom_id"]: r.get("error") or r.get("response") for r in self._rows(batch.get("error_file_id")) if r["custom_id"] in missing}
+            raise RuntimeError(f"batch {batch['id']} has no answer to {missing}: {said}")
+        return got
+
+    def _rows(self, file_id: str | None) -> list[dict]:
+        text = self.call("GET", f"/v1/files/{file_id}/content", None) if file_id else ""
+        return [json.loads(x) for x in text.splitlines() if x.strip()]
+
+
+def batch_scorer(endpoint: BatchEndpoint, model: str, kind: str = "general", top: int = 20) -> Scorer:
+    """A scorer whose prompts go out as one batch an Arrow batch."""
+
+    def load():
+        def ask(prompts):
+            body = lambda p: {"model": model, "messages": [{"role": "user", "content": p}], "max_tokens": 1, "temperature": 0, "logprobs": True, "top_logprobs": top}
+            lines = [json.dumps({"custom_id": f"req-{i}", "method": "POST", "url": endpoint.endpoint, "body": body(p)}) for i, p in enumerate(prompts)]
+            got = endpoint.run(lines) if lines else {}
+            first = [got[f"req-{i}"]["choices"][0]["logprobs"]["content"][0]["top_logprobs"] for i in range(len(prompts))]
+            return [{t["token"]: t["logprob"] for t in reversed(x)} for x in first]
+
+        return ask
+
+    return Scorer(load, kind)
+
+
+def complete(rows: DataFrame, load: Callable[[], Callable[[list[str], int], list[str]]], max_new_tokens: int = 512) -> DataFrame:
+    """Rows with ``completion`` in place of ``prompt``. ``load`` runs once a task and returns a function
+    from prompts and a number of tokens to texts; a batch that fails gets null."""
+    keep = [c for c in rows.columns if c not in ("prompt", "completion")]
+
+    def run(batches):
+        write = load()
+        for b in batches:
+            prompts = [p or "" for p in b.column(b.schema.get_field_index("prompt")).to_pylist()]
+            try:
+                texts = write(prompts, max_new_tokens)
+            except Exception as e:
+                log.warning("completion failed: %s", e)
+                texts = [None] * len(prompts)
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep], pa.array(texts, pa.string())], [*keep, "completion"])
+
+    return rows.mapInArrow(run, rows.select(*keep).schema.add("completion", "string"))
+
+
+def http_completions(url: str, model: str, key: str = "", timeout: float = 120.0) -> Callable:
+    """What ``complete`` loads for a chat-completions endpoint."""
+
+    def load():
+        def write(prompts, most):
+            ask = lambda p: post(url, {"model": model, "messages": [{"role": "user", "content": p}], "max_tokens": most, "temperature": 0}, key, timeout)
+            return [ask(p)["choices"][0]["message"]["content"] or "" for p in prompts]
+
+        return write
+
+    return load
+
+
+def local_scorer(path: str, kind: str = "general", options: dict | None = None, most: int | None = None) -> Scorer:
+    """A causal model in the task's own process: the softmax over the next token after a prompt, as
+    log probabilities of the tokens that look like answers. The model's library is imported in the
+    task; where it is missing the scorer raises there, and names it. ``most`` cuts prompts to their
+    last so many tokens."""
+
+    def load():
+        try:
+            import torch
+            from transformers import AutoModelForCausalLM, AutoTokenizer
+        except ImportError as e:
+            raise RuntimeError(f"a local model needs {e.name}") from e
+        tokenizer = AutoTokenizer.from_pretrained(path)
+        model = AutoModelForCausalLM.from_pretrained(path, **(options or {})).eval()
+        return next_token_scores(
+            lambda p: tokenizer(p)["input_ids"], lambda ids: torch.log_softmax(model(torch.tensor([ids])).logits[0, -1].float(), -1).tolist(),
+            tokenizer.convert_ids_to_tokens(range(len(tokenizer))), kind, lambda w: tokenizer.encode(w, add_special_tokens=False), most,
+        )
+
+    return Scorer(load, kind)
+
+
+def next_token_scores(encode: Callable[[str], list[int]], forward: Callable[[list[int]], list[float]], vocabulary: list[str], kind: str = "general",
+                      encode_word: Callable[[str], list[int]] | None = None, most: int | None = None) -> Callable[[list[str]], list[dict[str, float]]]:
+    """Prompts to the best log probability of a positive and of a negative token, from any model that
+    gives log probabilities of all next tokens."""
+    yes, no = answer_tokens(vocabulary, kind, encode_word)
+
+    def ask(prompts: list[str]) -> list[dict[str, float]]:
+        out = []
+        for p in prompts:
+            ids = encode(p)
+            scores = forward(ids[-most:] if most else ids)
+            out.append({"yes": max(scores[i] for i in yes), "no": max(scores[i] for i in no)})
+        return out
+
+    return ask
+
+
 def token_count(messages: list[dict], count: Callable[[str], int], template: Callable[[list[dict]], str] | None = None) -> int:
     """Tokens of a chat: of its rendered template, else 3 per message and 3 for the answer's start."""
     if template is not None:

@@ -1,10 +1,10 @@
-"""Similarity joins over vectors: the top k targets of every source.
+"""Similarity joins over vectors: the top k targets of every source, and of every target too.
 
-Two physical forms give the same rows. Small target sides use a join of built-in functions. Large
-ones are cut into blocks: every pair of a source block and a target block is one matrix product,
-of which only the best k per source leave the task, and a second ranking merges the blocks' bests.
-Scores are rounded before ranking, so that the order of float sums can't decide a rank; ties go to
-the lesser target id.
+Both sides are cut into blocks: every pair of a source block and a target block is one matrix
+product, of which only the best k per row (and per column, where both directions are asked for) leave
+the task; a second ranking merges the blocks' bests. The product of a pair of blocks is taken once
+for both directions. Scores are rounded before ranking, so that the order of float sums can't decide
+a rank; ties go to the lesser id.
 """
 
 from __future__ import annotations
@@ -12,70 +12,86 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgloom.functions.text import dot, l2_normalized
+from kgloom.functions.text import dot, l2_normalized, sublist_positions
 
-DIGITS = 6
-#: Target rows up to which the plain join is used: its rows are sources times targets.
-PLAIN_TARGETS, BLOCK = 4096, 2048
+#: Decimal places of a score, rows of a block.
+DIGITS, BLOCK = 6, 2048
 
 
 def unit(vectors: DataFrame, id_col: str = "id", v_col: str = "v") -> DataFrame:
     return vectors.select(F.col(id_col).cast("string").alias("id"), l2_normalized(F.col(v_col)).alias("v"))
 
 
-def _best(scored: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("source").orderBy(F.desc("confidence"), "target")
+def _best(scored: DataFrame, k: int, of: str = "source", by: str = "target") -> DataFrame:
+    w = Window.partitionBy(of).orderBy(F.desc("confidence"), by)
     return scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def top_k_plain(source: DataFrame, target: DataFrame, k: int) -> DataFrame:
-    """By a nested-loop join of built-in functions; the window's limit is pushed before its sort."""
-    s, t = source.select(F.col("id").alias("source"), F.col("v").alias("sv")), target.select(F.col("id").alias("target"), F.col("v").alias("tv"))
-    scored = s.join(F.broadcast(t)).select("source", "target", F.round(dot(F.col("sv"), F.col("tv")), DIGITS).alias("confidence"))
-    return _best(scored, k)
-
-
 def _blocks(vectors: DataFrame, name: str, blocks: int) -> DataFrame:
     keyed = vectors.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     return keyed.groupBy(name).agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_v"))
 
 
-def top_k_blocks(source: DataFrame, target: DataFrame, k: int, n_source: int, n_target: int, block: int = BLOCK) -> DataFrame:
-    """By matrix products of blocks of about ``block`` rows."""
-    a, b = _blocks(source, "a", -(-n_source // block) or 1), _blocks(target, "b", -(-n_target // block) or 1)
+def _sorted_side(ids, values) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order with their vectors, so that ties of a stable sort stay in the order of ids."""
+    ids = np.array(ids.as_py(), object)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], np.asarray(values.values, float).reshape(len(ids), -1)[order]
+
+
+def _leaders(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the best k columns of every row; ties go to the first column."""
+    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    return np.repeat(np.arange(len(score)), best.shape[1]), best.ravel()
+
+
+def _scored(source: DataFrame, target: DataFrame, k: int, both: bool, n_source: int | None, n_target: int | None, block: int) -> DataFrame:
+    """(back, source, target, confidence): what pairs of blocks send on, ``back`` for a target's best sources."""
+    counts = [df.count() if n is None else n for df, n in ((source, n_source), (target, n_target))]
+    a, b = (_blocks(df, name, -(-n // block) or 1) for df, name, n in zip((source, target), "ab", counts))
+    schema = "back boolean, source string, target string, confidence double"
 
     def run(batches):
         for batch in batches:
-            out = []
-            for ids_a, va, ids_b, vb in zip(*(batch.column(i) for i in range(4))):
-                ids_a, ids_b = ids_a.as_py(), np.array(ids_b.as_py(), object)
-                order = np.argsort(ids_b, kind="stable")
-                x, y = (np.asarray(v.values, float).reshape(n, -1) for v, n in ((va, len(ids_a)), (vb, len(ids_b))))
-                score = np.round(x @ y[order].T, DIGITS) + 0.0
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # stable: ties stay in id order
-                for i, row in enumerate(best):
-                    out.append(pd.DataFrame({"source": ids_a[i], "target": ids_b[order][row], "confidence": score[i, row]}))
-            if out:
-                yield pa.RecordBatch.from_pandas(pd.concat(out), schema=schema, preserve_index=False)
-
-    schema = pa.schema([("source", pa.string()), ("target", pa.string()), ("confidence", pa.float64())])
+            for cell in zip(*(batch.column(i) for i in range(4))):
+                (ids_a, x), (ids_b, y) = _sorted_side(*cell[:2]), _sorted_side(*cell[2:])
+                score = np.round(x @ y.T, DIGITS) + 0.0
+                for back in (False, True) if both else (False,):
+                    i, j = _leaders(score.T, k)[::-1] if back else _leaders(score, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(i), back)), pa.array(ids_a[i], pa.string()), pa.array(ids_b[j], pa.string()), pa.array(score[i, j])],
+                        ["back", "source", "target", "confidence"],
+                    )
+
     # a pair of blocks is one row; the number of pairs is (n / block) squared, never rows squared
-    pairs = a.join(b).repartition("a", "b").select("a_ids", "a_v", "b_ids", "b_v")
-    return _best(pairs.mapInArrow(run, "source string, target string, confidence double"), k)
+    return a.join(b).repartition("a", "b").select("a_ids", "a_v", "b_ids", "b_v").mapInArrow(run, schema)
 
 
-def top_k(source: DataFrame, target: DataFrame, k: int, n_source: int | None = None, n_target: int | None = None) -> DataFrame:
+def top_k(source: DataFrame, target: DataFrame, k: int, n_source: int | None = None, n_target: int | None = None, block: int = BLOCK) -> DataFrame:
     """(source, target, confidence). ``source`` and ``target`` are (id, v) with unit vectors."""
-    n_target = target.count() if n_target is None else n_target
-    if n_target <= PLAIN_TARGETS:
-        return top_k_plain(source, target, k)
-    return top_k_blocks(source, target, k, source.count() if n_source is None else n_source, n_target)
+    return _best(_scored(source, target, k, False, n_source, n_target, block).drop("back"), k)
+
+
+def top_k_both(source: DataFrame, target: DataFrame, k: int, n_source: int | None = None, n_target: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(source, target, confidence): the union of every source's best targets and every target's best
+    sources, with one product a pair of blocks. A pair that is both comes once."""
+    found = _scored(source, target, k, True, n_source, n_target, block)
+    # a row's own key: the entity whose best list it is on
+    found = found.withColumn("of", F.when(F.col("back"), F.col("target")).otherwise(F.col("source")))
+    w = Window.partitionBy("back", "of").orderBy(F.desc("confidence"), F.when(F.col("back"), F.col("source")).otherwise(F.col("target")))
+    kept = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    return kept.groupBy("source", "target").agg(F.max("confidence").alias("confidence"))
+
+
+def top_k_plain(source: DataFrame, target: DataFrame, k: int) -> DataFrame:
+    """The same by a nested-loop join of built-in functions, for tests: its rows are sources times targets."""
+    s, t = source.select(F.col("id").alias("source"), F.col("v").alias("sv")), target.select(F.col("id").alias("target"), F.col("v").alias("tv"))
+    return _best(s.join(t).select("source", "target", F.round(dot(F.col("sv"), F.col("tv")), DIGITS).alias("confidence")), k)
 
 
 # --- encoders -----------------------------------------------------------------------------------
@@ -147,3 +163,25 @@ def pooling_parts(name: str) -> tuple[str, bool, str]:
     every, rest = name.startswith("all"), name.removeprefix("all").removeprefix("first")
     op = "max" if rest.startswith("max") else "mean"
     return op, every, rest.removeprefix(op)
+
+
+def pooled(texts: DataFrame, name: str, special: dict[str, list[int]] | None = None) -> DataFrame:
+    """(id, v): unit vectors by a pooling's name.
+
+    ``texts`` is (id, tokens array<int>, focus array<int>, vectors array<array<double>>): a text's token
+    ids, those of the entity to look for in it, and a vector a token. The mask is the first or every
+    occurrence of the focus, with the special tokens that the name asks for; ``special`` gives their
+    ids under "special" (all), "cls" and "sep". Where the focus does not occur and the mask is empty,
+    all tokens count. "sentence" is the mean of all tokens, "cls" the vector of the first."""
+    op, every, extra = pooling_parts(name)
+    special = special or {}
+    keep = {"special": special.get("special", []), "cls": special.get("cls", []), "clssep": [*special.get("cls", []), *special.get("sep", [])]}.get(extra, [])
+    n = F.size("tokens")
+    whole = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    if op in ("sentence", "cls"):
+        mask = whole
+    else:
+        found = sublist_positions(F.col("tokens"), F.col("focus"), not every, F.array(*[F.lit(x) for x in keep]) if keep else None)
+        mask = F.when(F.size(found) > 0, found).otherwise(whole)
+    rows = texts.select("id", mask.alias("mask"), F.posexplode("vectors").alias("position", "v"))
+    return pool(rows.select("id", "position", F.array_contains("mask", F.col("position")).alias("masked"), "v"), "mean" if op == "sentence" else op)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kgloom import model as M
 from kgloom.operators import graph as G
 from kgloom.operators import vectors as V
+from kgloom.operators.settle import settled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +25,11 @@ _kgs: WeakKeyDictionary[SparkSession, dict[str, DataFrame]] = WeakKeyDictionary(
 
 
 def kg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived graph, persisted once per session and folder: a graph is a stored table to the
+    """The derived graph, written once per session and folder: a graph is a stored table to the
     operators, which read it several times, not a union of scans."""
     known = _kgs.setdefault(spark, {})
     if sf_dir not in known:
-        known[sf_dir] = _kg(spark, sf_dir).persist()
+        known[sf_dir] = settled(_kg(spark, sf_dir))
     return known[sf_dir]
 
 
@@ -59,6 +60,19 @@ def _kg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.union_graphs(*parts)
 
 
+def kg_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph with blank nodes: every supplier is a subclass of a restriction on its nation, a blank
+    node, behind which lies another one with the supplier's name."""
+    c, s = F.col, table(spark, sf_dir, "supplier")
+    me, rest, more = _iri("supplier", c("s_suppkey")), F.concat(F.lit("r"), c("s_suppkey").cast("string")), F.concat(F.lit("q"), c("s_suppkey").cast("string"))
+    blank = lambda *t, o="iri": s.select(*M.triple("kg", *t, o, "bnode"))
+    return M.union_graphs(
+        _kg(spark, sf_dir), s.select(*M.triple("kg", me, M.RDFS + "seeAlso", rest, "bnode")), blank(rest, M.TYPE, M.RESTRICTION),
+        blank(rest, M.OWL + "someValuesFrom", _iri("nation", c("s_nationkey"))), blank(rest, M.RDFS + "seeAlso", more, o="bnode"),
+        blank(more, M.LABEL, c("s_name"), o="literal"), blank(more, M.RDFS + "isDefinedBy", _iri("nation", c("s_nationkey"))),
+    )
+
+
 KG_SQL = f"""
 kg AS (
   WITH e AS (
@@ -83,6 +97,16 @@ kg AS (
   UNION SELECT 'urn:prop:region:' || r_name, '{M.TYPE}', '{M.RDF_PROPERTY}', 'iri' FROM region)"""
 
 
+KG_BLANK_SQL = KG_SQL.strip().removesuffix(")") + f""")
+, kgb AS (SELECT s, p, o, o_kind FROM kg
+  UNION SELECT 'urn:supplier:' || s_suppkey, '{M.RDFS}seeAlso', 'r' || s_suppkey, 'bnode' FROM supplier
+  UNION SELECT 'r' || s_suppkey, '{M.TYPE}', '{M.RESTRICTION}', 'iri' FROM supplier
+  UNION SELECT 'r' || s_suppkey, '{M.OWL}someValuesFrom', 'urn:nation:' || s_nationkey, 'iri' FROM supplier
+  UNION SELECT 'r' || s_suppkey, '{M.RDFS}seeAlso', 'q' || s_suppkey, 'bnode' FROM supplier
+  UNION SELECT 'q' || s_suppkey, '{M.LABEL}', s_name, 'literal' FROM supplier
+  UNION SELECT 'q' || s_suppkey, '{M.RDFS}isDefinedBy', 'urn:nation:' || s_nationkey, 'iri' FROM supplier)"""
+
+
 def part_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(uri, label) of parts with even keys and with odd ones."""
     p = table(spark, sf_dir, "part")

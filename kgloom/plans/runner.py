@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kgloom.model import ALIGNMENT
 from kgloom.operators import ranking as R
+from kgloom.operators.settle import settled
 from kgloom.sinks import tables
 from kgloom.sources.alignment_xml import read_alignment, write_alignment
 from kgloom.sources.layout import read_parameters, testcases
@@ -110,24 +111,27 @@ def run_on_top(spark: SparkSession, runs: list[str], matchers: list, out: str, c
     return got
 
 
-def run_retrieval(case: TestCase, matcher, out: str, top_k: int = 20, variant: str = "asymmetric", config: dict | None = None) -> dict:
+def run_retrieval(case: TestCase, matcher, out: str, top_k: int = 20, variant: str = "asymmetric", config: dict | None = None, smoke: int | None = None) -> dict:
     """Ranked retrieval: predictions, reference and per-source tables, recall, reciprocal ranks and
-    score statistics in metrics.json."""
+    score statistics in metrics.json. A smoke run keeps the predictions of the first ``smoke`` source
+    classes alone, and tells of each whether its best targets hold a gold one."""
     from kgloom.operators import graph as G
 
     os.makedirs(out, exist_ok=True)
     began = time.time()
-    predictions = matcher.match(case.source, case.target, case.input_alignment, {}).persist()
+    source = case.source if smoke is None else G.only_classes(case.source, G.first_classes(case.source, smoke))
+    predictions = settled(matcher.match(source, case.target, case.input_alignment, {}))
     n = predictions.count()
     seconds = time.time() - began
     labels = [G.one_label(g, G.classes(g)).persist() for g in (case.source, case.target)]
     ks = R.k_values(top_k)
-    recall, reciprocal = R.recall_at_k(predictions, case.reference, ks), R.mrr(predictions, case.reference)
-    metrics = {r.metric: r.value for r in R.flat_metrics(recall, reciprocal).collect()}
+    metrics = {r.metric: r.value for r in R.flat_metrics(R.metrics(predictions, case.reference, ks)).collect()}
     metrics |= R.reference_totals(case.reference).collect()[0].asDict() | {"dropped": {r.relation: r.n for r in R.dropped_relations(case.reference).collect()}}
     metrics |= {"labels_present": R.labels_present(case.reference).collect()[0].labels, "scores": [r.asDict() for r in R.score_diagnostics(predictions, variant).collect()]}
     metrics |= {"predictions": n, "seconds": seconds}
-    tables.write_json(f"{out}/config.json", {"matcher": str(matcher), "top_k": top_k, "variant": variant, **(config or {})})
+    if smoke is not None:
+        metrics["probe"] = {r.source: r.outcome for r in R.probe(predictions, case.reference).collect()}
+    tables.write_json(f"{out}/config.json", {"matcher": str(matcher), "top_k": top_k, "variant": variant, "smoke": smoke, **(config or {})})
     tables.write_json(f"{out}/metrics.json", metrics)
     tables.write_tsv(tables.predictions_table(predictions, *labels), f"{out}/predictions.tsv")
     tables.write_tsv(tables.reference_table(case.reference), f"{out}/reference.tsv")
