@@ -45,6 +45,7 @@ class _Query:
 
     def __init__(self, text: str, triples: DataFrame):
         self.toks, self.i, self.triples, self.prefixes = _tokens(text), 0, triples, dict(PREFIXES)
+        self.loose: set[str] = set()  # variables that may be unbound
 
     # tokens
     def peek(self, *words: str) -> bool:
@@ -129,15 +130,37 @@ class _Query:
         back = far.alias("x").join(far.alias("y"), (F.col("x.ancestor") == F.col("y.descendant")) & (F.col("x.descendant") == F.col("y.ancestor")))
         return back.select(F.col("x.descendant").alias("descendant"), F.col("x.descendant").alias("ancestor"))
 
-    @staticmethod
-    def join(a: DataFrame | None, b: DataFrame, how: str = "inner") -> DataFrame:
+    def join(self, a: DataFrame | None, b: DataFrame, how: str = "inner") -> DataFrame:
+        """Solutions that agree on the variables they share. One that may be unbound, behind OPTIONAL or
+        in a part of a UNION, agrees with any value; then the others must carry the join."""
         if a is None:
             return b
-        on = [c for c in a.columns if c in b.columns and not c.endswith("__k") and c != "unit__"]
-        b = b.drop(*[c for c in b.columns if c in a.columns and c not in on])
-        if on:
-            return a.join(b, on, how)
-        return a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how)
+        shared = [c for c in a.columns if c in b.columns and not c.endswith("__k") and c != "unit__"]
+        loose = [c for c in shared if c in self.loose]
+        on = [c for c in shared if c not in loose]
+        if loose and not on:
+            raise SyntaxError("a join on nothing but variables that may be unbound: " + ", ".join("?" + c for c in loose))
+        if not loose:
+            b = b.drop(*[c for c in b.columns if c in a.columns and c not in on])
+            if on:
+                return a.join(b, on, how)
+            return a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how)
+        x, y = a.alias("x"), b.alias("y")
+        either = lambda c: F.coalesce(F.col(f"x.`{c}`"), F.col(f"y.`{c}`")).alias(c)
+        agree = reduce(lambda p, q: p & q, [F.col(f"x.`{c}`") == F.col(f"y.`{c}`") for c in on])
+        for c in loose:
+            left, right = F.col(f"x.`{c}`"), F.col(f"y.`{c}`")
+            agree = agree & (left.isNull() | right.isNull() | (left == right))
+        cols = [either(c) if c in b.columns and (c in loose or c.removesuffix("__k") in loose) else F.col(f"x.`{c}`").alias(c) for c in a.columns]
+        return x.join(y, agree, how).select(*cols, *[F.col(f"y.`{c}`").alias(c) for c in b.columns if c not in a.columns])
+
+    def optional(self, out: DataFrame | None) -> DataFrame:
+        """A group's solutions where it has any; at the start of a group, one solution that binds nothing where it has none."""
+        before = set(out.columns) if out is not None else set()
+        inner = self.group()
+        made = self.join(self.triples.sparkSession.createDataFrame([(1,)], "unit__ int") if out is None else out, inner, "left")
+        self.loose |= {c for c in inner.columns if c not in before and not c.endswith("__k") and c != "unit__"}
+        return made
 
     def triples_block(self, out: DataFrame | None) -> DataFrame:
         s = self.term()
@@ -156,7 +179,7 @@ class _Query:
         out, filters = None, []
         while not self.accept("}"):
             if self.accept("OPTIONAL"):
-                out = self.join(out, self.group(), "left")
+                out = self.optional(out)
             elif self.accept("MINUS"):
                 other = self.group()
                 on = [c for c in out.columns if c in other.columns and not c.endswith("__k")] if out is not None else []
@@ -166,7 +189,9 @@ class _Query:
             elif self.peek("{"):
                 sub = self.group()
                 while self.accept("UNION"):
-                    sub = sub.unionByName(self.group(), allowMissingColumns=True)
+                    other = self.group()
+                    self.loose |= {c for c in set(sub.columns) ^ set(other.columns) if not c.endswith("__k") and c != "unit__"}
+                    sub = sub.unionByName(other, allowMissingColumns=True)
                 out = self.join(out, sub)
             elif self.toks[self.i][0] == "end":
                 raise SyntaxError("the group is not closed")

@@ -41,7 +41,9 @@ def write_tsv(df: DataFrame, path: str) -> str:
 
 def write_tsv_files(df: DataFrame, path: str) -> None:
     """The same as a folder of part files, for tables too long for one."""
-    df.select([cell(F.col(f"`{c}`"), k).alias(c) for c, k in df.dtypes]).write.csv(path, sep="\t", header=True, quote="", emptyValue="")
+    df.select([cell(F.col(f"`{c}`"), k).alias(c) for c, k in df.dtypes]).write.csv(
+        path, sep="\t", header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def predictions_table(predictions: DataFrame, source_labels: DataFrame | None = None, target_labels: DataFrame | None = None) -> DataFrame:

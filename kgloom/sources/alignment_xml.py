@@ -6,6 +6,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from io import BytesIO
+from itertools import islice
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgloom.model import ALIGN, ALIGNMENT, RDF, alignment
+from kgloom.sinks.documents import write_documents
 
 _A, _R = "{" + ALIGN + "}", "{" + RDF + "}"
 _KNOWN = {"map", "Cell", "entity1", "entity2", "relation", "measure", "onto1", "onto2", "Ontology", "location", "formalism", "Formalism", "xml", "level", "type", "Alignment"}
@@ -71,23 +73,30 @@ def _ontology(e: ET.Element) -> list[str]:
     return out
 
 
-def parse(data: bytes | str) -> tuple[list[tuple], Header]:
-    """Cells and header of a document, in one streaming pass: cells are dropped once read."""
-    cells, head = [], Header()
-    stack = []
+def elements(data: bytes | str) -> Iterator[tuple | Header]:
+    """The cells of a document one after another, then its header. What has been read is dropped from
+    the tree, so memory does not grow with the cells."""
+    head, stack = Header(), []
     for event, e in ET.iterparse(BytesIO(data if isinstance(data, bytes) else data.encode()), ("start", "end")):
         if event == "start":
-            stack.append(e.tag)
+            stack.append(e)
             continue
         stack.pop()
-        inside = stack[-1] if stack else None
+        inside = stack[-1].tag if stack else None
         if e.tag == _A + "Cell":
-            cells.append(_cell(e))
-            e.clear()
+            yield _cell(e)
         elif e.tag in (_A + "onto1", _A + "onto2"):
             setattr(head, _local(e.tag), _ontology(e))
         elif inside == _A + "Alignment" and _local(e.tag) not in _KNOWN:
             head.extension[_plain(e.tag)] = (e.text or "").strip()
+        if inside == _A + "Alignment":  # <map> and the like, with all below
+            stack[-1].remove(e)
+    yield head
+
+
+def parse(data: bytes | str) -> tuple[list[tuple], Header]:
+    """Cells and header of a document."""
+    *cells, head = elements(data)
     return cells, head
 
 
@@ -104,8 +113,10 @@ def read_cells(spark: SparkSession, path: str, keep_extensions: bool = False) ->
         import pandas as pd
 
         for pdf in batches:
-            rows = [(*c, i) for data in pdf["content"] for i, c in enumerate(parse(bytes(data))[0])]
-            yield pd.DataFrame(rows, columns=_CELLS.names)
+            for data in pdf["content"]:
+                cells = ((*c, i) for i, c in enumerate(elements(bytes(data))) if not isinstance(c, Header))
+                while rows := list(islice(cells, 10_000)):
+                    yield pd.DataFrame(rows, columns=_CELLS.names)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return _frame(spark, files.mapInPandas(run, _CELLS), keep_extensions)
@@ -147,11 +158,8 @@ def read_header(path: str) -> Header:
 def split_tag(key: str) -> tuple[str, str]:
     """(label, namespace) of an extension key: cut after the last '#', else after the last '/'; a key
     without either, or with it in front, is both."""
-    for mark in "#/":
-        at = key.rfind(mark)
-        if at > 0:
-            return key[at + 1 :], key[: at + 1]
-    return key, key
+    spaces = [key[: key.rfind(mark) + 1] for mark in "#/" if key.rfind(mark) > 0]
+    return (key[len(spaces[0]) :], spaces[0]) if spaces else (key, key)
 
 
 def _text(c: Column) -> Column:
@@ -182,15 +190,26 @@ def cell_xml() -> Column:
     )
 
 
+def _element(depth: int, tag: str, attributes: dict[str, str], *inner: str) -> str:
+    """An element on lines of its own; its inner parts are lines already, or one text."""
+    pad, head = "  " * depth, "".join(f" {k}={quoteattr(v)}" for k, v in attributes.items())
+    if not inner:
+        return f"{pad}<{tag}{head}/>\n"
+    if len(inner) == 1 and not inner[0].endswith("\n"):
+        return f"{pad}<{tag}{head}>{escape(inner[0])}</{tag}>\n"
+    return f"{pad}<{tag}{head}>\n{''.join(inner)}{pad}</{tag}>\n"
+
+
 def _ontology_xml(onto: list[str], name: str) -> str:
+    """[id, location, formalism name, formalism URI], as far as it goes."""
     if not onto:
         return ""
-    out = f"  <{name}>\n    <Ontology rdf:about={quoteattr(onto[0])}>\n"
-    if len(onto) > 1:
-        out += f"      <location>{escape(onto[1])}</location>\n"
-    if len(onto) > 3:
-        out += f"      <formalism>\n        <Formalism align:name={quoteattr(onto[2])} align:uri={quoteattr(onto[3])} xmlns:align={quoteattr(ALIGN)}/>\n      </formalism>\n"
-    return out + f"    </Ontology>\n  </{name}>\n"
+    parts = [_element(3, "location", {}, x) if x else "      <location></location>\n" for x in onto[1:2]]
+    for formalism in [onto[2:4]] if len(onto) > 3 else []:
+        about = dict(zip(("align:name", "align:uri", "xmlns:align"), (*formalism, ALIGN)))
+        parts.append(_element(3, "formalism", {}, _element(4, "Formalism", about)))
+    inside = _element(2, "Ontology", {"rdf:about": onto[0]}, *parts) if parts else f"    <Ontology rdf:about={quoteattr(onto[0])}>\n    </Ontology>\n"
+    return _element(1, name, {}, inside)
 
 
 def intro(head: Header | None = None) -> str:
@@ -219,6 +238,11 @@ def write_alignment(a: DataFrame, path: str, head: Header | None = None) -> str:
     return path
 
 
+def write_alignments(a: DataFrame, path: str, head: Header | None = None) -> str:
+    """Writes a folder of XML files, a whole document a partition, for alignments too long for one."""
+    return write_documents(a, cell_xml(), path, intro(head), OUTRO)
+
+
 def write_temporary(a: DataFrame, head: Header | None = None) -> str:
     """Writes to a temporary file of the driver; returns its file URL."""
     import tempfile

@@ -13,7 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.model import RDF
+from kgloom.model import RDF, TRIPLES
 
 log = logging.getLogger(__name__)
 
@@ -128,6 +128,30 @@ def download_track(base: str, names: list[str], cache: str, parts: tuple = ("sou
     return kept
 
 
+# Predicates of a suite's description, and the components of a testcase.
+SUITE_ITEM, SUITE_NAME = "http://www.seals-project.eu/ontologies/SEALSMetadata.owl#hasSuiteItem", "http://purl.org/dc/terms/identifier"
+COMPONENTS = ("source", "target", "reference", "input", "parameters", "evaluationexclusion")
+
+
+def download_suite(spark: SparkSession, suite_url: str, cache: str, get=_get) -> list[str]:
+    """Fetches a suite's description, then its testcases with all components, into a track folder that
+    is empty or missing; one that holds files is left alone. Returns the names of its testcases."""
+    from urllib.parse import quote
+
+    from kgloom.sources.rdf import parse_rdfxml
+
+    folder = Path(cache)
+    if folder.is_dir() and any(folder.iterdir()):
+        return sorted(testcases(cache))
+    base = suite_url.rstrip("/")
+    data = get(base + "/", None)
+    if data is None:
+        raise FileNotFoundError(f"no suite at {suite_url}")
+    rows = [(base, *t) for t in parse_rdfxml(data, base + "/")]
+    names = [n for n, _ in suite_cases(spark, spark.createDataFrame(rows, TRIPLES), SUITE_ITEM, SUITE_NAME)]
+    return download_track(base, names, cache, COMPONENTS, lambda url, to: get("/".join(quote(x) if i > 2 else x for i, x in enumerate(url.split("/"))) + "/", to))
+
+
 def rdf_root(path: str) -> bool:
     """Whether a file is RDF/XML."""
     for _, e in ET.iterparse(path, ("start",)):

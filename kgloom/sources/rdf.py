@@ -1,4 +1,4 @@
-"""RDF sources: N-Triples by built-in functions, RDF/XML through a Python reader."""
+"""RDF sources: N-Triples by built-in functions, RDF/XML and Turtle through Python readers."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.model import RDF, TRIPLES, XSD
+from kgloom.sources.turtle import read_turtle
 
 _XML = "{http://www.w3.org/XML/1998/namespace}"
 _R = "{" + RDF + "}"
@@ -166,8 +167,10 @@ def read_rdfxml(spark: SparkSession, path: str, graph: str | None = None) -> Dat
 
 
 def read_graph(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
-    """Triples of a file by its ending: .nt N-Triples, else RDF/XML."""
-    return (read_ntriples if re.search(r"\.nt(\.gz|\.bz2)?$", path) else read_rdfxml)(spark, path, graph)
+    """Triples of a file by its ending: .nt N-Triples, .ttl or .turtle Turtle, else RDF/XML."""
+    if re.search(r"\.nt(\.gz|\.bz2)?/?$", path):
+        return read_ntriples(spark, path, graph)
+    return (read_turtle if re.search(r"\.(ttl|turtle)/?$", path) else read_rdfxml)(spark, path, graph)
 
 
 def write_ntriples(triples: DataFrame, path: str) -> None:
