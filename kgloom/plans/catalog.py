@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom import model as M
@@ -17,29 +14,19 @@ from kgloom.operators import ranking as R
 from kgloom.operators import scoring as SC
 from kgloom.operators import vectors as V
 from kgloom.plans import derived as D
+from kgloom.plans import round_trips as _round_trips  # noqa: F401  its queries register themselves
 from kgloom.plans import sparql
+from kgloom.plans.register import QUERIES, SQL, Query, register
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _register(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+_register = register
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def _kg(sql: str) -> str:
@@ -86,11 +73,11 @@ def kg_properties_by_kind(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@_register(_kg(f"""SELECT o AS class, s AS uri FROM (SELECT DISTINCT o, s FROM kg WHERE p = '{_T}' AND o LIKE 'urn:nation:%')
+@_register(_kg(f"""SELECT o AS class, s AS uri FROM (SELECT DISTINCT o, s FROM kg WHERE p = '{_T}' AND o IN (SELECT uri FROM {_CLASSES}))
 QUALIFY row_number() OVER (PARTITION BY o ORDER BY s) <= 3"""))
 def kg_instance_sample(spark, sf_dir):
     t = D.kg(spark, sf_dir)
-    return G.instances(t, G.classes(t).where(F.col("uri").startswith("urn:nation:")), 3)
+    return G.instances(t, G.classes(t), 3)
 
 
 @_register(f"""WITH u AS (SELECT url AS uri FROM pages UNION SELECT 'urn:part#' || p_partkey FROM part UNION SELECT 'http://x.org/c/' || p_name FROM part),
@@ -111,74 +98,75 @@ def _hops(n: int) -> str:
     return ", ".join(ctes) + " " + " UNION ".join(f"SELECT entity, s, p, o FROM h{i}" for i in range(1, n + 1))
 
 
-_SOME = f"e AS (SELECT uri FROM {_CLASSES} WHERE uri LIKE 'urn:supplier:%' OR uri LIKE 'urn:nation:%' OR uri LIKE 'urn:part:%')"
+_ALL = f"e AS (SELECT uri FROM {_CLASSES})"
+_DESCRIBED = {
+    "two_outgoing": _hops(2),
+    "three_outgoing": _hops(3),
+    "two_outgoing_blank": _hops(2),  # without blank nodes the two hops of any object
+    "one_gen": f"""h AS (SELECT e.uri AS entity, k.* FROM e JOIN kg k ON k.s = e.uri)
+SELECT entity, s, p, o FROM h UNION SELECT h.entity, k.s, k.p, k.o FROM h JOIN kg k ON k.s = h.o WHERE h.o_kind = 'iri' AND k.p IN ('{_L}', '{_T}')""",
+    "basic": f"""h AS (SELECT e.uri AS entity, k.* FROM e JOIN kg k ON k.s = e.uri WHERE k.p IN ('{_L}', '{_T}', '{M.RDFS}comment'))
+SELECT entity, s, p, o FROM h UNION SELECT h.entity, k.s, k.p, k.o FROM h JOIN kg k ON k.s = h.o WHERE h.p = '{_T}' AND k.p = '{_L}'""",
+    "text": f"""h AS (
+  SELECT e.uri AS entity, 0 AS r, 'Label: ' || o AS line FROM e JOIN kg k ON k.s = e.uri WHERE k.p = '{_L}'
+  UNION SELECT e.uri, 1, 'Description: ' || o FROM e JOIN kg k ON k.s = e.uri WHERE k.p = '{M.RDFS}comment'
+  UNION SELECT e.uri, 2, 'Type: ' || l.o FROM e JOIN kg k ON k.s = e.uri AND k.p = '{_T}' JOIN kg l ON l.s = k.o AND l.p = '{_L}')
+SELECT e.uri AS entity, coalesce(string_agg(line, chr(10) ORDER BY r, line) || chr(10), '') AS text FROM e LEFT JOIN h ON h.entity = e.uri GROUP BY e.uri""",
+}
 
 
-def _some(spark, sf_dir):
-    t = D.kg(spark, sf_dir)
-    return t, D.entities(t, ("supplier", "nation", "part"))
+def _whole(name: str, sql: str) -> None:
+    """The query ``describe_<name>_all``: every class of the graph described."""
 
+    def query(spark, sf_dir):
+        t = D.kg(spark, sf_dir)
+        out = G.describe(f"description_{name}", t, G.classes(t))
+        return out if name == "text" else out.select("entity", "s", "p", "o")
 
-@_register(_kg(f", {_SOME}, {_hops(2)}"))
-def describe_two_outgoing(spark, sf_dir):
-    return G.describe("description_two_outgoing", *_some(spark, sf_dir)).select("entity", "s", "p", "o")
+    query.__name__ = f"describe_{name}_all"
+    _register(_kg(f", {_ALL}, {sql}"))(query)
 
 
-@_register(_kg(f", {_SOME}, {_hops(3)}"))
-def describe_three_outgoing(spark, sf_dir):
-    return G.describe("description_three_outgoing", *_some(spark, sf_dir)).select("entity", "s", "p", "o")
+for _name, _sql in _DESCRIBED.items():
+    _whole(_name, _sql)
 
 
-@_register(_kg(f", {_SOME}, {_hops(2)}"))
-def describe_two_outgoing_blank(spark, sf_dir):
-    """Without blank nodes the two hops of any object."""
-    return G.describe("description_two_outgoing_blank", *_some(spark, sf_dir)).select("entity", "s", "p", "o")
+# the graph with blank nodes: restrictions behind suppliers, a further blank node behind each
+_BLANK_NEXT = "SELECT DISTINCT f.entity, k.s, k.p, k.o, k.o_kind FROM {f} f JOIN kgb k ON k.s = f.o"
 
 
-@_register(
-    _kg(f""", {_SOME}, h AS (SELECT e.uri AS entity, k.* FROM e JOIN kg k ON k.s = e.uri)
-SELECT entity, s, p, o FROM h UNION SELECT h.entity, k.s, k.p, k.o FROM h JOIN kg k ON k.s = h.o WHERE h.o_kind = 'iri' AND k.p IN ('{_L}', '{_T}')""")
-)
-def describe_one_gen(spark, sf_dir):
-    return G.describe("description_one_gen", *_some(spark, sf_dir)).select("entity", "s", "p", "o")
+def _blank_sql(ctes: str, parts: tuple[str, ...]) -> str:
+    return f"""WITH RECURSIVE {D.KG_BLANK_SQL}, e AS (SELECT DISTINCT uri FROM {_CLASSES.replace(" kg ", " kgb ")} WHERE uri LIKE 'urn:%'),
+h1 AS (SELECT e.uri AS entity, k.s, k.p, k.o, k.o_kind FROM e JOIN kgb k ON k.s = e.uri), {ctes} """ + " UNION ".join(f"SELECT entity, s, p, o FROM {x}" for x in parts)
 
 
-@_register(
-    _kg(f""", {_SOME}, h AS (SELECT e.uri AS entity, k.* FROM e JOIN kg k ON k.s = e.uri WHERE k.p IN ('{_L}', '{_T}', '{M.RDFS}comment'))
-SELECT entity, s, p, o FROM h UNION SELECT h.entity, k.s, k.p, k.o FROM h JOIN kg k ON k.s = h.o WHERE h.p = '{_T}' AND k.p = '{_L}'""")
-)
-def describe_basic(spark, sf_dir):
-    return G.describe("description_basic", *_some(spark, sf_dir)).select("entity", "s", "p", "o")
+def _depth_sql(depth: int) -> str:
+    """Level by level: blank objects are entered, other objects add label and types."""
+    ctes, parts = [], ["h1"]
+    for i in range(1, depth + 1):
+        ctes.append(f"l{i} AS ({_BLANK_NEXT.format(f=f'h{i}')} WHERE f.o_kind = 'iri' AND k.p IN ('{_L}', '{_T}'))")
+        ctes.append(f"h{i + 1} AS ({_BLANK_NEXT.format(f=f'h{i}')} WHERE f.o_kind = 'bnode')")
+        parts += [f"l{i}", f"h{i + 1}"]
+    return _blank_sql(", ".join(ctes), tuple(parts))
 
 
-@_register(
-    _kg(f""", {_SOME}, h AS (
-  SELECT e.uri AS entity, 0 AS r, 'Label: ' || o AS line FROM e JOIN kg k ON k.s = e.uri WHERE k.p = '{_L}'
-  UNION SELECT e.uri, 1, 'Description: ' || o FROM e JOIN kg k ON k.s = e.uri WHERE k.p = '{M.RDFS}comment'
-  UNION SELECT e.uri, 2, 'Type: ' || l.o FROM e JOIN kg k ON k.s = e.uri AND k.p = '{_T}' JOIN kg l ON l.s = k.o AND l.p = '{_L}')
-SELECT e.uri AS entity, coalesce(string_agg(line, chr(10) ORDER BY r, line) || chr(10), '') AS text FROM e LEFT JOIN h ON h.entity = e.uri GROUP BY e.uri""")
+_BEHIND = ", ".join(
+    f"{n} AS ({_BLANK_NEXT.format(f=of)} WHERE f.o_kind {test})" for n, of, test in (("h2", "h1", "<> 'literal'"), ("b2", "h1", "= 'bnode'"), ("b3", "b2", "<> 'literal'"))
 )
-def describe_text(spark, sf_dir):
-    return G.describe("description_text", *_some(spark, sf_dir))
-
 
-_ALL = f"e AS (SELECT uri FROM {_CLASSES})"
-
-
-def _whole(name: str, description: str) -> None:
-    """The query ``<name>_all``: every class of the graph described; its SQL is that of ``name`` without the filter."""
 
+def _with_blanks(name: str, description: str, sql: str) -> None:
     def query(spark, sf_dir):
-        t = D.kg(spark, sf_dir)
-        out = G.describe(description, t, G.classes(t))
-        return out if description == "description_text" else out.select("entity", "s", "p", "o")
+        t = D.kg_blank(spark, sf_dir)
+        return G.describe(description, t, G.classes(t).where(F.col("uri").startswith("urn:"))).select("entity", "s", "p", "o")
 
-    query.__name__ = f"{name}_all"
-    _register(_SQL[name].replace(_SOME, _ALL))(query)
+    query.__name__ = f"describe_{name}_blank_nodes"
+    _register(sql)(query)
 
 
-for _name in ("two_outgoing", "three_outgoing", "two_outgoing_blank", "one_gen", "basic", "text"):
-    _whole(f"describe_{_name}", f"description_{_name}")
+_with_blanks("two_outgoing", "description_two_outgoing_blank", _blank_sql(_BEHIND, ("h1", "h2", "b3")))
+for _i, _name in enumerate(("one_gen", "two_gen", "three_gen"), 1):
+    _with_blanks(_name, f"description_{_name}", _depth_sql(_i))
 
 
 _CLOSURE = f"""tc AS (SELECT o AS anc, s AS low FROM kg WHERE p = '{_SUB}' UNION SELECT tc.anc, k.s FROM tc JOIN kg k ON k.p = '{_SUB}' AND k.o = tc.low),
@@ -228,7 +216,7 @@ def sparql_property_path(spark, sf_dir):
 
 # --- labels and lexical matching ----------------------------------------------------------------
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in ("", *X.COMMON_STOPWORDS)) + "]"
+_STOP = "[" + ", ".join(f"'{w}'" for w in ("", *X.STOPWORDS)) + "]"
 
 
 def _words_sql(label: str) -> str:
@@ -253,14 +241,6 @@ def _words_of_text_sql(label: str) -> str:
     return f"list_sort(list_distinct(list_filter({x}, lambda w: NOT list_contains({stop}, w))))"
 
 
-@_register(f"""WITH l AS (SELECT DISTINCT p_name AS label FROM part UNION SELECT DISTINCT c_name FROM customer UNION SELECT DISTINCT string_split(text, chr(10))[1] FROM documents)
-SELECT label, array_to_string({_words_sql('label')}, ' ') AS words FROM l""")
-def label_normalize(spark, sf_dir):
-    t = lambda n: D.table(spark, sf_dir, n)
-    rows = t("part").select(F.col("p_name").alias("label")).union(t("customer").select("c_name")).union(t("documents").select(F.element_at(F.split("text", "\n"), 1))).distinct()
-    return rows.select("label", F.array_join(X.token_set(F.col("label"), stopwords=X.COMMON_STOPWORDS), " ").alias("words"))
-
-
 @_register(f"""WITH l AS (SELECT p_name AS label FROM part UNION SELECT c_name FROM customer UNION SELECT unnest(string_split(text, chr(10))) FROM documents)
 SELECT label, array_to_string({_words_of_text_sql('label')}, ' ') AS words FROM l""")
 def label_normalize_all(spark, sf_dir):
@@ -374,9 +354,8 @@ def topk_forward(spark, sf_dir):
 
 @_register(f"WITH {D.vector_sql(5)} SELECT source, target, confidence FROM sym")
 def topk_blocks(spark, sf_dir):
-    """The same join as blocks of matrix products."""
-    s, t = D.sides(spark, sf_dir)
-    return V.top_k_blocks(s, t, 5, s.count(), t.count(), 256).select("source", "target", "confidence")
+    """The same join in smaller blocks, whose bests are merged."""
+    return V.top_k(*D.sides(spark, sf_dir), 5, block=256).select("source", "target", "confidence")
 
 
 _BOTH = f"""{D.vector_sql(5)},
@@ -387,10 +366,7 @@ two AS (SELECT source, target, relation, max(confidence) AS confidence FROM (SEL
 
 
 def _both(spark, sf_dir):
-    s, t = D.sides(spark, sf_dir)
-    back = V.top_k(t, s, 5).select(F.col("target").alias("source"), F.col("source").alias("target"), "confidence")
-    eq = lambda df: df.withColumn("relation", F.lit("="))
-    return A.upsert(eq(V.top_k(s, t, 5)), eq(back))
+    return A.upsert(V.top_k_both(*D.sides(spark, sf_dir), 5).withColumn("relation", F.lit("=")))
 
 
 @_register(f"WITH {_BOTH} SELECT * FROM two")
@@ -472,7 +448,7 @@ SELECT 'recall_at_k_' || mode || '/' || label || '/k=' || k AS metric, recall AS
 )
 def flat_metrics(spark, sf_dir):
     p, g = _pg(spark, sf_dir)
-    return R.flat_metrics(R.recall_at_k(p, g), R.mrr(p, g)).withColumn("value", F.round("value", 9))
+    return R.flat_metrics(R.metrics(p, g)).withColumn("value", F.round("value", 9))
 
 
 _FIRST = "SELECT p.source, min(gr.strict)::INTEGER AS first_hit_at_k_strict, min(gr.lax)::INTEGER AS first_hit_at_k_lax FROM (SELECT DISTINCT source FROM asym) p LEFT JOIN gr ON gr.source = p.source GROUP BY p.source"

@@ -140,7 +140,7 @@ def test_vectors(spark):
     assert abs(r["mean"][0] / r["mean"][1] - 3) < 1e-9 and abs(r["max"][0] / r["max"][1] - 3) < 1e-9 and abs(r["cls"][0] - r["cls"][1]) < 1e-12
     a = V.encode(spark.createDataFrame([("1", "heart valve"), ("2", None)], "id string, text string"), V.hash_encoder(8))
     assert sorted(map(len, (r.v for r in a.collect()))) == [8, 8]
-    empty = V.top_k_blocks(a.limit(0), a.limit(0), 3, 0, 0)
+    empty = V.top_k(a.limit(0), a.limit(0), 3)
     assert empty.count() == 0
 
 
