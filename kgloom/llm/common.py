@@ -14,9 +14,13 @@ _live: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; one of this machine only where it is unset and
+    the session has no other machine (tests). On a cluster without it there is no shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kgloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
