@@ -15,13 +15,14 @@ target (a share of one shard) or where no key lies any closer. Equal texts share
 the cut has to pass through their group to meet the law.
 
 Defined results: a null text has no bytes and size 1; a null doc_id orders first; rows equal in
-text and doc_id stay together in any order; an empty table gives no rows; other columns travel
-along unchanged in ``shard``, whatever their names.
+text and doc_id stay together in any order and are never cut apart; a very long text is one row, by
+whose size a shard may miss its target; an empty table gives no rows; other columns travel along
+unchanged in ``shard``, whatever their names.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
@@ -113,12 +114,12 @@ def splitters(keys: DataFrame, cuts: int, inner: int, total: int, rows: int) ->
         probes = sorted(probes)
         size, count, spans = counts_below(keys, probes)
         for i in open_:
-            seen = [(p, s, r) for p, s, r in zip(probes, size, count) if low[i][0] < p < high[i][0]]
-            for x in seen:
-                if x[1] <= want[i] and x[0] > low[i][0]:
-                    low[i] = x
-                if x[1] >= want[i] and x[0] < high[i][0]:
-                    high[i] = x
+            # bytes below the probes ascend with them
+            j, k = bisect_right(size, want[i]) - 1, bisect_left(size, want[i])
+            if j >= 0 and probes[j] > low[i][0]:
+                low[i] = probes[j], size[j], count[j]
+            if k < len(probes) and probes[k] < high[i][0]:
+                high[i] = probes[k], size[k], count[k]
             # no row lies outside the span, so the counts hold at its ends too
             if span := spans.get(bisect_right(probes, low[i][0])):
                 low[i] = (max(low[i][0], span[0]), *low[i][1:])
@@ -147,13 +148,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, inner: int | None = None, id_co
         return pd.Series(below(hs.to_numpy(np.int64), ds.to_numpy(np.int64), ph, pd_).astype(np.int32))
 
     first = [0, *(r for _, r in cut)]  # rows below each interval
-    starts = [first[i] - first[i // inner * inner] for i in range(len(first))]
-    table = F.array(*[F.lit(x).cast("bigint") for x in starts])
+    starts = common.driver_table(spark, [(i, n - first[i // inner * inner]) for i, n in enumerate(first)], "i int, start bigint")
     inside = docs.select(F.struct("*").alias("row"), h.alias("h"), d.alias("d")).withColumn("i", interval("h", "d"))
     dealt = inside.repartitionById(shards * inner, "i")  # the one exchange
     order = Window.partitionBy("i").orderBy("h", "d")
-    slot = F.row_number().over(order) - 1 + F.element_at(table, F.col("i") + 1)
-    return dealt.withColumn("slot", slot.cast("bigint")).select(F.floor(F.col("i") / inner).cast("int").alias("shard"), "slot", "row")
+    placed = dealt.withColumn("place", F.row_number().over(order) - 1).join(starts, "i")
+    return placed.withColumn("slot", (F.col("place") + F.col("start")).cast("bigint")).select(F.floor(F.col("i") / inner).cast("int").alias("shard"), "slot", "row")
 
 
 def digest(sharded: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
