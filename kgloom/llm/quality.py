@@ -1,21 +1,25 @@
 """Quality classifier by co-training.
 
-Two classifiers look at disjoint views of a page. The content view sees the make-up of the text:
-kinds of characters, repetition, how varied and how common its words are. The metadata view sees
-what a crawler's record holds without reading: language, source, lengths of page and lines, bytes
-per character and how well the page compresses. Each round, either classifier labels the pages of
-an unlabelled pool it is surest of, and the other learns from them. After the last round each view
-is calibrated on labelled rows held out from it (Platt's sigmoid over out-of-fold scores), and the
-calibrated log odds add up, less the prior counted twice.
-
-The models are fitted on the driver on at most ``LABELLED`` labelled rows and a pool of at most
-``POOL`` unlabelled ones (documented bounds; rows are chosen by a hash of their id). Features are
-binned at the sample's quantiles, so that linear models can follow any shape. All documents are
-scored, whole texts, in one pass without a shuffle.
-
-Defined results: a null or empty text has zero features; null language or source is a value of its
-own; without labels of both kinds every score is that of a constant model; repeated rows get equal
-scores; an empty table gives no rows.
+Two classifiers look at disjoint views of a page. The content view reads the text: kinds of
+characters, repetition, how varied and how common its words are, lines, how well it compresses. The
+metadata view never sees the text, only what stands beside it in the record: the columns ``TAGS``
+and ``NUMBERS``. Each round, either classifier labels the unlabelled pages it is surest of, among all
+there are, and the other learns from them. After the last round each view is calibrated on labelled
+rows held out from it (Platt's sigmoid over out-of-fold scores), and the calibrated log odds add up,
+less the prior counted twice.
+
+Texts are read once: their features, some numbers a page, are written as a table, from which both
+classifiers are fitted and all pages are scored. The models are fitted on the driver on at most
+``LABELLED`` labelled rows (a documented bound; rows are chosen by a hash of their id). Unlabelled
+pages are all scored in the cluster in every round, and only the ``GROWTH`` surest of them, as a
+share of the labelled rows, come to the driver. Features are binned at the labelled rows' quantiles,
+so that linear models can follow any shape.
+
+Defined results: a null or empty text has zero features; a null tag is a value of its own, a null
+number and a column that the table lacks, one too; without labels of both kinds every score is that
+of a constant model; repeated rows get equal scores; a null doc_id stays null and is never labelled,
+ties share their label; a very long text is read whole; an empty table gives no rows; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,17 +28,20 @@ import zlib
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm import linear
+from kgloom.llm import common, linear
 from kgloom.llm.spotsigs import ANCHORS
 
-LABELLED, POOL, ROUNDS, GROWTH, FOLDS = 6000, 6000, 4, 0.05, 4
+LABELLED, ROUNDS, GROWTH, FOLDS = 6000, 4, 0.05, 4
 BINS, SOURCES = 16, 64
 #: Probability below which a classifier is not sure enough to label a page.
 SURE = 0.9
+#: Columns of a page's record beside its text.
+TAGS, NUMBERS = ("lang", "source"), ("n_chars",)
 
 _UPPER, _LOWER, _DIGIT = (np.zeros(256, bool) for _ in range(3))
 _UPPER[65:91], _LOWER[97:123], _DIGIT[48:58] = True, True, True
@@ -48,27 +55,23 @@ CLASSES = np.stack([_UPPER, _LOWER, _DIGIT, _PUNCT, _SYMBOL, _HIGH]).astype(floa
 
 
 def content(text: str) -> list[float]:
-    """Make-up of a text: shares of its bytes and words."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    """Make-up of a text: shares of its bytes and words, lines, compression."""
+    data = text.encode("utf-8", "replace")
+    raw = np.frombuffer(data, np.uint8)
     counts = np.bincount(raw, minlength=256)
     words = text.split()
-    n, kinds = max(len(words), 1), set(words)
-    top = counts[33:].max() / max(len(raw), 1)
+    n, kinds, size, feeds = max(len(words), 1), set(words), max(len(raw), 1), text.count("\n")
+    top = counts[33:].max() / size
     repeats = sum(map(eq, words, words[1:])) / n
     plain = sum(1 for w in kinds if w.isalpha()) / max(len(kinds), 1)
     common = sum(map(ANCHORS.__contains__, words)) / n
-    return [*(CLASSES @ counts / max(len(raw), 1)), top, len(kinds) / n, repeats, plain, common, sum(map(len, kinds)) / max(len(kinds), 1)]
+    shares = [*(CLASSES @ counts / size), top, len(kinds) / n, repeats, plain, common, sum(map(len, kinds)) / max(len(kinds), 1)]
+    return [*shares, np.log1p(feeds), len(text) / (feeds + 1), counts[32] / size, len(zlib.compress(data, 1)) / (len(raw) + 12)]
 
 
-def metadata(text: str) -> list[float]:
-    """What a record of the page holds: lengths, lines, bytes per character, compression."""
-    raw = text.encode("utf-8", "replace")
-    n, feeds = max(len(text), 1), text.count("\n")
-    return [np.log1p(len(text)), np.log1p(feeds), len(text) / (feeds + 1), len(raw) / n, text.count(" ") / n, len(zlib.compress(raw, 1)) / (len(raw) + 12)]
-
-
-def tags(lang: str | None, source: str | None) -> list[str]:
-    return [f"lang {lang}", f"source {zlib.crc32((source or chr(0)).encode()) % SOURCES}"]
+def tag_of(column: str, value: str | None) -> str:
+    """A feature's name: the value itself for a language, one of SOURCES buckets for other columns."""
+    return f"{column} {value}" if column == "lang" or value is None else f"{column} {zlib.crc32(value.encode()) % SOURCES}"
 
 
 class View:
@@ -91,9 +94,19 @@ class View:
     def margin(self, x: linear.Rows) -> np.ndarray:
         return x.dot(self.w) + self.b
 
-    def odds(self, x: linear.Rows) -> np.ndarray:
+    def margins(self, dense: np.ndarray, tagged: list[list[str]]) -> np.ndarray:
+        """The margin of every row, looked up a feature at a time."""
+        out = np.full(len(tagged), self.b)
+        for j, e in enumerate(self.edges):
+            out += self.w[self.start[j] + np.searchsorted(e, dense[:, j], "right")]
+        if self.tag:
+            weight = {t: self.w[i] for t, i in self.tag.items()}
+            out += [sum([weight.get(t, 0.0) for t in ts]) for ts in tagged]
+        return out
+
+    def odds(self, margins: np.ndarray) -> np.ndarray:
         """Calibrated log odds."""
-        return self.margin(x) * self.scale[0] + self.scale[1]
+        return margins * self.scale[0] + self.scale[1]
 
 
 def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -103,46 +116,47 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 0.0)), b
 
 
+Features = tuple[np.ndarray, list[list[str]]]  # dense values, tags
+
+
 class CoTrained:
     def __init__(self, views: list[View], prior: float):
         self.views, self.prior = views, prior
 
-    def score(self, rows: list[linear.Rows]) -> np.ndarray:
+    def score(self, views: list[Features]) -> np.ndarray:
         """(content, metadata, both): probabilities of good quality."""
-        odds = [v.odds(x) for v, x in zip(self.views, rows)]
+        odds = [v.odds(v.margins(*x)) for v, x in zip(self.views, views)]
         return linear.sigmoid(np.stack([*odds, odds[0] + odds[1] - self.prior]))
 
 
-def cotrain(ids: np.ndarray, dense: list[np.ndarray], tagged: list[list[list[str]]], y: np.ndarray, pool: list[np.ndarray], pool_tags: list[list[list[str]]]) -> CoTrained:
-    """dense, tagged: per view the labelled rows' features; pool: those of the unlabelled pool."""
-    views = [View(np.concatenate([d, p]), [*t, *pt]) for d, t, p, pt in zip(dense, tagged, pool, pool_tags)]
-    own = [v.rows(d, t) for v, d, t in zip(views, dense, tagged)]
-    free = [v.rows(p, pt) for v, p, pt in zip(views, pool, pool_tags)]
-    good = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-    n, left = len(y), np.ones(free[0].n, bool)
-    given: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]  # pseudo-labels each view has received
+def cotrain(ids: np.ndarray, labelled: list[Features], y: np.ndarray, surest) -> CoTrained:
+    """labelled: per view the labelled rows' features. ``surest(views, most)`` gives, for a round, the
+    unlabelled rows that views are surest of and that were not given before: (view, label, features
+    of both views), at most most[label] a view and label."""
+    views = [View(*x) for x in labelled]
+    own = [v.rows(*x) for v, x in zip(views, labelled)]
+    n, good = len(y), float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
+    given: list[list[tuple[linear.Rows, float]]] = [[], []]  # pseudo-labels each view has received
 
     def learn(k: int, keep: np.ndarray) -> tuple[np.ndarray, float]:
         """Model of view k on the labelled rows to keep and all pseudo-labels given to it."""
-        at = np.concatenate([np.zeros(0, int), *[i for i, _ in given[k]]])
-        label = np.concatenate([y[keep], *[p for _, p in given[k]]])
-        a, b = own[k].take(keep), free[k].take(at)
-        x = linear.Rows(width=views[k].width)
-        x.n, x.row, x.col, x.val = a.n + b.n, np.concatenate([a.row, a.n + b.row]), np.concatenate([a.col, b.col]), np.concatenate([a.val, b.val])
+        parts = [own[k].take(keep), *[x for x, _ in given[k]]]
+        label = np.concatenate([y[keep], *[np.full(x.n, p) for x, p in given[k]]])
+        x, first = linear.Rows(width=views[k].width), np.cumsum([0, *[p.n for p in parts]])
+        x.n = int(first[-1])
+        x.row = np.concatenate([p.row + at for p, at in zip(parts, first)])
+        x.col, x.val = (np.concatenate([getattr(p, c) for p in parts]) for c in ("col", "val"))
         return linear.fit(x, label, l1=3e-4)
 
-    for _ in range(ROUNDS):
-        fresh = []
+    most = {1: int(np.ceil(GROWTH * n * good)), 0: int(np.ceil(GROWTH * n * (1 - good)))}
+    for _ in range(ROUNDS if 0 < y.sum() < n else 0):
         for k, v in enumerate(views):
             v.w, v.b = learn(k, np.arange(n))
-            p = linear.sigmoid(v.margin(free[k]))
-            for label, sure, share in ((1.0, p, good), (0.0, 1 - p, 1 - good)):
-                most = max(1, int(GROWTH * len(left) * share))
-                best = [i for i in np.argsort(-sure, kind="stable") if left[i] and sure[i] >= SURE][:most]
-                fresh.append((k, np.array(best, int), np.full(len(best), label)))
-        for k, at, label in fresh:
-            given[1 - k].append((at, label))
-        left[np.concatenate([np.zeros(0, int), *[at for _, at, _ in fresh]])] = False
+        got = surest(views, most)
+        for k, label, both in got:
+            given[1 - k].append((views[1 - k].rows(*both[1 - k]), float(label)))
+        if not got:
+            break
     fold = linear.folds(ids, FOLDS)
     for k, v in enumerate(views):
         v.w, v.b = learn(k, np.arange(n))
@@ -155,60 +169,79 @@ def cotrain(ids: np.ndarray, dense: list[np.ndarray], tagged: list[list[list[str
     return CoTrained(views, float(np.log(good / (1 - good))))
 
 
-_NAMES = ["id", "label", "content", "metadata", "tags"]
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tags: tuple = TAGS, numbers: tuple = NUMBERS) -> DataFrame:
+    """A row per document: doc_id, content (numbers read off the text), numbers and tags (of its record)."""
 
+    def run(batches):
+        for b in batches:
+            values = [content(t.as_py() or "") for t in b.column(1)]
+            beside = zip(*[b.column(i).to_pylist() for i in range(2, 2 + len(numbers))]) if numbers else [()] * len(values)
+            named = zip(*[[tag_of(c, v) for v in b.column(2 + len(numbers) + i).to_pylist()] for i, c in enumerate(tags)]) if tags else [()] * len(values)
+            cols = [values, [[-1.0 if v is None else v for v in x] for x in beside], list(map(list, named))]
+            kinds = [pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "content", "numbers", "tags"])
 
-def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    cols = {id_col: ("bigint", "doc_id"), text_col: ("string", "text"), "lang": ("string", "lang"), "source": ("string", "source")}
-    return docs.select(*[F.col(f"`{c}`").cast(k).alias(a) for c, (k, a) in cols.items()])
+    cols = {id_col: ("bigint", "doc_id"), text_col: ("string", "text")}
+    held = lambda c, kind: (F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(kind)
+    read = docs.select(
+        *[F.col(f"`{c}`").cast(k).alias(a) for c, (k, a) in cols.items()],
+        *[held(c, "double").alias(f"n{i}") for i, c in enumerate(numbers)], *[held(c, "string").alias(f"t{i}") for i, c in enumerate(tags)],
+    )
+    return read.mapInArrow(run, "doc_id bigint, content array<double>, numbers array<double>, tags array<string>")
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """rows: (doc_id, label, text, lang, source)."""
+def _matrix(values, n: int) -> np.ndarray:
+    got = np.array(list(values), float)
+    return got.reshape(n, -1) if n else np.zeros((0, 0))
 
-    def run(batches):
-        for b in batches:
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            cols = [[content(t) for t in texts], [metadata(t) for t in texts], [tags(*x) for x in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]]
-            kinds = [pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds)]], _NAMES)
 
-    return rows.select("doc_id", "label", "text", "lang", "source").mapInArrow(run, "id bigint, label int, content array<double>, metadata array<double>, tags array<string>")
+def _views(got: pd.DataFrame) -> list[Features]:
+    n = len(got)
+    return [(_matrix(got["content"], n), [[]] * n), (_matrix(got["numbers"], n), [list(t) for t in got["tags"]])]
 
 
-def _stack(col) -> np.ndarray:
-    return np.array([list(x) for x in col], float) if len(col) else np.zeros((0, 0))
+def fit(table: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrained:
+    """``table`` is what ``features`` gives, written; ``labels`` has doc_id and quality."""
+    got = linear.labelled(table, labels, ["quality"], labelled).toPandas()
+    got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")  # of ties one is taught
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    free = common.written(table.join(known, "doc_id", "left_anti").withColumn("rid", F.monotonically_increasing_id()), "unlabelled")
+    used: list[int] = []
 
+    def surest(views: list[View], most: dict[int, int]) -> list[tuple]:
+        taken = set(used)
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, id_col: str = "doc_id", text_col: str = "text") -> CoTrained:
-    docs = _read(docs, id_col, text_col)
-    rows = linear.labelled(docs, labels, ["quality"], labelled).withColumn("label", F.col("label_quality"))
-    got = _features(rows).toPandas().sort_values("id", kind="stable")
-    # the pool: the ids with the least hashes, found from the ids alone; texts of the others are not read
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti")
-    chosen = ids.distinct().orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(pool)
-    free = _features(docs.join(F.broadcast(chosen), "doc_id").withColumn("label", F.lit(0))).toPandas().sort_values("id", kind="stable")
-    parts = [[_stack(x["content"]), _stack(x["metadata"])] for x in (got, free)]
-    tagged = [[[[]] * len(x), [list(t) for t in x["tags"]]] for x in (got, free)]
-    if not len(free):
-        parts[1] = [np.zeros((0, p.shape[1] if p.size else 0)) for p in parts[0]]
-    if not len(got):
-        parts[0] = [np.zeros((0, p.shape[1] if p.size else 0)) for p in parts[1]]
-    return cotrain(got["id"].to_numpy(np.int64), parts[0], tagged[0], (got["label"].to_numpy() > 0).astype(float), parts[1], tagged[1])
+        def run(batches):
+            for b in batches:
+                rid = b.column(3).to_numpy()
+                rows = _views(pd.DataFrame({"content": b.column(0).to_pylist(), "numbers": b.column(1).to_pylist(), "tags": b.column(2).to_pylist()}))
+                for k, v in enumerate(views):
+                    p = linear.sigmoid(v.margins(*rows[k]))
+                    for label, sure in ((1, p), (0, 1 - p)):
+                        at = np.flatnonzero(sure >= SURE)
+                        at = np.array([i for i in at if rid[i] not in taken], int)
+                        at = at[np.argsort(-sure[at], kind="stable")]
+                        at = at[sure[at] >= sure[at[min(most[label], len(at)) - 1]]] if len(at) else at  # with all ties of the last
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(sure[at]), pa.array(rid[at])], ["view", "label", "sure", "rid"])
 
+        seen = free.select("content", "numbers", "tags", "rid").mapInArrow(run, "view int, label int, sure double, rid bigint")
+        seen = common.written(seen, "surest")
+        best = [seen.where((F.col("view") == k) & (F.col("label") == x)).orderBy(F.desc("sure"), F.xxhash64("rid"), "rid").limit(most[x]) for k in (0, 1) for x in (1, 0)]
+        chosen = best[0].unionByName(best[1]).unionByName(best[2]).unionByName(best[3])
+        rows = free.join(F.broadcast(chosen), "rid").toPandas().sort_values(["view", "label", "rid"], kind="stable")  # twice two bounded lists
+        used.extend(int(r) for r in rows["rid"])
+        return [(int(k), int(x), _views(part)) for (k, x), part in rows.groupby(["view", "label"], sort=True)]
 
-def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, content_quality, metadata_quality, quality, keep."""
+    return cotrain(got["doc_id"].to_numpy(np.int64), _views(got), (got["label_quality"].to_numpy() > 0).astype(float), surest)
+
+
+def score(table: DataFrame, model: CoTrained) -> DataFrame:
+    """One row per row of ``features``: doc_id, content_quality, metadata_quality, quality, keep."""
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            if not texts:
-                continue
-            tag = [tags(*x) for x in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            a = model.views[0].rows(np.array([content(t) for t in texts]), [[]] * len(texts))
-            m = model.views[1].rows(np.array([metadata(t) for t in texts]), tag)
-            p = model.score([a, m])
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, p), pa.array(p[2] >= 0.5)], ["doc_id", "content_quality", "metadata_quality", "quality", "keep"])
-
-    return _read(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, content_quality double, metadata_quality double, quality double, keep boolean")
+            if b.num_rows:
+                p = model.score(_views(pd.DataFrame({"content": b.column(1).to_pylist(), "numbers": b.column(2).to_pylist(), "tags": b.column(3).to_pylist()})))
+                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, p), pa.array(p[2] >= 0.5)], ["doc_id", "content_quality", "metadata_quality", "quality", "keep"])
+
+    return table.select("doc_id", "content", "numbers", "tags").mapInArrow(run, "doc_id bigint, content_quality double, metadata_quality double, quality double, keep boolean")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import exact_dedup, mixing, packing, quality, sharding, simhash, simple8b, spotsigs, token_counts, toxicity
+from kgloom.llm import common, exact_dedup, mixing, packing, quality, sharding, simhash, simple8b, spotsigs, token_counts, toxicity
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -30,8 +30,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    pages = common.written(quality.features(table(spark, sf_dir, "documents")), "features")
+    return quality.score(pages, quality.fit(pages, table(spark, sf_dir, "labels")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates by the fingerprints of op5_spotsigs: their class, whole table."""
+    return spotsigs.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
+        "spotsigs_classes": spotsigs_classes,
     }
 
 
