@@ -6,21 +6,21 @@ found by Misra-Gries summaries, which Spark offers as its top-k sketch: a summar
 bounded size and summaries merge in two levels. The candidates are then counted exactly. Their
 verified winners, at most ``CANDIDATES`` rows, are broadcast, and their other copies leave on the
 map side. No digest that remains has a large share of the rows; an ordinary shuffle by digest
-settles them.
+settles them: an aggregate, which combines on the map side, joined back, so no task holds a group.
 
 Of equal texts the row with the largest doc_id stays.
 
 Defined results: a null text equals the empty one; a null doc_id loses to any other; of repeated
-rows that share text and doc_id exactly one is kept; an empty table gives no rows. ``annotate``
-reads only id and text; ``deduplicate`` returns all columns of its input unchanged, whatever
-their names, null texts as null.
+rows that share text and doc_id exactly one is kept, in ``deduplicate`` the one whose row has the
+least hash; a very long text is hashed whole and never leaves its row for a key; an empty table gives
+no rows. ``annotate`` reads only id and text; ``deduplicate`` returns all columns of its input
+unchanged, whatever their names, null texts as null.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kgloom.llm import common
 
@@ -33,46 +33,71 @@ def digest_of(text_col: str) -> F.Column:
     return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
 
 
+def _best() -> list[F.Column]:
+    """Of a digest: the place (id and row number) of the row that stays, and the number of rows."""
+    return [F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size")]
+
+
 def heavy_winners(keys: DataFrame) -> DataFrame:
-    """(digest, keep_id, group_size) of every digest with a large share of the rows.
+    """(digest, best, group_size) of every digest with a large share of the rows.
 
-    ``keys`` is (doc_id, digest). Summaries hold 64-bit hashes of the digests; the exact count is
-    by the whole digest. At most CANDIDATES hashes come out of the sketch."""
-    hashed = keys.select("doc_id", "digest", F.xxhash64("digest").alias("h"))
+    ``keys`` is (doc_id, digest, rid). Summaries hold 64-bit hashes of the digests; the exact count
+    is by the whole digest. At most CANDIDATES hashes come out of the sketch."""
+    hashed = keys.select("doc_id", "digest", "rid", F.xxhash64("digest").alias("h"))
     sketches = hashed.groupBy((F.spark_partition_id() % MERGES).alias("m")).agg(F.expr(f"approx_top_k_accumulate(h, {TRACKED})").alias("s"))
     # grouped, as a global aggregate would have to combine no sketches where there are no rows
     top = sketches.groupBy((F.col("m") * 0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {TRACKED}), {CANDIDATES})").alias("t"))
     found = top.select(F.explode("t").alias("x")).select(F.col("x.item").alias("h"), F.col("x.count").alias("about"))
     found = common.written(found.where(F.col("about") > 1).select("h"), "heavy")
-    counted = hashed.join(F.broadcast(found), "h").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    counted = hashed.join(F.broadcast(found), "h").groupBy("digest").agg(*_best())
     return common.written(counted.where(F.col("group_size") > 1), "winners")
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, digest, keep_id, group_size, kept."""
-    keys = common.written(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), digest_of(f"`{text_col}`").alias("digest")), "digests")
-    heavy = heavy_winners(keys)
-    split = keys.join(F.broadcast(heavy), "digest", "left")
-    loses = F.coalesce(F.col("keep_id") > F.col("doc_id"), F.col("doc_id").isNull() & F.col("keep_id").isNotNull(), F.lit(False))
-    gone = split.where(loses).select("doc_id", "digest", "keep_id", "group_size", F.lit(False).alias("kept"))
-    group = Window.partitionBy("digest")
-    rest = split.where(~loses).select(
-        "doc_id", "digest", F.coalesce("keep_id", F.max("doc_id").over(group)).alias("keep_id"),
-        F.coalesce("group_size", F.count("*").over(group)).alias("group_size"),
-        (F.row_number().over(group.orderBy(F.desc_nulls_last("doc_id"))) == 1).alias("kept"),
+    keys = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), digest_of(f"`{text_col}`").alias("digest"))
+    # row numbers tell repeated rows apart; written, they are the same for every reader
+    keys = common.written(keys.withColumn("rid", F.monotonically_increasing_id()), "digests")
+    heavy = F.broadcast(heavy_winners(keys))
+    hot = keys.join(heavy, "digest")
+    rest = keys.join(heavy, "digest", "left_anti")
+    groups = common.written(rest.groupBy("digest").agg(*_best()).where("group_size > 1"), "groups")
+    cold = rest.join(groups, "digest", "left")
+    named = lambda df: df.select(
+        "doc_id", "digest", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"), F.coalesce(F.col("best.rid") == F.col("rid"), F.lit(True)).alias("kept"),
     )
-    return rest.unionByName(gone)
+    return named(cold).unionByName(named(hot))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    rows = docs.select(F.struct("*").alias("row"))
-    rows = rows.select("row", F.col(f"row.`{id_col}`").cast("bigint").alias("doc_id"), digest_of(f"row.`{text_col}`").alias("digest"))
-    heavy = heavy_winners(common.written(rows.select("doc_id", "digest"), "digests"))
-    split = rows.join(F.broadcast(heavy), "digest", "left")
-    loses = F.coalesce(F.col("keep_id") > F.col("doc_id"), F.col("doc_id").isNull() & F.col("keep_id").isNotNull(), F.lit(False))
-    first = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc_nulls_last("doc_id")))
-    return split.where(~loses).select("row", first.alias("first")).where("first = 1").select("row.*")
+    """The rows that stay, with all their columns.
+
+    What leaves is decided on ids and digests alone. Heavy digests' copies go on the map side, by the
+    broadcast winners; the others' by an anti-join with the list of those that leave."""
+    key = ["digest", "none", "k"]
+    named = lambda i: [i.isNull().alias("none"), F.coalesce(i, F.lit(0).cast("bigint")).alias("k")]
+    keys = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), digest_of(f"`{text_col}`").alias("digest"))
+    keys = common.written(keys.withColumn("rid", F.monotonically_increasing_id()), "digests")
+    winners = heavy_winners(keys)
+    heavy = F.broadcast(winners)
+    rest = keys.join(heavy, "digest", "left_anti")
+    groups = common.written(rest.groupBy("digest").agg(*_best()).where("group_size > 1"), "groups")
+    differs = ~F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+    gone = rest.join(groups, "digest").where(differs).select("digest", *named(F.col("doc_id"))).distinct()
+    # rows that repeat the one that stays, id and all: told by their number and settled on their own
+    both = groups.unionByName(winners)
+    again = keys.join(F.broadcast(winners), "digest").unionByName(rest.join(groups, "digest")).where(~differs).groupBy("digest").count().where("count > 1")
+    again = common.written(again.join(both, "digest").select("digest", *named(F.col("best.doc_id"))), "again")
+    gone = common.written(gone.unionByName(again), "gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), digest_of(f"`{text_col}`").alias("digest"))
+    rows = rows.join(heavy, "digest", "left").where(F.col("best").isNull() | ~differs).select("row", "digest", *named(F.col("doc_id")))
+    # the list grows with the rows, so it is never broadcast, at no size
+    left = rows.join(gone.hint("merge"), key, "left_anti").select("row")
+    if not again.isEmpty():
+        one = rows.join(again, key, "left_semi").groupBy(key).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        left = left.unionByName(one.select("row"))
+    return left.select("row.*")
 
 
 def digest(annotated: DataFrame) -> DataFrame:

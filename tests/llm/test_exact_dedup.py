@@ -31,6 +31,16 @@ def test_annotate_and_deduplicate(spark, sf_dir):
 def test_heavy_groups_leave_on_the_map_side(spark):
     rows = [(i, "hot" if i % 3 else f"cold {i}", *[None] * 11) for i in range(3000)]
     df = spark.createDataFrame(rows, corpus.SCHEMA).repartition(6)
-    heavy = exact_dedup.heavy_winners(df.selectExpr("doc_id", "unhex(sha2(text, 256)) digest")).collect()
-    assert [(r.keep_id, r.group_size) for r in heavy] == [(2999, 2000)]
+    heavy = exact_dedup.heavy_winners(df.selectExpr("doc_id", "unhex(sha2(text, 256)) digest", "monotonically_increasing_id() rid")).collect()
+    assert [(r.best.doc_id, r.group_size) for r in heavy] == [(2999, 2000)]
     assert exact_dedup.deduplicate(df).count() == 1001
+
+
+def test_repeated_winners(spark):
+    rows = [(None, "a", 1), (None, "a", 2), (4, "b", 1), (4, "b", 2), (3, "b", 3), (None, "b", 4), (5, None, 1), (5, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, digest int")
+    left = exact_dedup.deduplicate(df.repartition(3))
+    assert left.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == [("4", "b"), ("5", ""), ("None", "a")]
+    got = exact_dedup.annotate(df).collect()
+    assert len(got) == 8 and sum(r.kept for r in got) == 3 and sorted({r.group_size for r in got}) == [2, 4]
