@@ -17,19 +17,25 @@ block has its words too, and each source takes its number of words exactly. No d
 more than twice.
 
 Highest quotients over many seats are found by their divisor: the seats of a party are its votes
-over a common divisor, rounded; the divisor is bisected until the seats add up. Only cell totals
-come to the driver, about sqrt(rows) / 3 shards times the sources.
+over a common divisor, rounded; the divisor is bisected until the seats add up. Only the totals of
+the sources come to the driver; the about sqrt(rows) / 3 cells of a source are dealt in a task.
 
 Defined results: the size of a null text is 0 and nothing is taken from it; null is a source of its
-own, last in the order; a null doc_id orders first; repeated rows are documents of their own; an
-empty table gives no rows.
+own, last in the order; a null doc_id orders first; repeated rows are documents of their own; a very
+long text is a document like any other, which may be taken in part; an empty table gives no rows;
+columns other than id, text and source travel along unchanged in ``materialize``, whatever their
+names, but for the number of characters.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from fractions import Fraction
+from itertools import islice
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,7 +45,9 @@ from kgloom.llm import common
 BLOCK, SEED = 64, 17
 WEIGHTS, SHARE, MOST = (5, 2, 1), Fraction(3, 2), 2
 WORD = r"[^\x20\x09-\x0D]+"
-_SPACED = r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"
+_WORDS = re.compile(WORD)
+#: Copies of a repeated row that one task makes at a time.
+CHUNK = 1000
 
 
 def targets(sizes: list[int], weights: list[int], share: Fraction = SHARE, most: int = MOST) -> list[Fraction]:
@@ -122,53 +130,68 @@ def _prolonged(line: list[Piece], rest: int) -> list[Piece]:
     return line
 
 
-def plan(cells: list[tuple[int, int, int]], weights: tuple = WEIGHTS, share: Fraction = SHARE, most: int = MOST, block: int = BLOCK, seed: int = SEED) -> tuple[list, list]:
-    """Quotas. cells: (source number, shard, words), every source from 0 on present.
+def aims(sizes: list[int], weights: tuple = WEIGHTS, share: Fraction = SHARE, most: int = MOST) -> tuple[list[Fraction], list[int]]:
+    """(targets, words to take) of the sources in their order."""
+    aim = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
+    return aim, sainte_lague(aim, round(sum(aim)), [most * n for n in sizes])
+
 
-    Returns the sources' (number, size, target) and per cell (number, shard, base, pieces), the
+def lay(number: int, own: list[tuple[int, int]], words: int, most: int = MOST, block: int = BLOCK, seed: int = SEED) -> list[tuple[int, int, list[Piece]]]:
+    """Quotas of one source's cells. own: (shard, words) by shard. Returns (shard, base, pieces), the
     pieces in order and together all words of the cell."""
+    at, starts = 0, []
+    for _, n in own:
+        starts.append((at, -(-at // block), -(-(at + n) // block) - -(-at // block)))  # base, first block, blocks
+        at += n
+    size = at
+    quota = sainte_lague([Fraction(b) for _, _, b in starts], words // block, [most * b for _, _, b in starts])
+    line = []
+    for (shard, _), (_, first, b), q in zip(own, starts, quota):
+        if b:
+            passes, run = divmod(q, b)
+            begin = _start((number, shard), b, seed)
+            wrapped = max(0, begin + run - b)
+            for x, y, n in ((0, wrapped, 1), (wrapped, begin, 0), (begin, begin + run - wrapped, 1), (begin + run - wrapped, b, 0)):
+                line.append(((first + x) * block, min((first + y) * block, size), passes + n))
+    line = _joined(line)
+    line = _prolonged(line, words - sum((b - a) * n for a, b, n in line))
+    out, i = [], 0
+    for (shard, n), (base, _, _) in zip(own, starts):
+        pieces = []
+        while n and i < len(line):
+            a, b, times = line[i]
+            pieces.append((max(a, base), min(b, base + n), times))
+            if b > base + n:
+                break
+            i += 1
+            if b == base + n:
+                break
+        out.append((shard, base, pieces))
+    return out
+
+
+def plan(cells: list[tuple[int, int, int]], weights: tuple = WEIGHTS, share: Fraction = SHARE, most: int = MOST, block: int = BLOCK, seed: int = SEED) -> tuple[list, list]:
+    """Quotas of all sources. cells: (source number, shard, words), every source from 0 on present.
+
+    Returns the sources' (number, size, target) and per cell (number, shard, base, pieces)."""
     of: dict[int, list] = {}
-    for c in sorted(cells):
-        of.setdefault(c[0], []).append(c)
-    size = {s: sum(n for _, _, n in own) for s, own in of.items()}
-    sources = list(of)
-    aim = dict(zip(sources, targets([size[s] for s in sources], [weights[s % len(weights)] for s in sources], share, most)))
-    words = dict(zip(sources, sainte_lague([aim[s] for s in sources], round(sum(aim.values())), [most * size[s] for s in sources])))
-    out = []
-    for s, own in of.items():
-        at, starts = 0, []
-        for _, _, n in own:
-            starts.append((at, -(-at // block), -(-(at + n) // block) - -(-at // block)))  # base, first block, blocks
-            at += n
-        quota = sainte_lague([Fraction(b) for _, _, b in starts], words[s] // block, [most * b for _, _, b in starts])
-        line = []
-        for (_, shard, _), (_, first, b), q in zip(own, starts, quota):
-            if b:
-                passes, run = divmod(q, b)
-                begin = _start((s, shard), b, seed)
-                wrapped = max(0, begin + run - b)
-                for x, y, n in ((0, wrapped, 1), (wrapped, begin, 0), (begin, begin + run - wrapped, 1), (begin + run - wrapped, b, 0)):
-                    line.append(((first + x) * block, min((first + y) * block, size[s]), passes + n))
-        line = _joined(line)
-        line = _prolonged(line, words[s] - sum((b - a) * n for a, b, n in line))
-        i = 0
-        for (_, shard, n), (base, _, _) in zip(own, starts):
-            pieces = []
-            while n and i < len(line):
-                a, b, times = line[i]
-                pieces.append((max(a, base), min(b, base + n), times))
-                if b > base + n:
-                    break
-                i += 1
-                if b == base + n:
-                    break
-            out.append((s, shard, base, pieces))
-    return [(s, size[s], float(aim[s])) for s in sources], out
+    for s, shard, n in sorted(cells):
+        of.setdefault(s, []).append((shard, n))
+    size = [sum(n for _, n in own) for own in of.values()]
+    aim, words = aims(size, weights, share, most)
+    sizes = [(s, n, float(x)) for s, n, x in zip(of, size, aim)]
+    return sizes, [(s, *x) for (s, own), w in zip(of.items(), words) for x in lay(s, own, w, most, block, seed)]
+
+
+def tie_of(text_col: str = "text", source_col: str = "source") -> F.Column:
+    """A hash of text and source; rows that share it and the id are told apart by nothing in the mix."""
+    text, source = F.col(f"`{text_col}`").cast("string"), F.col(f"`{source_col}`").cast("string")
+    return F.xxhash64(text, source, source.isNull(), text.isNull())
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: Fraction = SHARE, most: int = MOST, block: int = BLOCK, seed: int = SEED,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, tie (a hash of its text), source, size, source_size, target, taken, passes, spans.
+    """One row per document: doc_id, tie (a hash of text and source), source, size, source_size, target, taken, passes, spans.
 
     ``passes`` is how often the whole document is taken; ``spans`` are the (from, to) word ranges
     taken besides, in order. taken = passes * size + the spans' words."""
@@ -177,25 +200,36 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: Fraction = SHARE, most
     base = docs.select(
         F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint")).alias("size"),
-        F.xxhash64(F.lit(seed).cast("bigint"), F.col(f"`{id_col}`").cast("bigint")).alias("order"), F.xxhash64(text).alias("tie"),
+        F.xxhash64(F.lit(seed).cast("bigint"), F.col(f"`{id_col}`").cast("bigint")).alias("order"), tie_of(text_col, source_col).alias("tie"),
     )
     base = common.written(base, "mixing")
-    rows = base.count()
-    shards = max(1, math.ceil(math.sqrt(rows) / 3))
+    shards = max(1, math.ceil(math.sqrt(base.count()) / 3))
     base = base.withColumn("shard", F.pmod("order", F.lit(shards)).cast("int"))
-    totals = base.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()
-    names = sorted({r["source"] for r in totals}, key=lambda x: (x is None, x))  # by code point, null last
-    number = {x: i for i, x in enumerate(names)}
-    sizes, cells = plan([(number[r["source"]], r["shard"], r["n"]) for r in totals], weights, share, most, block, seed)
-    by = {s: (n, t) for s, n, t in sizes}
-    kind = "source string, shard int, base bigint, pieces array<struct<from:bigint,to:bigint,times:bigint>>, source_size bigint, target double"
-    quotas = common.driver_table(spark, [(names[c[0]], *c[1:], *by[c[0]]) for c in cells], kind)
-    w = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = base.withColumn("end", F.sum("size").over(w))
-    j = placed.alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard")))
+    cells = common.written(base.groupBy("source", "shard").agg(F.sum("size").alias("n")), "cells")
+    # the driver holds one row a source; the cells of a source meet in a task of their own
+    sizes = {r["source"]: r["size"] for r in cells.groupBy("source").agg(F.sum("n").alias("size")).collect()}
+    names = sorted(sizes, key=lambda x: (x is None, x))  # by code point, null last
+    aim, words = aims([sizes[x] for x in names], weights, share, most)
+    kind = "name string, number int, source_size bigint, target double, words bigint"
+    sources = common.driver_table(spark, [(x, i, sizes[x], float(aim[i]), words[i]) for i, x in enumerate(names)], kind)
+
+    def laid(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("shard", kind="stable")
+        first = own.iloc[0]
+        number = int(first["number"])
+        got = lay(number, list(zip(own["shard"].tolist(), own["n"].tolist())), int(first["words"]), most, block, seed)
+        pieces = [[{"from": a, "to": b, "times": n} for a, b, n in x[2]] for x in got]
+        return pd.DataFrame({"number": number, "shard": [x[0] for x in got], "base": [x[1] for x in got], "pieces": pieces})
+
+    cells = cells.join(sources, cells["source"].eqNullSafe(sources["name"])).select("number", "shard", "n", "words")
+    quotas = cells.groupBy("number").applyInPandas(laid, "number int, shard int, base bigint, pieces array<struct<from:bigint,to:bigint,times:bigint>>")
+    quotas = common.written(quotas, "quotas")
+    numbered = base.join(sources, base["source"].eqNullSafe(sources["name"])).drop("name", "words")
+    w = Window.partitionBy("number", "shard").orderBy("order", "doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
+    j = numbered.withColumn("end", F.sum("size").over(w)).join(quotas, ["number", "shard"])
+    c, b = F.col, F.col("base") + F.col("end")
+    j = j.select("doc_id", "tie", "source", "size", "source_size", "target", (b - c("size")).alias("a"), b.alias("b"), "pieces")
     # word ranges on the line of the source
-    c, b = F.col, F.col("q.base") + F.col("d.end")
-    j = j.select("d.doc_id", "d.tie", "d.source", "d.size", "q.source_size", "q.target", (b - c("d.size")).alias("a"), b.alias("b"), "q.pieces")
     a, b, zero = c("a"), c("b"), F.lit(0).cast("bigint")
     hit = F.transform(
         F.filter("pieces", lambda x: (x["from"] < b) & (x["to"] > a)),
@@ -212,34 +246,58 @@ def digest(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def materialize(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def cut(text: str, first: int, last: int) -> str:
+    """From word ``first`` of the text to the one before ``last``, with what stands between them."""
+    start = end = 0
+    for i, m in enumerate(islice(_WORDS.finditer(text), last)):
+        start, end = (m.start() if i == first else start), m.end()
+    return text[start:end]
+
+
+def materialize(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars",
+                source_col: str = "source") -> DataFrame:
     """The mix as rows of ``docs``: one for each pass over the whole document, unchanged, and one for
     each span taken besides, with the text from the span's first word to its last and its own
-    length in ``chars_col``. Documents of which nothing is taken are left out.
-
-    ``mixed`` must come from the same docs; documents are told by id and text."""
-    text = F.col(f"row.`{text_col}`").cast("string")
-    key = lambda i: [F.coalesce(i, F.lit(0).cast("bigint")).alias("k"), i.isNull().alias("none")]
-    rows = docs.select(F.struct("*").alias("row"))
-    rows = rows.select("row", *key(F.col(f"row.`{id_col}`").cast("bigint")), F.xxhash64(text).alias("tie"))
-    takes = F.sort_array(F.collect_list(F.struct("passes", "spans")), asc=False).alias("takes")
-    taken = mixed.where("taken > 0").select(*key(F.col("doc_id")), "tie", "passes", "spans").groupBy("k", "none", "tie").agg(takes)
-    # of repeated rows, the n-th of docs takes the n-th of the mix; the window reuses the join's partitions
-    nth = F.row_number().over(Window.partitionBy("k", "none", "tie").orderBy("k"))
-    both = rows.join(taken, ["k", "none", "tie"]).select("row", "takes", nth.alias("nth")).where(F.col("nth") <= F.size("takes"))
-    both = both.select("row", F.element_at("takes", F.col("nth")).alias("take"))
-    whole = F.array_repeat(F.struct(F.lit(-1).cast("bigint").alias("from"), F.lit(-1).cast("bigint").alias("to")), F.col("take.passes").cast("int"))
-    out = both.select("row", F.explode(F.concat(whole, "take.spans")).alias("span"))
-    words = F.regexp_extract_all(text, F.lit(_SPACED), F.lit(1))  # each with the white space behind it
-    part = F.array_join(F.slice(words, (F.col("span.from") + 1).cast("int"), (F.col("span.to") - F.col("span.from")).cast("int")), "")
-    part = F.regexp_replace(part, r"[\x20\x09-\x0D]+$", "")
-    out = out.withColumn("new", F.when(F.col("span.from") < 0, text).otherwise(part))
-    cols = []
-    for c in docs.columns:
-        old = F.col(f"row.`{c}`")
-        if c == text_col:
-            old = F.col("new")
-        elif c == chars_col:
-            old = F.when(F.col("span.from") < 0, old).otherwise(F.length("new").cast(dict(docs.dtypes)[c]))
-        cols.append(old.alias(c))
-    return out.select(*cols)
+    length in ``chars_col``, where docs has that column. Documents of which nothing is taken are left out.
+
+    ``mixed`` must come from the same docs; rows are told by id, text and source. Rows that repeat all
+    three are settled on their counts: they stand in the order of their hashes, equal ones as one with
+    a number, and the takes of the mix, numbered likewise, are laid on them."""
+    key = ["none", "k", "tie"]
+    named = lambda i: [i.isNull().alias("none"), F.coalesce(i, F.lit(0).cast("bigint")).alias("k")]
+    up_to = lambda *by: F.sum("copies").over(Window.partitionBy(key).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    takes = mixed.select(*named(F.col("doc_id")), "tie", "passes", "spans").groupBy(*key, "passes", "spans").agg(F.count("*").alias("copies"))
+    takes = common.written(takes, "takes")
+    repeated = common.written(takes.groupBy(key).agg(F.sum("copies").alias("rows")).where("rows > 1").select(key), "repeated")
+    rows = docs.select(*named(F.col(f"`{id_col}`").cast("bigint")), tie_of(text_col, source_col).alias("tie"), F.struct("*").alias("row"))
+    if not repeated.isEmpty():
+        several = rows.join(repeated, key, "left_semi").groupBy(*key, F.xxhash64("row").alias("variant")).agg(F.any_value("row").alias("row"), F.count("*").alias("copies"))
+        several = common.written(several.withColumn("last", up_to("variant")).drop("variant"), "several")
+        of = takes.join(repeated, key, "left_semi").withColumn("end", up_to("passes", "spans"))
+        laid = F.least("last", "end") - F.greatest(F.col("last") - F.col("r.copies"), F.col("end") - F.col("t.copies"))
+        laid = several.drop("row").alias("r").join(of.alias("t"), key).select(*key, "last", "passes", "spans", laid.alias("copies")).where("copies > 0")
+        rows = rows.join(repeated, key, "left_anti").withColumn("last", F.lit(0).cast("bigint")).unionByName(several.select(*key, "row", "last"))
+        takes = takes.join(repeated, key, "left_anti").withColumn("last", F.lit(0).cast("bigint")).unionByName(laid)
+        key = [*key, "last"]
+    # at most CHUNK copies a row, so that copies of a row without number are spread
+    spread = lambda n: F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint"), F.lit(CHUNK).cast("bigint")), lambda i: F.least(n - i, F.lit(CHUNK))))
+    again = lambda df: df.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("_"), *[c for c in df.columns if c == "span"])
+    whole = takes.where("passes > 0").select(*key, spread(F.col("passes") * F.col("copies")).alias("n"))
+    whole = again(rows.join(whole, key).select("row", "n")).select("row.*")
+    spans = takes.where("size(spans) > 0").select(*key, "copies", F.explode("spans").alias("span")).select(*key, "span", spread(F.col("copies")).alias("n"))
+    spans = again(rows.join(spans, key).select("row", "n", "span"))
+    fields = [f"row.`{c}`" for c in docs.columns]
+    at = docs.columns.index(text_col)
+    others = [i for i, c in enumerate(docs.columns) if c not in (text_col, chars_col)]
+    part = spans.select(*[F.col(fields[i]).alias(f"c{i}") for i in others], F.col(fields[at]).cast("string").alias("text"), F.col("span.from").alias("from"), F.col("span.to").alias("to"))
+    kinds = {f.name: f.dataType.simpleString() for f in part.schema.fields}
+
+    def run(batches):
+        for b in batches:
+            n = len(others)
+            new = [cut(t.as_py() or "", x, y) for t, x, y in zip(b.column(n), b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(new, pa.string())], [f"c{i}" for i in others] + ["text"])
+
+    part = part.mapInArrow(run, ", ".join([f"c{i} {kinds[f'c{i}']}" for i in others] + ["text string"]))
+    made = {text_col: F.col("text"), chars_col: F.length("text")} | {docs.columns[i]: F.col(f"c{i}") for i in others}
+    return whole.unionByName(part.select(*[made[f.name].cast(f.dataType).alias(f.name) for f in docs.schema.fields]))

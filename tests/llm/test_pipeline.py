@@ -2,10 +2,10 @@ import re
 from collections import Counter
 
 import pytest
+from tokenizers import Tokenizer
 
 from kgloom.llm import common, mixing, packing, simhash, toxicity
 from kgloom.llm.registry import WORD_BPE, vocabulary
-from kgloom.llm.tokens import Encoder
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -58,8 +58,8 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     aim = mixing.targets([size[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))])
     assert all(abs(taken[s] - a) <= 2 * mixing.BLOCK for s, a in zip(names, aim))
     assert all(n <= 2 * words(text[i]) for i, n in times.items())
-    enc = Encoder(vocabulary(WORD_BPE))
-    total = sum(len(enc.whole(r.text)) // 4 + 1 for r in mix.collect())
+    enc = Tokenizer.from_file(vocabulary(WORD_BPE))
+    total = sum(len(enc.encode(r.text, add_special_tokens=False).ids) + 1 for r in mix.collect())
     got = pipeline.run(spark, sf_dir).collect()
     assert sum(r.length for r in got) == total
     assert max(r.offset + r.length for r in got) <= packing.WINDOW
@@ -67,7 +67,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
 
 def test_materialize_repeats_and_cuts(spark):
     docs = spark.createDataFrame([(1, "a  b\nc", "s", 6), (1, "a  b\nc", "s", 6), (2, None, "s", None), (None, "x y", "s", 3)], "doc_id bigint, text string, source string, n_chars bigint")
-    m = docs.selectExpr("doc_id", "xxhash64(text) tie").dropDuplicates()
+    m = docs.select("doc_id", mixing.tie_of().alias("tie")).dropDuplicates()
     spans = "array<struct<from:bigint,to:bigint>>"
     rows = [(1, 2, []), (1, 0, [(1, 3)]), (None, 1, [])]
     tie = {r.doc_id: r.tie for r in m.collect()}
