@@ -156,9 +156,10 @@ def directed(vectors: DataFrame, half: int) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str, variant: str = "asymmetric", k: int = 20) -> DataFrame:
     s, t = sides(spark, sf_dir)
+    n = table(spark, sf_dir, "embeddings").agg(F.count_if(F.col("vec_id") % 2 == 0), F.count_if(F.col("vec_id") % 2 == 1)).collect()[0]
     if variant == "symmetric":
-        return V.top_k(s, t, k).withColumn("relation", F.lit("=")).select("source", "target", "relation", "confidence")
-    runs = [V.top_k(directed(s, h), t, k).withColumn("relation", F.lit(r)) for h, r in ((0, "<"), (1, ">"))]
+        return V.top_k(s, t, k, *n).withColumn("relation", F.lit("=")).select("source", "target", "relation", "confidence")
+    runs = [V.top_k(directed(s, h), t, k, *n).withColumn("relation", F.lit(r)) for h, r in ((0, "<"), (1, ">"))]
     return runs[0].unionByName(runs[1]).select("source", "target", "relation", "confidence")
 
 

@@ -14,6 +14,7 @@ from kgloom.model import ALIGNMENT
 from kgloom.operators import ranking as R
 from kgloom.operators.settle import settled
 from kgloom.sinks import tables
+from kgloom.sinks.tracking import Tracker, tracked
 from kgloom.sources.alignment_xml import read_alignment, write_alignment
 from kgloom.sources.layout import read_parameters, testcases
 from kgloom.sources.rdf import read_graph
@@ -111,10 +112,21 @@ def run_on_top(spark: SparkSession, runs: list[str], matchers: list, out: str, c
     return got
 
 
-def run_retrieval(case: TestCase, matcher, out: str, top_k: int = 20, variant: str = "asymmetric", config: dict | None = None, smoke: int | None = None) -> dict:
+def run_retrieval(case: TestCase, matcher, out: str, top_k: int = 20, variant: str = "asymmetric", config: dict | None = None, smoke: int | None = None,
+                  tracker: Tracker | None = None) -> dict:
     """Ranked retrieval: predictions, reference and per-source tables, recall, reciprocal ranks and
     score statistics in metrics.json. A smoke run keeps the predictions of the first ``smoke`` source
-    classes alone, and tells of each whether its best targets hold a gold one."""
+    classes alone, and tells of each whether its best targets hold a gold one. A tracker, if there is
+    one, gets the configuration, the metrics and the files."""
+    given = {"matcher": str(matcher), "top_k": top_k, "variant": variant, "smoke": smoke, **(config or {})}
+    with tracked(tracker, f"{case.track}/{case.name}/{matcher}", given) as run:
+        metrics = _retrieval(case, matcher, out, top_k, variant, given, smoke)
+        flat = {k: v for k, v in metrics.items() if isinstance(v, (int, float))}
+        run.log(flat, [f"{out}/{x}" for x in sorted(os.listdir(out))])
+    return metrics
+
+
+def _retrieval(case: TestCase, matcher, out: str, top_k: int, variant: str, given: dict, smoke: int | None) -> dict:
     from kgloom.operators import graph as G
 
     os.makedirs(out, exist_ok=True)
@@ -131,7 +143,7 @@ def run_retrieval(case: TestCase, matcher, out: str, top_k: int = 20, variant: s
     metrics |= {"predictions": n, "seconds": seconds}
     if smoke is not None:
         metrics["probe"] = {r.source: r.outcome for r in R.probe(predictions, case.reference).collect()}
-    tables.write_json(f"{out}/config.json", {"matcher": str(matcher), "top_k": top_k, "variant": variant, "smoke": smoke, **(config or {})})
+    tables.write_json(f"{out}/config.json", given)
     tables.write_json(f"{out}/metrics.json", metrics)
     tables.write_tsv(tables.predictions_table(predictions, *labels), f"{out}/predictions.tsv")
     tables.write_tsv(tables.reference_table(case.reference), f"{out}/reference.tsv")

@@ -224,3 +224,22 @@ def test_split_tag_loses_nothing(key):
 
     label, space = split_tag(key)
     assert space + label == key or label == space == key
+
+
+def test_tracked_runs(spark, tmp_path):
+    from kgloom.plans import runner
+    from kgloom.sinks.tracking import FileTracker
+
+    graph = lambda n: spark.createDataFrame([(f"urn:{n}{i}", f"name {i}") for i in range(6)], "u string, l string")
+    side = lambda n: M.union_graphs(graph(n).select(*M.triple("g", F.col("u"), M.TYPE, M.OWL + "Class")), graph(n).select(*M.triple("g", F.col("u"), M.LABEL, F.col("l"), "literal")))
+    gold = M.alignment(spark.createDataFrame([(f"urn:a{i}", f"urn:b{i}", "=", 1.0) for i in range(6)], "source string, target string, relation string, confidence double"))
+    case = runner.TestCase(side("a"), side("b"), gold.limit(0), gold, {}, "case", "track")
+    tracker = FileTracker(str(tmp_path / "runs"))
+    m = runner.run_retrieval(case, MA.RetrievalMatcher(k=2, description="description_text"), str(tmp_path / "out"), top_k=2, variant="symmetric", smoke=3, tracker=tracker)
+    assert m["predictions"] == 6 and set(m["probe"]) == {"urn:a0", "urn:a1", "urn:a2"} and m["n_total"] == 6
+    lines = [json.loads(x) for x in open(tracker.path)]
+    assert [x["event"] for x in lines] == ["begin", "log", "end"] and lines[0]["config"]["smoke"] == 3 and lines[2]["failed"] is None
+    assert lines[1]["metrics"]["predictions"] == 6 and any(f.endswith("predictions.tsv") for f in lines[1]["files"])
+    with pytest.raises(AttributeError):
+        runner.run_retrieval(case, object(), str(tmp_path / "bad"), tracker=tracker)
+    assert json.loads(open(tracker.path).read().splitlines()[-1])["failed"].startswith("AttributeError")
