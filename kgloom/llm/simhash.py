@@ -7,13 +7,17 @@ the radius differ in these counts by no more than the radius, summed over the pa
 cut into tiles; a pair of tiles is compared, by exclusive-or and bit counts in numpy, only if its
 counts are that close. All other pairs are skipped unseen, and no link is lost.
 
-Inside a pair of tiles the links are thinned to a spanning forest of stars, so a crowd of near
-copies yields fewer links than it has members. Components come from alternating large and
-small stars over written tables.
+Inside a pair of tiles the links are thinned to a spanning forest of stars, and those of a task are
+contracted once more, so a crowd of near copies yields fewer links than it has members. Components
+come from alternating large and small stars over written tables. Where a key is hot - a fingerprint
+of very many copies, a hub, a component's name - one side of the join has a single row of it: minima
+are combined on the map side, and Spark's skew join cuts the other side.
 
 Defined results: a null text is empty; a text without words has the zero fingerprint, linked like
-any other; a null doc_id loses its component's name to any other; repeated rows share a row of
-the fingerprint table; an empty table gives no rows.
+any other; a null doc_id loses its component's name to any other; ties of doc_id and repeated rows
+share a row of the fingerprint table where their texts do; a very long text is read whole, its bits
+summed piece by piece; an empty table gives no rows; other columns are not read, and travel along
+unchanged in ``keep_one`` and ``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from kgloom.llm import common
 RADIUS, SEED, SHINGLE = 3, 42, 3
 #: Fingerprints a tile holds at most, and from how many on the parts are bytes.
 TILE, FINE = 2048, 20_000_000
+#: New links after which a task contracts those it holds.
+LINKS = 1 << 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 #: White space at which str.split cuts besides that of WORD.
@@ -122,6 +128,15 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     return both[moved], both[labels[moved]]
 
 
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same components with one link for each node but the first of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    labels = np.arange(len(nodes))
+    merge(labels, at[: len(a)], at[len(a) :])
+    moved = np.flatnonzero(labels != np.arange(len(nodes)))
+    return nodes[moved], nodes[labels[moved]]
+
+
 def links(fps: DataFrame, count: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(a, b) links that connect every two fingerprints within the radius. ``fps`` has distinct ``fp``."""
     width = 8 if count >= FINE else 16
@@ -145,15 +160,23 @@ def links(fps: DataFrame, count: int, radius: int = RADIUS, tile: int = TILE) ->
     pairs = asked.join(tiles, "sig").where((F.col("step") != 0) | (F.col("piece_a") <= F.col("piece")))
 
     def run(batches):
+        # a task's links are contracted as they come, so it sends no more of them than it has seen nodes
+        a = b = np.zeros(0, np.uint64)
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def joined():
+            return contracted(*(np.concatenate(x) for x in zip((a, b), *fresh)))
+
         for batch in batches:
-            a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for same, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 x, y = (np.asarray(v.values).view(np.uint64) for v in (x, y))
                 p, q = forest(x, None if same else y, radius)
                 if len(p):
-                    a.append(p)
-                    b.append(q)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], ["a", "b"])
+                    fresh.append((p, q))
+                    if sum(len(v) for v, _ in fresh) > LINKS:
+                        (a, b), fresh = joined(), []
+        a, b = joined()
+        yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (a, b)], ["a", "b"])
 
     same = (F.col("step") == 0) & (F.col("piece_a") == F.col("piece"))
     return pairs.select(same.alias("same"), "fps_a", "fps").mapInArrow(run, "a bigint, b bigint")

@@ -58,8 +58,9 @@ def test_links_lose_nothing_over_many_tiles(spark, monkeypatch):
         fps.add(x)
     fps = sorted(fps)
     want = classes(fps)
-    for tile, fine in ((7, 10**9), (2048, 0)):
+    for tile, fine, most in ((7, 10**9, 5), (2048, 0, 1 << 20)):
         monkeypatch.setattr(simhash, "FINE", fine)
+        monkeypatch.setattr(simhash, "LINKS", most)
         df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp bigint")
         found = {r.node % 2**64: r.component for r in simhash.components(simhash.links(df, len(fps), tile=tile)).collect()}
         got = {}
