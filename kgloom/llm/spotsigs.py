@@ -9,11 +9,14 @@ the empty fingerprint. Likeness is the Jaccard resemblance of two sets; two empt
 
 ``near_duplicates`` joins fingerprints: sets are partitioned by their length into bands so wide
 that two sets at the threshold lie in the same or in neighbouring bands. Within a band pair,
-candidates share one of the rarest signatures of the shorter set (its prefix), the lengths must
-allow the threshold, and the Jaccard itself stops as soon as the threshold is out of reach.
-
-Defined results: a null text is empty; ``edited`` orders by doc_id, null last of all, ties by the
-hash of the text; an empty table gives no rows; other columns are not read.
+candidates share one of the rarest signatures of each (its prefix), the lengths must allow the
+threshold, and the Jaccard itself stops as soon as the threshold is out of reach. In a group of
+candidates every set meets the group's leader first; two sets that are both like it are in one class
+already, so only the others meet the rest, and a crowd of near copies costs as much as it has members.
+
+Defined results: a null text is empty; the order is by falling doc_id, null last of all, ties and
+repeated rows by the hash of the text; a very long text is read whole; an empty table gives no rows;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -189,20 +192,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     ranked = flat.join(counted, "sig").withColumn("rank", F.row_number().over(w))
     prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("s", "band", "n", "sig")
     prefix = common.written(prefix, "prefix")
-    # neighbouring bands: a set meets its own band and the one above
-    left = prefix.select(F.col("s").alias("a"), F.col("n").alias("na"), "sig", F.col("band").alias("band_a"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    right = prefix.select(F.col("s").alias("b"), F.col("n").alias("nb"), "sig", "band")
-    pairs = left.join(right, ["sig", "band"]).where((F.col("a") != F.col("b")) & ((F.col("band") > F.col("band_a")) | (F.col("a") < F.col("b"))))
-    pairs = pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b").distinct()
-    texts = sets.select("s", "fingerprint")
-    full = pairs.join(texts.toDF("a", "fa"), "a").join(texts.toDF("b", "fb"), "b")
+    # a group: the sets of a band and of the one above that share a rare signature
+    member = prefix.select("s", "n", "sig", F.explode(F.array("band", F.col("band") - 1)).alias("group"))
+    leader = member.groupBy("sig", "group").agg(F.min("s").alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
+    member = common.written(member.join(leader, ["sig", "group"]), "members")
+    texts = sets.select("s", "fingerprint", n.alias("n"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of (na, nb) signatures that reach the threshold."""
+        pairs = pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b").distinct()
+        full = pairs.join(texts.select(F.col("s").alias("a"), F.col("fingerprint").alias("fa")), "a").join(texts.select(F.col("s").alias("b"), F.col("fingerprint").alias("fb")), "b")
+        return common.written(full.select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint"), "alike")
 
     def run(batches):
         for batch in batches:
-            keep = [jaccard(from_text(x), from_text(y), threshold) >= threshold for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
-
-    found = common.written(components(full.select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint")), "classes")
+            keep = pa.array([jaccard(from_text(x), from_text(y), threshold) >= threshold for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    # first every member against its group's leader; two that are both like it need no look at each other
+    first = member.where("s <> leader").join(texts.select(F.col("s").alias("leader"), F.col("n").alias("nb")), "leader")
+    near = alike(first.select(F.col("s").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), "nb"))
+    settled = near.select(F.col("a").alias("s"), F.col("b").alias("leader"), F.lit(True).alias("settled"))
+    member = member.join(settled, ["s", "leader"], "left")
+    open_ = member.where("settled IS NULL AND s <> leader").select("sig", "group", F.col("s").alias("a"), F.col("n").alias("na"))
+    rest = open_.join(member.where("s <> leader").select("sig", "group", F.col("s").alias("b"), F.col("n").alias("nb")), ["sig", "group"]).where("a <> b")
+    links = near.unionByName(alike(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))))
+    found = common.written(components(links), "classes")
     named = sets.join(found, sets.s == found.node, "left").select("fingerprint", F.coalesce("component", "s").alias("c"), "least")
     named = common.written(named, "named")
     names = common.written(named.groupBy("c").agg(F.min("least").alias("class_id")), "names")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -61,8 +62,35 @@ def test_ties_nulls_and_single_rows(spark, sf_dir):
     assert SP.compare_with_next(corpus.empty(spark), 3).count() == 0
 
 
+def test_a_crowd_and_a_shared_passage(spark):
+    """Near copies of one text, and different texts that share a passage: classes by plain Python."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    text = lambda n: [x for _ in range(n) for x in (rng.choice(["the", "of", "and"]), rng.choice(words), rng.choice(words))]
+    base, passage, rows = text(60), text(6), []
+    for i in range(120):
+        alter = list(base)
+        for _ in range(rng.choice([1, 2, 9])):
+            alter[rng.randrange(len(alter))] = rng.choice(words)
+        rows.append((i, " ".join(alter if i % 2 else [*passage, *text(rng.choice([3, 20]))]), *[None] * 11))
+    got = {r.doc_id: r.class_id for r in SP.near_duplicates(spark.createDataFrame(rows, corpus.SCHEMA)).collect()}
+    assert got == classes(rows)
+
+
+def classes(rows):
+    sigs, label = [SP.signatures(r[1]) for r in rows], list(range(len(rows)))
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if SP.jaccard(sigs[i], sigs[j]) >= 0.8]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in near:
+            m = min(label[i], label[j])
+            changed |= (label[i], label[j]) != (m, m)
+            label[i] = label[j] = m
+    return {r[0]: rows[label[i]][0] for i, r in enumerate(rows)}
+
+
 def test_near_duplicates_equal_brute_force(spark, sf_dir):
-    import random
 
     rng = random.Random(4)
     words = [f"w{i}" for i in range(300)] + ["the", "of", "and", "is"] * 20
