@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch folders that are still in place.
+_made: list[str] = []
+
 
 def shared_folder(spark: SparkSession, make: bool = False) -> str | None:
     """The folder that spark.checkpoint.dir names. Where it is unset, a cluster is refused, as its
@@ -20,12 +24,37 @@ def shared_folder(spark: SparkSession, make: bool = False) -> str | None:
     return base.rstrip("/") if base else None
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the session ends."""
+    _made.append(f"{shared_folder(spark, make=True)}/kgloom-{uuid.uuid4().hex}.{name}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all scratch folders. Only when no frame reads them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _made:
+        try:
+            release(spark)
+        except Exception:  # the session is going down
+            pass
+
+
+atexit.register(_release_at_exit)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Cuts the lineage: a written table in the shared folder; where there is none, the cache of a
     session of this machine alone. Never a local checkpoint."""
-    base = shared_folder(df.sparkSession)
-    if not base:
+    if not shared_folder(df.sparkSession):
         return df.persist()
-    path = f"{base}/kgloom-settled-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ Files go to the folder that spark.checkpoint.dir names, which the driver and all
 
 from __future__ import annotations
 
-import uuid
+import json
 
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from kgloom.operators import matchers as MA
 from kgloom.operators import ranking as R
 from kgloom.operators import scoring as SC
 from kgloom.operators import vectors as V
-from kgloom.operators.settle import shared_folder
+from kgloom.operators.settle import scratch
 from kgloom.plans import derived as D
 from kgloom.plans import sparql
 from kgloom.plans.register import register
@@ -29,10 +29,6 @@ from kgloom.sources import rdf
 _T, _L, _SUB, _CLASS = M.TYPE, M.LABEL, M.SUBCLASS, M.OWL + "Class"
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_folder(spark, make=True)}/kgloom-{uuid.uuid4().hex}.{name}"
-
-
 # --- graphs -------------------------------------------------------------------------------------
 
 _KIND = "CASE WHEN s LIKE 'urn:%' THEN 'iri' ELSE 'bnode' END"
@@ -40,7 +36,7 @@ _KIND = "CASE WHEN s LIKE 'urn:%' THEN 'iri' ELSE 'bnode' END"
 
 @register(f"WITH RECURSIVE {D.KG_BLANK_SQL} SELECT s, {_KIND} AS s_kind, p, o, o_kind FROM kgb")
 def ntriples_round_trip(spark, sf_dir):
-    path = _folder(spark, "nt")
+    path = scratch(spark, "nt")
     rdf.write_ntriples(D.kg_blank(spark, sf_dir), path)
     return rdf.read_graph(spark, path).select("s", "s_kind", "p", "o", "o_kind")
 
@@ -64,7 +60,7 @@ def _named(spark, sf_dir):
 @register(_NAMED_TRIPLES)
 def rdfxml_read(spark, sf_dir):
     """Typed nodes with a label in English and a parent, as RDF/XML documents."""
-    path = _folder(spark, "rdf")
+    path = scratch(spark, "rdf")
     one = F.format_string('<owl:Class rdf:about="%s"><rdfs:label xml:lang="en">%s</rdfs:label><rdfs:subClassOf rdf:resource="%s"/></owl:Class>', "uri", "name", "up")
     write_documents(_named(spark, sf_dir), one, path, f'<rdf:RDF xmlns:rdf="{M.RDF}" xmlns:rdfs="{M.RDFS}" xmlns:owl="{M.OWL}">', "</rdf:RDF>")
     return rdf.read_graph(spark, path).select("s", "p", "o", "o_kind", "o_lang")
@@ -73,7 +69,7 @@ def rdfxml_read(spark, sf_dir):
 @register(_NAMED_TRIPLES)
 def turtle_read(spark, sf_dir):
     """The same in Turtle, with prefixes, 'a' and lists of predicates."""
-    path = _folder(spark, "ttl")
+    path = scratch(spark, "ttl")
     one = F.format_string('<%s> a owl:Class ; rdfs:label "%s"@en ; rdfs:subClassOf <%s> .', "uri", "name", "up")
     write_documents(_named(spark, sf_dir), one, path, f"@prefix rdfs: <{M.RDFS}> .\nPREFIX owl: <{M.OWL}>", "")
     return rdf.read_graph(spark, path).select("s", "p", "o", "o_kind", "o_lang")
@@ -137,7 +133,7 @@ def _al(spark, sf_dir):
 @register(f"WITH {D.LINE_SQL} SELECT source, target, relation, confidence, 'of ' || relation AS note, relation = '=' AS same FROM al")
 def alignment_xml_round_trip(spark, sf_dir):
     """Whole documents with extensions, read again with all they say."""
-    path = _folder(spark, "xml")
+    path = scratch(spark, "xml")
     ext = F.create_map(F.lit("http://kgloom.example/ext#note"), F.concat(F.lit("of "), "relation"), F.lit("same"), (F.col("relation") == "=").cast("string"))
     AX.write_alignments(_al(spark, sf_dir).withColumn("extensions", ext), path, AX.Header(["urn:a", "a.rdf", "OWL", M.OWL], ["urn:b"]))
     got = AX.read_cells(spark, path, keep_extensions=True)
@@ -148,7 +144,7 @@ def alignment_xml_round_trip(spark, sf_dir):
 @register(f"WITH {D.LINE_SQL} SELECT source, target, relation, max(confidence) AS confidence FROM li GROUP BY ALL")
 def alignment_file_matcher(spark, sf_dir):
     """Files with repeated cells, loaded as an alignment by the matcher that reads files."""
-    path = _folder(spark, "xml")
+    path = scratch(spark, "xml")
     AX.write_alignments(M.alignment(D.line_alignment(spark, sf_dir)), path)
     return MA.FileLoader(path).match(D.kg(spark, sf_dir), None).select(*M.KEY, "confidence")
 
@@ -156,7 +152,7 @@ def alignment_file_matcher(spark, sf_dir):
 @register(f"WITH {D.LINE_SQL} SELECT * FROM al")
 def alignment_xml_split_read(spark, sf_dir):
     """The reader that splits a file at its cells."""
-    path = _folder(spark, "xml")
+    path = scratch(spark, "xml")
     AX.write_alignments(_al(spark, sf_dir), path)
     return AX.read_large(spark, path).select(*M.KEY, "confidence")
 
@@ -212,7 +208,7 @@ def rerank_by_scorer(spark, sf_dir):
 
 
 def _tsv(df, spark):
-    path = _folder(spark, "tsv")
+    path = scratch(spark, "tsv")
     tables.write_tsv_files(df, path)
     got = spark.read.csv(path, sep="\t", header=True, quote="", nullValue="\x00", emptyValue="")
     return got.select([F.coalesce(c, F.lit("")).alias(c) for c in got.columns])
@@ -333,3 +329,48 @@ SELECT doc_id, round(CASE WHEN coalesce(y, 0) + coalesce(n, 0) > 0 THEN coalesce
 def first_token_specific(spark, sf_dir):
     """Only yes and no between stops or white space count."""
     return SC.first_token_confidence(D.logprobs(spark, sf_dir), "doc_id", "specific").withColumn("confidence", F.round("confidence", 6))
+
+
+# --- queries over graphs, and tools ---------------------------------------------------------------
+
+
+@register("""WITH r AS (SELECT 'urn:region:' || r_regionkey AS x, r_name AS name FROM region), w AS (SELECT greatest(max(length(x)), 1)::INTEGER AS a, greatest(max(length(name)), 4)::INTEGER AS b FROM r)
+SELECT rpad('x', a, ' ') || ' | ' || rpad('name', b, ' ') || chr(10) || repeat('-', a) || '-+-' || repeat('-', b) || chr(10) || (SELECT string_agg(rpad(x, a, ' ') || ' | ' || rpad(name, b, ' '), chr(10) ORDER BY x) FROM r) AS answer FROM w""")
+def sparql_tool_answer(spark, sf_dir):
+    """What a model gets to read: the table of regions as a tool's answer."""
+    tool = SC.sparql_tool("query", D.kg(spark, sf_dir))
+    q = 'SELECT ?x ?name WHERE { ?x a owl:Class . ?x rdfs:label ?name FILTER(STRSTARTS(STR(?x), "urn:region:")) } ORDER BY ?x'
+    return spark.createDataFrame([(tool.invoke({"query": q}),)], "answer string")
+
+
+@register(f"""WITH RECURSIVE {D.KG_SQL} SELECT DISTINCT k.s, 'urn:within' AS p, up.o FROM kg k JOIN kg up ON up.p = '{_SUB}' AND up.s = k.o WHERE k.p = '{_SUB}'""")
+def sparql_construct(spark, sf_dir):
+    """A graph made of every class and its parent's parent."""
+    q = "CONSTRUCT { ?x <urn:within> ?z } WHERE { ?x rdfs:subClassOf ?y . ?y rdfs:subClassOf ?z }"
+    return sparql.compile_query(q, D.kg(spark, sf_dir))[1].select("s", "p", "o")
+
+
+@register(f"""WITH RECURSIVE {D.KG_SQL} SELECT DISTINCT s AS x FROM kg WHERE p = '{_T}' AND o = '{_CLASS}' AND s NOT IN (SELECT s FROM kg WHERE p = '{_SUB}' AND o LIKE 'urn:nation:%')""")
+def sparql_minus(spark, sf_dir):
+    q = 'SELECT DISTINCT ?x WHERE { ?x a owl:Class MINUS { ?x rdfs:subClassOf ?n FILTER(STRSTARTS(STR(?n), "urn:nation:")) } }'
+    return sparql.compile_query(q, D.kg(spark, sf_dir))[1]
+
+
+@register("""SELECT n_name AS nation, r_name AS seen, CASE WHEN n_regionkey IN (0, 3) THEN 0.9 ELSE 0.2 END AS confidence FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def tool_conversations(spark, sf_dir):
+    """A conversation a nation with a stand-in for a model, which asks a tool for the nation's region,
+    reads the answer, and then says how sure it is. The loop runs on the driver; there are 25 nations."""
+    names = {r.r_regionkey: r.r_name for r in D.table(spark, sf_dir, "region").collect()}
+    of = {r.n_name: names[r.n_regionkey] for r in D.table(spark, sf_dir, "nation").collect()}
+    schema = {"type": "object", "properties": {"nation": {"type": "string"}}, "required": ["nation"]}
+    tool = SC.Tool("region_of", "The region of a nation.", schema, lambda nation: of[nation])
+
+    def chat(talks, tools):
+        ask = lambda t: {"tool_calls": [{"id": "1", "function": {"name": tools[0]["function"]["name"], "arguments": json.dumps({"nation": t[0]["content"]})}}]}
+        return [{"content": "I have read it."} if t[-1]["role"] == "tool" else ask(t) for t in talks]
+
+    sure = {names[0], names[3]}
+    loop = SC.ToolLoop(chat, lambda talks: [0.9 if any(m["role"] == "tool" and m["content"] in sure for m in t) else 0.2 for t in talks], [tool])
+    scores, talks = loop.run([[{"role": "user", "content": n}] for n in of])
+    seen = [next(m["content"] for m in t if m["role"] == "tool") for t in talks]
+    return spark.createDataFrame(list(zip(of, seen, scores)), "nation string, seen string, confidence double")
