@@ -6,9 +6,10 @@ offset of every partition. Pass 2 cuts the one long sequence of ids into fixed w
 document that crosses a window edge gets a boundary record on either side. No row is shuffled.
 
 Defined results: a null text is empty and contributes its end id alone; repeated rows are packed
-as often as they occur; a null doc_id stays null; an empty table gives no rows; columns other
-than the id and the text are not read. Only the last sequence can be short. It is padded to the
-window unless its length is a power of two.
+as often as they occur, ties in any order; a null doc_id stays null; a very long text is encoded
+whole and cut into as many pieces as windows it touches; an empty table gives no rows; columns other
+than the id and the text are not read, whatever their names. Only the last sequence can be short. It
+is padded to the window unless its length is a power of two.
 """
 
 from __future__ import annotations
@@ -19,44 +20,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.llm import common
-from kgloom.llm.tokens import encoder
+from kgloom.llm.tokens import binary, encoder
 
 WINDOW = 4096
 END_ID = 2
-#: Bytes of ids after which a batch goes out, so that a batch of long texts stays small.
-FLUSH = 4 << 20
 
 
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """(part, local_start, doc_id, n_tokens, ids): ids are little-endian 32-bit, the end id last."""
-    tail = np.array([end_id], "<u4").tobytes()
+    names = ["part", "local_start", "doc_id", "n_tokens", "ids"]
 
     def run(batches):
         from pyspark import TaskContext
 
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
-        names = ["part", "local_start", "doc_id", "n_tokens", "ids"]
-
-        def out(doc, start, n, ids):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(doc), pa.int32()), pa.array(start, pa.int64()), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names
-            )
-
         for batch in batches:
-            doc, start, n, ids, held = [], [], [], [], 0
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                b = enc.ids(text.as_py()) + tail
-                doc.append(d)
-                start.append(at)
-                n.append(len(b) // 4)
-                ids.append(b)
-                at += len(b) // 4
-                held += len(b)
-                if held >= FLUSH:
-                    yield out(doc, start, n, ids)
-                    doc, start, n, ids, held = [], [], [], [], 0
-            if doc:
-                yield out(doc, start, n, ids)
+            for i, ids, n in enc.batches(batch.column(1), end_id):
+                doc = batch.column(0).slice(i, len(n))
+                start = at + np.cumsum(n) - n
+                cols = [pa.array(np.full(len(n), part, np.int32)), pa.array(start, pa.int64()), doc, pa.array(n, pa.int64()), binary(ids, n)]
+                yield pa.RecordBatch.from_arrays(cols, names)
+                at += len(ids)
 
     read = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return read.mapInArrow(run, "part int, local_start bigint, doc_id bigint, n_tokens bigint, ids binary")

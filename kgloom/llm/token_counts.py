@@ -19,13 +19,14 @@ Sections of a text are its lines, each with its line feed, so they tile the text
 counts several columns of a row as the sections of their concatenation.
 
 Defined results: a null or empty text is one empty section without tokens; repeated rows are
-counted as often as they occur; a null doc_id stays null; an empty table gives no rows; other
-columns are not read.
+counted as often as they occur, ties in any order; a null doc_id stays null; a very long text is
+encoded whole; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +46,12 @@ def _byte_lengths(path: str) -> np.ndarray:
     return np.array([len(tk.id_to_token(i) or "") for i in range(tk.get_vocab_size())], np.int64)
 
 
-def spans(path: str, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+def spans(path: str, text: str, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
     """(starts, ends) of the text's tokens, in bytes where the vocabulary is byte-level and keeps
-    white space (then True), else in characters."""
+    white space (then True), else in characters. ids: the text's, if they are known."""
     enc = encoder(path)
     if enc.kind == "spaced":
-        ends = np.cumsum(_byte_lengths(path)[np.frombuffer(enc.ids(text), "<u4")])
+        ends = np.cumsum(_byte_lengths(path)[np.frombuffer(enc.ids(text), "<u4") if ids is None else ids])
         return np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)], ends, True
     got = np.array(enc.tk.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
     return got[:, 0], got[:, 1], False
@@ -77,9 +78,9 @@ def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: st
     return np.bincount(np.minimum(at, n - 1), minlength=n)
 
 
-def count_sections(path: str, pieces: list[str], rule: str = "start") -> np.ndarray:
+def count_sections(path: str, pieces: list[str], rule: str = "start", ids: np.ndarray | None = None) -> np.ndarray:
     """Tokens of each of the pieces as sections of their concatenation."""
-    starts, ends, in_bytes = spans(path, "".join(pieces))
+    starts, ends, in_bytes = spans(path, "".join(pieces), ids)
     size = [len(p.encode("utf-8", "surrogatepass")) if in_bytes else len(p) for p in pieces]
     return attribute(starts, ends, np.concatenate([[0], np.cumsum(size)]), rule)
 
@@ -102,11 +103,12 @@ def sections(docs: DataFrame, path: str, rule: str = "start", id_col: str = "doc
         return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), *[pa.array(c, pa.int64()) for c in cols]], names)
 
     def run(batches):
+        enc = encoder(path)
         for b in batches:
             got, held = [[], [], [], [], [], []], 0
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, t, own in zip(b.column(0).to_pylist(), b.column(1), enc.each(b.column(1)) if enc.kind == "spaced" else repeat(None)):
                 pieces = lines(t.as_py() or "")
-                counts = count_sections(path, pieces, rule)
+                counts = count_sections(path, pieces, rule, own)
                 ends = np.cumsum([len(p) for p in pieces])
                 n = len(pieces)
                 got[0] += [doc] * n
