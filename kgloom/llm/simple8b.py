@@ -17,8 +17,9 @@ documents: the documents' ids and lengths, the position of the block in its file
 hold ascending doc_id; Spark writes them, so they can lie in any store it knows.
 
 Defined results: a null text is empty and yields its end id alone; null ids come first; repeated
-rows are written as often as they occur, ties of doc_id in the order of their texts' hash; an
-empty table gives no rows; other columns are not read.
+rows are written as often as they occur, ties of doc_id in the order of their texts' hash; a very
+long text is one document of one block; an empty table gives no rows; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -41,13 +42,15 @@ ZEROS, ESCAPE = 120, 15
 #: Ids after which a block is closed.
 BLOCK = 1 << 18
 END_ID = 2
-#: Chunks a worker remembers: more than elsewhere, as ranges of doc_id mix all languages and sources.
-MEMORY = 1_000_000
 
 #: Ids a word of each selector covers.
 _TAKES = np.array([ZEROS, *COUNTS, 1])
 
 
+#: Selectors too narrow for an id, for ids of up to 17 bits.
+_NARROW = np.searchsorted(np.array([1 << b for b in BITS]), np.arange(1 << 17), "right").astype(np.uint8)
+
+
 def _shift(a: np.ndarray, n: int) -> np.ndarray:
     """Each row moved n places to the left, zeros behind."""
     out = np.zeros_like(a)
@@ -57,11 +60,14 @@ def _shift(a: np.ndarray, n: int) -> np.ndarray:
 
 def _selectors(grid: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The selector that covers most ids, for a word begun at any place of any lane."""
-    need = np.zeros(grid.shape, np.uint8)  # selectors too narrow for the id
-    top = int(grid.max())
-    for bits in BITS:
-        if top >> bits:
-            need += grid >= np.uint64(1 << bits)
+    top = int(grid.max())  # need: selectors too narrow for the id
+    if top < len(_NARROW):
+        need = _NARROW[grid.astype(np.int32)]
+    else:
+        need = np.zeros(grid.shape, np.uint8)
+        for bits in BITS:
+            if top >> bits:
+                need += grid >= np.uint64(1 << bits)
     most = {1: need}
     for n in range(2, 9):
         most[n] = np.maximum(most[n - 1], _shift(need, n - 1))
@@ -163,32 +169,34 @@ FILE_SCHEMA = (
 
 def write_files(docs: DataFrame, path: str, files: int | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Writes the token ids of every document in ascending order of id; returns the files as read back."""
-    tail = np.array([end_id], "<u4").tobytes()
     names = [x.split()[0] for x in FILE_SCHEMA.split(", ")]
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part = encoder(path, MEMORY), TaskContext.get().partitionId()
-        block_no, start, doc, lengths, held, n = 0, 0, [], [], [], 0
+        enc, part = encoder(path), TaskContext.get().partitionId()
+        block_no, start, held, n = 0, 0, [], 0  # held: (doc_ids, lengths, ids) of the block in hand
 
         def block():
-            words, offsets = encode(np.frombuffer(b"".join(held), "<u4"))
-            cols = [[part], [block_no], [start], [n], [doc], [lengths], [offsets.astype("<u4").tobytes()], [words.astype("<u8").tobytes()]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+            words, offsets = encode(np.concatenate([x[2] for x in held]))
+            lists = [pa.concat_arrays([x[0] for x in held]), pa.array(np.concatenate([x[1] for x in held]), pa.int64())]
+            cols = [pa.array([part], pa.int32()), pa.array([block_no], pa.int32()), pa.array([start], pa.int64()), pa.array([n], pa.int64())]
+            cols += [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            cols += [pa.array([x.tobytes()], pa.binary()) for x in (offsets.astype("<u4"), words.astype("<u8"))]
+            return pa.RecordBatch.from_arrays(cols, names)
 
         for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                b = enc.ids(text.as_py()) + tail
-                doc.append(d)
-                lengths.append(len(b) // 4)
-                held.append(b)
-                n += len(b) // 4
-                if n >= BLOCK:
-                    yield block()
-                    block_no, start, doc, lengths, held, n = block_no + 1, start + n, [], [], [], 0
-        if doc:
+            for i, ids, counts in enc.batches(batch.column(1), end_id):
+                docs, ends, a = batch.column(0).slice(i, len(counts)), np.cumsum(counts), 0
+                while a < len(counts):
+                    before = int(ends[a] - counts[a])
+                    b = min(int(np.searchsorted(ends, before + BLOCK - n)) + 1, len(counts))  # the document that fills the block is its last
+                    held.append((docs.slice(a, b - a), counts[a:b], ids[before : ends[b - 1]]))
+                    n, a = n + int(ends[b - 1]) - before, b
+                    if n >= BLOCK:
+                        yield block()
+                        block_no, start, held, n = block_no + 1, start + n, [], 0
+        if held:
             yield block()
 
     read = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
