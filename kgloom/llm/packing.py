@@ -24,6 +24,9 @@ from kgloom.llm.tokens import binary, encoder
 
 WINDOW = 4096
 END_ID = 2
+#: Distinct words a worker remembers, and bytes of text encoded at once: less than the encoder's own,
+#: as packing is the pipeline's last stage, where workers of the stages before still hold memory.
+MEMORY, SLICE = 400_000, 3 << 20
 
 
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -33,9 +36,9 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, at = encoder(path, MEMORY), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for i, ids, n in enc.batches(batch.column(1), end_id):
+            for i, ids, n in enc.batches(batch.column(1), end_id, SLICE):
                 doc = batch.column(0).slice(i, len(n))
                 start = at + np.cumsum(n) - n
                 cols = [pa.array(np.full(len(n), part, np.int32)), pa.array(start, pa.int64()), doc, pa.array(n, pa.int64()), binary(ids, n)]

@@ -87,8 +87,9 @@ def listed(words: pa.Array) -> list[str]:
 def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The runs of ``pool`` that begin at ``start``, one after another."""
     ends = np.cumsum(length)
-    place = np.repeat(start - ends + length, length)
-    place += np.arange(len(place))
+    kind = np.int32 if len(pool) < 1 << 30 and (not len(ends) or ends[-1] < 1 << 30) else np.int64
+    place = np.repeat((start - ends + length).astype(kind), length)
+    place += np.arange(len(place), dtype=kind)
     return pool[place]
 
 
@@ -264,16 +265,16 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(length)])
         return gather(pool, start, length), np.diff(ends[offsets])
 
-    def batches(self, texts, tail: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of the first text, ids, ids a text) by slices of about SLICE bytes, whole texts each.
-        A null text is empty."""
+    def batches(self, texts, tail: int | None = None, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the first text, ids, ids a text) by slices of about ``size`` bytes, whole texts
+        each. A null text is empty."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
         at = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))])
         i = 0
         while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
             yield i, *self.slice(texts[i:j], tail)
             i = j
 
