@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Scratch folders that are still in place, in the order they were made.
@@ -97,11 +97,49 @@ def with_base(df: DataFrame, part: str, amount: str, out: str) -> DataFrame:
     return df.join(base, part)
 
 
+def placed(df: DataFrame, order: list[str], name: str, at: str) -> DataFrame:
+    """Adds each row's place in the order of the named columns (ascending, nulls first), gapless from 0.
+
+    Rows are cut by ranges of the whole order, so a key with many rows spreads over many tasks; each
+    partition is sorted and written, and its first place is the sum of the totals before it. ``df``
+    should be a written table, as the ranges are sampled from it first."""
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rid", F.monotonically_increasing_id())
+    laid = written(laid, name).withColumn("part", F.shiftright("rid", 33)).withColumn("one", F.lit(1).cast("bigint"))
+    based = with_base(laid, "part", "one", "base")
+    return based.withColumn(at, F.col("base") + F.col("rid").bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, at)
+
+
+#: Rows of one group of a running sum.
+SPAN = 1 << 14
+
+
+def running(df: DataFrame, at: str, amounts: list[str], n: int) -> DataFrame:
+    """Adds to each of the n rows, whose places ``at`` are gapless from 0, the sums ``<amount>_to`` of the
+    amounts up to and with its own. Groups of SPAN consecutive places are summed each for itself, and their
+    totals are summed in the same way, so no group grows with n and nothing comes to the driver."""
+    block = F.floor(F.col(at) / SPAN)
+    within = Window.partitionBy("block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("block", block).select("*", *[F.sum(a).over(within).alias(f"{a}_to") for a in amounts])
+    if n <= SPAN:
+        return out.drop("block")
+    totals = df.groupBy(block.alias("up")).agg(*[F.sum(a).alias(a) for a in amounts])
+    totals = running(totals, "up", amounts, -(-n // SPAN)).select(F.col("up").alias("block"), *[(F.col(f"{a}_to") - F.col(a)).alias(f"{a}_before") for a in amounts])
+    sums = {f"{a}_to": F.col(f"{a}_to") + F.col(f"{a}_before") for a in amounts}
+    return out.join(totals, "block").withColumns(sums).drop("block", *[f"{a}_before" for a in amounts])
+
+
 def crc32_of(ids: str, start, length) -> F.Column:
     """crc32 of ``length`` little-endian 32-bit ids from position ``start`` of a binary column."""
     return F.crc32(F.substring(F.col(ids), (start * 4 + 1).cast("int"), (length * 4).cast("int")))
 
 
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII text."""
+    byte = "list_reduce(list_prepend(xor(a, b), [0::BIGINT for z in range(8)]), lambda c, d: xor(c >> 1, 3988292384 * (c & 1)))"
+    codes = f"[ascii(s)::BIGINT for s in string_split({text}, '')]"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda a, b: {byte}), 4294967295)"
+
+
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; any other column of the input, whatever its name, is left out."""
     return df.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import common, exact_dedup, mixing, packing, quality, sharding, simhash, simple8b, spotsigs, token_counts, toxicity
+from kgloom.llm import common, exact_dedup, merkle, mixing, packing, quality, sharding, simhash, simple8b, spotsigs, token_counts, toxicity
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -69,6 +69,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(exact_dedup.annotate(table(spark, sf_dir, "documents")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -81,9 +85,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "spotsigs_classes": spotsigs_classes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.SQL}
+    return {"op10_exact_dedup": exact_dedup.SQL, "op11_merkle_manifest": merkle.SQL}
