@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import common, exact_dedup, merkle, mixing, packing, prefix_trie, quality, sharding, simhash, simple8b, spotsigs, token_counts, toxicity
+from kgloom.llm import common, exact_dedup, language, merkle, mixing, packing, prefix_trie, quality, sharding, simhash, simple8b, spotsigs, token_counts, toxicity
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -77,6 +77,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.digest(table(spark, sf_dir, "conversations"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -91,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_language": op13_language,
         "spotsigs_classes": spotsigs_classes,
     }
 
