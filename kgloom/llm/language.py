@@ -8,7 +8,7 @@ each language is solved on their features. A batch is scored by two matrix produ
 landmarks' presence, kernel values with the machines' weights.
 
 The fit reads a bounded sample: at most SAMPLE labelled rows, for each language an equal share chosen by
-a hash of the id, rows of rare languages all. Its dictionary is the DICTIONARY n-grams of most sample
+a hash, of rare languages all rows. Its dictionary is the DICTIONARY n-grams of most sample
 texts, counted in the cluster; a sample row comes to the driver as one bit for each. At most LANGUAGES
 languages, those of most rows, are learned. Everything else covers all rows and whole texts.
 
@@ -149,7 +149,10 @@ def sample(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     bound goes by the hash. Hashes alone are sorted; texts move only after the choice."""
     rows = docs.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("key", F.xxhash64("doc_id", "lang", "text"))
     counts = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("count")).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    share = 0.9 * most / max(len(counts), 1)
+    share, left = 0.0, 0.9 * most
+    for i, n in enumerate(sorted(r["count"] for r in counts)):  # what small languages leave goes to the others
+        share = left / (len(counts) - i)
+        left -= min(n, share)
     rate = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["count"])) for r in counts], "learned string, rate double")
     thin = rows.select("key", "lang").join(F.broadcast(rate), F.col("lang") == F.col("learned")).where(F.pmod("key", F.lit(1 << 50)) < F.col("rate") * (1 << 50))
     keys = common.written(thin.select("key").distinct().orderBy("key").limit(most), "chosen")
