@@ -8,8 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Scratch folders that are still in place.
+#: Scratch folders that are still in place, and what deletes them: the JVM and the Hadoop configuration, which
+#: outlive the session.
 _made: list[str] = []
+_hadoop: list = []
 
 
 def shared_folder(spark: SparkSession, make: bool = False) -> str | None:
@@ -25,26 +27,25 @@ def shared_folder(spark: SparkSession, make: bool = False) -> str | None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the session ends."""
+    """A new path in the shared folder, deleted when the program ends."""
+    _hadoop[:] = [spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()]
     _made.append(f"{shared_folder(spark, make=True)}/kgloom-{uuid.uuid4().hex}.{name}")
     return _made[-1]
 
 
-def release(spark: SparkSession) -> None:
+def release() -> None:
     """Deletes all scratch folders. Only when no frame reads them any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _made:
+        jvm, conf = _hadoop
         path = jvm.org.apache.hadoop.fs.Path(_made.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
 def _release_at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _made:
-        try:
-            release(spark)
-        except Exception:  # the session is going down
-            pass
+    try:
+        release()
+    except Exception:  # the JVM is gone before
+        pass
 
 
 atexit.register(_release_at_exit)
