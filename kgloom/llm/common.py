@@ -9,8 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Scratch folders that are still in place, in the order they were made.
+#: Scratch folders that are still in place, in the order they were made, and what deletes them: the JVM and
+#: the Hadoop configuration, which outlive the session.
 _live: list[str] = []
+_hadoop: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +33,9 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     there, so a lost executor costs a reread and no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kgloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    _hadoop[:] = [spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()]
     _live.append(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,11 +43,12 @@ def mark() -> int:
     return len(_live)
 
 
-def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+def release(since: int = 0, until: int | None = None) -> None:
     """Deletes scratch tables made between two marks. Only for tables that no lazy frame reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     until = len(_live) if until is None else until
+    if not _live[since:until]:
+        return
+    jvm, conf = _hadoop
     for path in _live[since:until]:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
@@ -52,12 +56,9 @@ def release(spark: SparkSession, since: int = 0, until: int | None = None) -> No
 
 
 def _release_at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None or not _live:
-        return
     try:
-        release(spark)
-    except Exception:  # the session is going down
+        release()
+    except Exception:  # the JVM is gone before
         pass
 
 
@@ -110,7 +111,7 @@ def placed(df: DataFrame, order: list[str], name: str, at: str) -> DataFrame:
 
 
 #: Rows of one group of a running sum.
-SPAN = 1 << 14
+SPAN = 1 << 10
 
 
 def running(df: DataFrame, at: str, amounts: list[str], n: int) -> DataFrame:
@@ -140,6 +141,11 @@ def sql_crc32(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda a, b: {byte}), 4294967295)"
 
 
+def row_hash(row: str = "row") -> F.Column:
+    """A hash of a whole row, of whatever types: by its JSON, as maps have no hash."""
+    return F.xxhash64(F.to_json(F.col(row), {"ignoreNullFields": "false"}))
+
+
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; any other column of the input, whatever its name, is left out."""
     return df.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds.items()])

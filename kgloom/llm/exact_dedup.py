@@ -95,7 +95,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # the list grows with the rows, so it is never broadcast, at no size
     left = rows.join(gone.hint("merge"), key, "left_anti").select("row")
     if not again.isEmpty():
-        one = rows.join(again, key, "left_semi").groupBy(key).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        one = rows.join(again, key, "left_semi").groupBy(key).agg(F.min_by("row", common.row_hash()).alias("row"))
         left = left.unionByName(one.select("row"))
     return left.select("row.*")
 

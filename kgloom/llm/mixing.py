@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Every source's documents stand in a seeded order, cell by cell, where a cell is the part of a
-source in one shard (a hash of the document). Their words form one line, cut into blocks of
+source in one shard (a hash of the document's id, text and source). Their words form one line, cut into blocks of
 ``BLOCK`` words; only a source's last block is shorter. Seats go to the highest quotients
 votes / (2 s + 1). First the words of the mix are dealt so, with the sources' targets as votes: a
 source's number of words is its target, rounded. As many whole blocks as fit into it are its seats,
@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from kgloom.llm import common
@@ -200,7 +201,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: Fraction = SHARE, most
     base = docs.select(
         F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint")).alias("size"),
-        F.xxhash64(F.lit(seed).cast("bigint"), F.col(f"`{id_col}`").cast("bigint")).alias("order"), tie_of(text_col, source_col).alias("tie"),
+        F.xxhash64(F.lit(seed).cast("bigint"), F.col(f"`{id_col}`").cast("bigint"), tie_of(text_col, source_col)).alias("order"), tie_of(text_col, source_col).alias("tie"),
     )
     base = common.written(base, "mixing")
     shards = max(1, math.ceil(math.sqrt(base.count()) / 3))
@@ -271,7 +272,7 @@ def materialize(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_
     repeated = common.written(takes.groupBy(key).agg(F.sum("copies").alias("rows")).where("rows > 1").select(key), "repeated")
     rows = docs.select(*named(F.col(f"`{id_col}`").cast("bigint")), tie_of(text_col, source_col).alias("tie"), F.struct("*").alias("row"))
     if not repeated.isEmpty():
-        several = rows.join(repeated, key, "left_semi").groupBy(*key, F.xxhash64("row").alias("variant")).agg(F.any_value("row").alias("row"), F.count("*").alias("copies"))
+        several = rows.join(repeated, key, "left_semi").groupBy(*key, common.row_hash().alias("variant")).agg(F.any_value("row").alias("row"), F.count("*").alias("copies"))
         several = common.written(several.withColumn("last", up_to("variant")).drop("variant"), "several")
         of = takes.join(repeated, key, "left_semi").withColumn("end", up_to("passes", "spans"))
         laid = F.least("last", "end") - F.greatest(F.col("last") - F.col("r.copies"), F.col("end") - F.col("t.copies"))
@@ -286,11 +287,11 @@ def materialize(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_
     whole = again(rows.join(whole, key).select("row", "n")).select("row.*")
     spans = takes.where("size(spans) > 0").select(*key, "copies", F.explode("spans").alias("span")).select(*key, "span", spread(F.col("copies")).alias("n"))
     spans = again(rows.join(spans, key).select("row", "n", "span"))
-    fields = [f"row.`{c}`" for c in docs.columns]
+    fields = ["row.`" + c.replace("`", "``") + "`" for c in docs.columns]
     at = docs.columns.index(text_col)
     others = [i for i, c in enumerate(docs.columns) if c not in (text_col, chars_col)]
     part = spans.select(*[F.col(fields[i]).alias(f"c{i}") for i in others], F.col(fields[at]).cast("string").alias("text"), F.col("span.from").alias("from"), F.col("span.to").alias("to"))
-    kinds = {f.name: f.dataType.simpleString() for f in part.schema.fields}
+    schema = T.StructType([*part.schema.fields[: len(others)], T.StructField("text", T.StringType())])
 
     def run(batches):
         for b in batches:
@@ -298,6 +299,6 @@ def materialize(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_
             new = [cut(t.as_py() or "", x, y) for t, x, y in zip(b.column(n), b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(new, pa.string())], [f"c{i}" for i in others] + ["text"])
 
-    part = part.mapInArrow(run, ", ".join([f"c{i} {kinds[f'c{i}']}" for i in others] + ["text string"]))
+    part = part.mapInArrow(run, schema)
     made = {text_col: F.col("text"), chars_col: F.length("text")} | {docs.columns[i]: F.col(f"c{i}") for i in others}
     return whole.unionByName(part.select(*[made[f.name].cast(f.dataType).alias(f.name) for f in docs.schema.fields]))

@@ -205,7 +205,7 @@ def fit(table: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrai
     got = linear.labelled(table, labels, ["quality"], labelled).toPandas()
     got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")  # of ties one is taught
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    free = common.written(table.join(known, "doc_id", "left_anti").withColumn("rid", F.monotonically_increasing_id()), "unlabelled")
+    free = common.written(table.join(known, "doc_id", "left_anti").withColumn("rid", F.monotonically_increasing_id()).withColumn("tie", F.xxhash64("doc_id", "content", "numbers", "tags")), "unlabelled")
     used: list[int] = []
 
     def surest(views: list[View], most: dict[int, int]) -> list[tuple]:
@@ -222,13 +222,13 @@ def fit(table: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> CoTrai
                         at = np.array([i for i in at if rid[i] not in taken], int)
                         at = at[np.argsort(-sure[at], kind="stable")]
                         at = at[sure[at] >= sure[at[min(most[label], len(at)) - 1]]] if len(at) else at  # with all ties of the last
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(sure[at]), pa.array(rid[at])], ["view", "label", "sure", "rid"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(sure[at]), pa.array(rid[at]), b.column(4).take(pa.array(at))], ["view", "label", "sure", "rid", "tie"])
 
-        seen = free.select("content", "numbers", "tags", "rid").mapInArrow(run, "view int, label int, sure double, rid bigint")
+        seen = free.select("content", "numbers", "tags", "rid", "tie").mapInArrow(run, "view int, label int, sure double, rid bigint, tie bigint")
         seen = common.written(seen, "surest")
-        best = [seen.where((F.col("view") == k) & (F.col("label") == x)).orderBy(F.desc("sure"), F.xxhash64("rid"), "rid").limit(most[x]) for k in (0, 1) for x in (1, 0)]
+        best = [seen.where((F.col("view") == k) & (F.col("label") == x)).orderBy(F.desc("sure"), "tie", "rid").limit(most[x]).drop("tie") for k in (0, 1) for x in (1, 0)]
         chosen = best[0].unionByName(best[1]).unionByName(best[2]).unionByName(best[3])
-        rows = free.join(F.broadcast(chosen), "rid").toPandas().sort_values(["view", "label", "rid"], kind="stable")  # twice two bounded lists
+        rows = free.join(F.broadcast(chosen), "rid").toPandas().sort_values(["view", "label", "tie"], kind="stable")  # twice two bounded lists
         used.extend(int(r) for r in rows["rid"])
         return [(int(k), int(x), _views(part)) for (k, x), part in rows.groupby(["view", "label"], sort=True)]
 

@@ -255,7 +255,7 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", te
     once = rows.join(several.select(key), key, "left_anti").select("row")
     repeated = several.where("stays").select(key)
     if not repeated.isEmpty():
-        once = once.unionByName(rows.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row"))
+        once = once.unionByName(rows.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by("row", common.row_hash()).alias("row")).select("row"))
     return once.select("row.*")
 
 

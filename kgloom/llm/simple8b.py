@@ -201,7 +201,7 @@ def write_files(docs: DataFrame, path: str, files: int | None = None, id_col: st
 
     read = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = read.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = read.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return common.written(ordered.mapInArrow(run, FILE_SCHEMA), "simple8b", "uncompressed")
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -110,31 +111,40 @@ def compare_with_next(docs: DataFrame, partitions: int | None = None, id_col: st
     """Each document's fingerprint beside those of its edited text and of the next document, in
     descending order of doc_id; the first document follows the last.
 
-    Whole texts move once, by ranges of doc_id. The document that opens a range is also sent, as
-    a boundary record, to the range before it, whose last document needs it; which documents do is
-    found beforehand from the ids alone."""
+    Whole texts move once, by ranges of doc_id and, within an id that fills several ranges, of the
+    text's hash. The document that opens a range is also sent, as a boundary record, to the range
+    before it, whose last document needs it; which documents do is found beforehand from ids and
+    hashes alone."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     key = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(1 << 63)))
     rows = docs.select(key.alias("k"), F.xxhash64(text).alias("tie"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"))
-    ids = docs.select(key.alias("k"))
-    cuts = sorted({int(x) for x in ids.select(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000)).collect()[0][0] or []}) if n > 1 else []
-    # ranges in descending order: range r holds the ids below cuts[-r] and from cuts[-r - 1] on
-    down = np.array(cuts, np.int64)
+    ids = common.written(rows.select("k", "tie"), "ids")
+    cuts = Counter(int(x) for x in ids.select(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000)).collect()[0][0] or []) if n > 1 else {}
+    # ranges go down the ids; a range ends after the rows of a cut, and an id that is a cut several
+    # times is also cut by hash, evenly, as hashes are
+    down = np.array(sorted(k for k, m in cuts.items() for _ in range(m)), np.int64)
+    within = {k: np.array([(j << 64) // m - (1 << 63) for j in range(1, m)], np.int64) for k, m in cuts.items() if m > 1}
 
     @F.pandas_udf("int")
-    def range_of(k):
+    def range_of(k, tie):
         import pandas as pd
 
-        return pd.Series((len(down) - np.searchsorted(down, k.to_numpy(np.int64), "right")).astype(np.int32))
+        k, tie = k.to_numpy(np.int64), tie.to_numpy(np.int64)
+        out = len(down) - np.searchsorted(down, k, "right")
+        for key, ties in within.items():
+            at = np.flatnonzero(k == key)
+            out[at] += np.searchsorted(ties, tie[at], "right")
+        return pd.Series(out.astype(np.int32))
 
-    # the opening key of every range that has rows; one row a range comes to the driver
-    opens = dict(ids.select("k", range_of("k").alias("r")).groupBy("r").agg(F.max("k")).collect())
+    # the opening row of every range that has rows; one row a range comes to the driver
+    opens = ids.groupBy(range_of("k", "tie").alias("r")).agg(F.max(F.struct("k", F.bitwise_not("tie").alias("t"))).alias("first")).collect()
+    opens = {x["r"]: (x["first"]["k"], ~x["first"]["t"]) for x in opens}
     order = sorted(opens)
-    back = [(opens[r], order[i - 1]) for i, r in enumerate(order)]  # the first range's opening closes the last
-    table = common.driver_table(spark, back, "k bigint, before int")
-    placed = rows.withColumn("r", range_of("k")).join(table, "k", "left")
+    back = [(*opens[r], order[i - 1]) for i, r in enumerate(order)]  # the first range's opening closes the last
+    table = common.driver_table(spark, back, "k bigint, tie bigint, before int")
+    placed = rows.withColumn("r", range_of("k", "tie")).join(table, ["k", "tie"], "left")
     home = F.struct(F.col("r").alias("r"), F.lit(0).alias("boundary"))
     copy = F.struct(F.col("before").alias("r"), F.lit(1).alias("boundary"))
     sent = placed.select("k", "tie", "doc_id", "text", F.explode(F.when(F.col("before").isNull(), F.array(home)).otherwise(F.array(home, copy))).alias("to"))
