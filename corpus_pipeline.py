@@ -69,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         made = common.mark()
         docs = common.written(out, name.replace(" ", "-"))
-        common.release(spark, since, made)  # what the stage itself wrote is read no more
+        common.release(since, made)  # what the stage itself wrote is read no more
     return docs
