@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.model import KEY, alignment
+from kgloom.operators.order import placed
 from kgloom.operators.settle import settled
 
 
@@ -67,6 +68,12 @@ def by_confidence(a: DataFrame) -> DataFrame:
     return a.orderBy(F.desc("confidence"), "source", "target", "relation")
 
 
+def with_place(a: DataFrame) -> DataFrame:
+    """Every row with its place, from 1, in the order of ``by_confidence``: no row has to meet another in a
+    single task, and none is left out."""
+    return placed(settled(a), [F.desc("confidence"), F.asc("source"), F.asc("target"), F.asc("relation")])
+
+
 def rank_cap(a: DataFrame, n: int) -> DataFrame:
     """Keeps a row if neither of its two entities has occurred more than n times up to it.
 

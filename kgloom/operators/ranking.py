@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgloom.functions.text import normalized_relation, relation_label
 from kgloom.model import KEY
+from kgloom.operators.order import medians
+from kgloom.operators.settle import settled
 
 K_VALUES = (1, 5, 10, 20)
 MODES = ("strict", "lax", "per_relation_strict")
@@ -176,12 +180,15 @@ def probe(predictions: DataFrame, gold: DataFrame, top: int = 5) -> DataFrame:
 
 
 def score_stats(df: DataFrame, *by: str) -> DataFrame:
-    """count, mean, median, population stddev, min and max of confidence; zeros where there is none."""
+    """count, mean, median, population stddev, min and max of confidence; zeros where there is none. The
+    median is exact, by counted probes: a group's values never meet in a task."""
     c = F.col("confidence")
     zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return df.groupBy(*by).agg(
-        F.count(c).alias("count"), zero(F.avg(c)).alias("mean"), zero(F.median(c)).alias("median"), zero(F.stddev_pop(c)).alias("stddev"), zero(F.min(c)).alias("min"), zero(F.max(c)).alias("max")
-    )
+    df = settled(df)
+    stats = df.groupBy(*by).agg(F.count(c).alias("count"), zero(F.avg(c)).alias("mean"), zero(F.stddev_pop(c)).alias("stddev"), zero(F.min(c)).alias("min"), zero(F.max(c)).alias("max"))
+    middle = medians(df, list(by), "confidence").select(*[F.col(b).alias(f"_{b}") for b in by], "median")
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], F.lit(True))
+    return stats.join(middle, same, "left").select(*by, "count", "mean", zero(F.col("median")).alias("median"), "stddev", "min", "max")
 
 
 def score_diagnostics(predictions: DataFrame, variant: str = "asymmetric") -> DataFrame:

@@ -252,7 +252,7 @@ def label_normalize_all(spark, sf_dir):
 
 
 _PARTS = f"""pl AS (SELECT 'urn:part:' || p_partkey AS uri, p_partkey % 2 AS side, p_name, {_words_sql('p_name')} AS w FROM part),
-lex AS (SELECT DISTINCT a.uri AS source, b.uri AS target, '=' AS relation, 1.0::DOUBLE AS confidence FROM pl a JOIN pl b ON a.w = b.w WHERE a.side = 0 AND b.side = 1)"""
+lex AS (SELECT DISTINCT a.uri AS source, b.uri AS target, '=' AS relation, 1.0::DOUBLE AS confidence FROM pl a JOIN pl b ON a.w = b.w WHERE a.side = 0 AND b.side = 1 AND len(a.w) > 0)"""
 
 
 @_register(f"WITH {_PARTS} SELECT source, target, relation, confidence FROM lex")
@@ -260,6 +260,23 @@ def lexical_match(spark, sf_dir):
     return MA.lexical(*D.part_labels(spark, sf_dir)).select(*M.KEY, "confidence")
 
 
+_CYRILLIC = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")
+
+
+@_register(f"""WITH l AS (SELECT 'urn:part:' || p_partkey AS uri, p_partkey // 6 % 2 AS side, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN 'the of' WHEN 2 THEN '' WHEN 3 THEN translate(lower(p_name), '{_CYRILLIC[0]}', '{_CYRILLIC[1]}')
+  WHEN 4 THEN 'The ' || p_name || ' of the' ELSE '日本' || (p_partkey % 10) END AS label FROM part),
+w AS (SELECT uri, side, {_words_of_text_sql('label')} AS w FROM l)
+SELECT DISTINCT a.uri AS source, b.uri AS target FROM w a JOIN w b ON a.w = b.w WHERE a.side = 0 AND b.side = 1 AND len(a.w) > 0""")
+def lexical_odd_labels(spark, sf_dir):
+    """Labels of stop words alone, empty ones and such in other scripts have no word and match nothing; a
+    digit beside such letters is a word."""
+    name, key = F.col("p_name"), F.col("p_partkey")
+    other = F.when(key % 6 == 4, F.concat(F.lit("The "), name, F.lit(" of the"))).otherwise(F.concat(F.lit("日本"), (key % 10).cast("string")))
+    label = F.when(key % 6 == 0, name).when(key % 6 == 1, "the of").when(key % 6 == 2, "").when(key % 6 == 3, F.translate(F.lower(name), *_CYRILLIC)).otherwise(other)
+    rows = D.table(spark, sf_dir, "part").select(F.concat(F.lit("urn:part:"), key.cast("string")).alias("uri"), label.alias("label"), (F.floor(key / 6) % 2).alias("side"))
+    return MA.lexical(*[rows.where(F.col("side") == i).select("uri", "label") for i in (0, 1)]).select("source", "target")
+
+
 @_register(f"""WITH {_PARTS}, gold AS (SELECT a.uri AS source, b.uri AS target FROM pl a JOIN pl b ON a.p_name = b.p_name WHERE a.side = 0 AND b.side = 1),
 n AS (SELECT (SELECT count(*) FROM lex) AS s, (SELECT count(*) FROM gold) AS g, (SELECT count(*) FROM lex SEMI JOIN gold USING (source, target)) AS tp),
 m AS (SELECT CASE WHEN s > 0 THEN tp::DOUBLE / s ELSE 0 END AS precision, CASE WHEN g > 0 THEN tp::DOUBLE / g ELSE 0 END AS recall, tp, s - tp AS fp, g - tp AS fn FROM n)

@@ -14,6 +14,7 @@ from kgloom.functions import text as X
 from kgloom.operators import alignments as A
 from kgloom.operators import graph as G
 from kgloom.operators import matchers as MA
+from kgloom.operators import order as O
 from kgloom.operators import ranking as R
 from kgloom.operators import scoring as SC
 from kgloom.operators import vectors as V
@@ -170,10 +171,19 @@ def alignment_parse_string(spark, sf_dir):
     return got.select(*M.KEY, "confidence", F.lit(head.onto1[0]).alias("onto1"), F.lit(head.extension["http://x#version"]).alias("version"))
 
 
-@register(f"WITH {D.LINE_SQL} SELECT * FROM al ORDER BY confidence DESC, source, target, relation LIMIT 100")
+@register(f"WITH {D.LINE_SQL} SELECT *, row_number() OVER (ORDER BY confidence DESC, source, target, relation) AS place FROM al")
 def best_confidences(spark, sf_dir):
-    """The hundred best rows: the limit is the report."""
-    return A.by_confidence(_al(spark, sf_dir)).limit(100).select(*M.KEY, "confidence")
+    """The whole alignment by falling confidence, every row with its place."""
+    return A.with_place(_al(spark, sf_dir)).select(*M.KEY, "confidence", "place")
+
+
+@register("""WITH o AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) - 1 AS rank, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM lineitem)
+SELECT l_returnflag, l_linestatus, n, rank, v AS price FROM o WHERE rank IN (0, n // 4, n // 2, 3 * n // 4, n - 1)""")
+def selected_ranks(spark, sf_dir):
+    """Exact values at the quartiles of every group of lines, by counted probes."""
+    ranks = F.array(F.lit(0).cast("bigint"), F.expr("n div 4"), F.expr("n div 2"), F.expr("3 * n div 4"), F.col("n") - 1)
+    got = O.selected(D.table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", ranks)
+    return got.withColumnRenamed("value", "price")
 
 
 _WORDS = "list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(replace({0}, ' ', '_')), '[^a-z0-9:_]+|_+', '_', 'g'), '_'), lambda w: w <> '')))"
@@ -181,7 +191,7 @@ _WORDS = "list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(
 
 @register(f"""WITH a AS (SELECT 'urn:nation:' || n_nationkey AS uri, {_WORDS.format('n_name')} AS w FROM nation UNION ALL SELECT 'urn:region:' || r_regionkey, {_WORDS.format('r_name')} FROM region),
 b AS (SELECT 'urn:other:' || n_nationkey AS uri, {_WORDS.format('n_name')} AS w FROM nation)
-SELECT a.uri AS source, b.uri AS target, '=' AS relation, 1.0 AS confidence FROM a JOIN b ON a.w = b.w""")
+SELECT a.uri AS source, b.uri AS target, '=' AS relation, 1.0 AS confidence FROM a JOIN b ON a.w = b.w AND len(a.w) > 0""")
 def lexical_matcher_graphs(spark, sf_dir):
     """The matcher on two graphs: nations and regions, and nations with labels in capitals and escapes."""
     side = lambda kind, uri, key, name: D.table(spark, sf_dir, kind).select(F.concat(F.lit(f"urn:{uri}:"), F.col(key).cast("string")).alias("uri"), F.col(name).alias("label"))
