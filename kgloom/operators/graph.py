@@ -6,6 +6,8 @@ Every operator is one batch job over all entities. ``triples`` has the schema of
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -231,27 +233,94 @@ def taxonomy(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.distinct().join(restricted, "uri", "left_anti"), edges.select("child", "parent").distinct()
 
 
-def descendants(edges: DataFrame) -> DataFrame:
-    """(ancestor, descendant): transitive closure over (child, parent), self pairs left out.
-
-    Semi-naive: each round joins only the pairs that are new and writes those alone, so a cycle ends
-    the loop and no pair is written twice."""
-    step = edges.select(F.col("parent").alias("mid"), F.col("child").alias("low")).distinct()
-    new = settled(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
-    known = new
+@dataclass
+class Closure:
+    """Reachability over contracted cycles: members (node, comp), comp being the least node of a strongly
+    connected component; pairs (up, low) of different components, low below up; the rounds it took."""
+
+    members: DataFrame
+    pairs: DataFrame
+    rounds: int
+
+    def sizes(self) -> DataFrame:
+        return self.members.groupBy("comp").agg(F.count("*").alias("size"))
+
+    def counts(self) -> DataFrame:
+        """(uri, n_descendants) of the nodes that have a descendant other than themselves: sizes are added up
+        over components, pairs of nodes are not made."""
+        sizes = settled(self.sizes())
+        below = self.pairs.join(sizes.select(F.col("comp").alias("low"), "size"), "low").groupBy(F.col("up").alias("comp")).agg(F.sum("size").alias("below"))
+        total = sizes.join(below, "comp", "left").withColumn("n_descendants", F.col("size") - 1 + F.coalesce("below", F.lit(0).cast("bigint")))
+        return self.members.join(total.where("n_descendants > 0"), "comp").select(F.col("node").alias("uri"), "n_descendants")
+
+    def expanded(self) -> DataFrame:
+        """(ancestor, descendant): every pair of different nodes."""
+        side = lambda comp, name: self.members.select(F.col("comp").alias(comp), F.col("node").alias(name))
+        between = self.pairs.join(side("up", "ancestor"), "up").join(side("low", "descendant"), "low").select("ancestor", "descendant")
+        several = self.sizes().where("size > 1").select("comp")
+        ring = self.members.join(several, "comp")
+        inside = ring.select("comp", F.col("node").alias("ancestor")).join(ring.select("comp", F.col("node").alias("descendant")), "comp").where("ancestor <> descendant")
+        return between.unionByName(inside.select("ancestor", "descendant"))
+
+
+def closure(edges: DataFrame) -> Closure:
+    """Closure of (child, parent) by contraction and path doubling.
+
+    Two sets double together: the pairs a path of exactly 2^k steps joins, and those that at most 2^k steps
+    do. Exact steps after the known pairs give what lies up to 2^(k+1) steps apart, so rounds grow with
+    the logarithm of the longest shortest path, and a chain finds every pair once. Pairs found both ways are
+    one component and are contracted as soon as they are found: a ring of m nodes costs m pairs a round until
+    then, and none after. A round that finds nothing ends it: the nearest pair still missing would lie
+    between one and two times as far as the last round looked. Each round is written."""
+    ends = edges.select(F.col("parent").alias("up"), F.col("child").alias("low")).distinct()
+    exact = settled(ends)
+    members = exact.select(F.col("up").alias("node")).unionByName(exact.select(F.col("low").alias("node"))).distinct()
+    members = settled(members.withColumn("comp", F.col("node")))
+    known, new, rounds = exact.where("up <> low"), exact.where("up <> low"), 0
+    step = lambda a, b: a.select("up", F.col("low").alias("mid")).join(b.select(F.col("up").alias("mid"), "low"), "mid").select("up", "low")
     while True:
-        far = new.join(step, new.descendant == step.mid).select("ancestor", F.col("low").alias("descendant")).distinct()
-        new = settled(far.join(known, ["ancestor", "descendant"], "left_anti"))
+        least = _rings(new, known)
+        if not least.isEmpty():
+            members = settled(_renamed(members, least, "comp"))
+            exact = settled(_renamed(_renamed(exact, least, "up"), least, "low").distinct())
+            known = settled(_renamed(_renamed(known, least, "up"), least, "low").where("up <> low").distinct())
+        rounds += 1
+        far = step(exact, known).where("up <> low").distinct()
+        new = settled(far.join(known, ["up", "low"], "left_anti"))
         if new.isEmpty():
-            return known.where(F.col("ancestor") != F.col("descendant"))
+            break
         known = known.unionByName(new)
+        exact = settled(step(exact, exact).distinct())
+    while True:  # contraction can make older pairs mutual
+        least = _rings(known, known)
+        if least.isEmpty():
+            return Closure(members, known, rounds)
+        members = settled(_renamed(members, least, "comp"))
+        known = settled(_renamed(_renamed(known, least, "up"), least, "low").where("up <> low").distinct())
+
+
+def _rings(new: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): the least component b below a that a is found both above and below of."""
+    both = new.join(known.select(F.col("low").alias("up"), F.col("up").alias("low")), ["up", "low"], "left_semi")
+    ends = both.select(F.col("up").alias("a"), F.col("low").alias("b")).unionByName(both.select(F.col("low").alias("a"), F.col("up").alias("b")))
+    return settled(ends.groupBy("a").agg(F.min("b").alias("b")).where("b < a"))
+
+
+def _renamed(df: DataFrame, least: DataFrame, col: str) -> DataFrame:
+    """With ``col`` contracted: a component that has a lesser one in its ring takes that one's name."""
+    to = least.select(F.col("a").alias(col), F.col("b").alias("_to"))
+    return df.join(to, col, "left").withColumn(col, F.coalesce("_to", col)).select(*df.columns)
+
+
+def descendants(edges: DataFrame) -> DataFrame:
+    """(ancestor, descendant): transitive closure over (child, parent), self pairs left out."""
+    return closure(edges).expanded()
 
 
 def class_descendants(triples: DataFrame) -> DataFrame:
     """(uri, n_descendants) of every taxonomy node."""
     nodes, edges = taxonomy(triples)
-    counts = descendants(edges).groupBy(F.col("ancestor").alias("uri")).agg(F.count("*").alias("n_descendants"))
-    return nodes.join(counts, "uri", "left").select("uri", F.coalesce("n_descendants", F.lit(0).cast("bigint")).alias("n_descendants"))
+    return nodes.join(closure(edges).counts(), "uri", "left").select("uri", F.coalesce("n_descendants", F.lit(0).cast("bigint")).alias("n_descendants"))
 
 
 def root_classes(triples: DataFrame, top_n: int | None = None) -> DataFrame:
@@ -260,14 +329,16 @@ def root_classes(triples: DataFrame, top_n: int | None = None) -> DataFrame:
     If there are fewer than ``top_n``, descendants of theirs that have children fill up. Ties go to
     the lesser URI."""
     _, edges = taxonomy(triples)
-    closure = settled(descendants(edges))
-    counts = closure.groupBy(F.col("ancestor").alias("uri")).agg(F.count("*").alias("n_descendants"))
+    found = closure(edges)
+    counts = settled(found.counts())
     # a class that is only its own parent still has an outgoing edge
     roots = counts.join(edges.select(F.col("child").alias("uri")).distinct(), "uri", "left_anti")
     if top_n is None:
         return roots
     if roots.count() < top_n:
-        below = closure.join(roots.select(F.col("uri").alias("ancestor")), "ancestor", "left_semi").select(F.col("descendant").alias("uri")).distinct()
+        # a root is on no cycle, so it is its own component
+        below = found.pairs.join(roots.select(F.col("uri").alias("up")), "up", "left_semi").select(F.col("low").alias("comp")).distinct()
+        below = found.members.join(below, "comp", "left_semi").select(F.col("node").alias("uri"))
         roots = roots.unionByName(counts.join(below, "uri", "left_semi").join(roots.select("uri"), "uri", "left_anti"))
     return roots.orderBy(F.desc("n_descendants"), "uri").limit(top_n)
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom import model as M
-from kgloom.operators.graph import descendants, term
+from kgloom.operators.graph import closure, term
 
 _TOKEN = re.compile(
     r"""\s+|\#[^\n]*|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<var>[?$]\w+)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<lang>@[A-Za-z-]+)|(?P<num>[+-]?\d+(?:\.\d+)?)
@@ -98,9 +98,9 @@ class _Query:
                 raise SyntaxError("a path needs an IRI")
             edges = df.where((F.col("p") == p[1]) & (F.col("o_kind") != "literal"))
             pairs = edges.select(F.col("o").alias("parent"), F.col("s").alias("child"))
-            loops = pairs.where("parent = child").select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"))
-            far = descendants(pairs.toDF("parent", "child")).select("descendant", "ancestor").unionByName(loops)
-            far = far.unionByName(self._cycles(pairs)).distinct()
+            found = closure(pairs)
+            rings = found.members.join(found.sizes().where("size > 1"), "comp").select("node").unionByName(pairs.where("parent = child").select(F.col("child").alias("node")))
+            far = found.expanded().select("descendant", "ancestor").unionByName(rings.select(F.col("node").alias("descendant"), F.col("node").alias("ancestor")).distinct())
             kinds = df.select(F.col("s").alias("n"), F.col("s_kind").alias("k")).unionByName(df.select(F.col("o"), F.col("o_kind")).toDF("n", "k")).where("k <> 'literal'").distinct()
             if path == "*":
                 far = far.unionByName(kinds.select(F.col("n").alias("descendant"), F.col("n").alias("ancestor"))).distinct()
@@ -123,13 +123,6 @@ class _Query:
         out = [v.alias(n) for n, v in cols.items()] or [F.lit(1).alias("unit__")]
         return df.select(*out).distinct()
 
-    @staticmethod
-    def _cycles(pairs: DataFrame) -> DataFrame:
-        """(descendant, ancestor) of nodes that reach themselves through others."""
-        far = descendants(pairs)
-        back = far.alias("x").join(far.alias("y"), (F.col("x.ancestor") == F.col("y.descendant")) & (F.col("x.descendant") == F.col("y.ancestor")))
-        return back.select(F.col("x.descendant").alias("descendant"), F.col("x.descendant").alias("ancestor"))
-
     def join(self, a: DataFrame | None, b: DataFrame, how: str = "inner") -> DataFrame:
         """Solutions that agree on the variables they share. One that may be unbound, behind OPTIONAL or
         in a part of a UNION, agrees with any value; then the others must carry the join."""
@@ -144,6 +137,9 @@ class _Query:
             b = b.drop(*[c for c in b.columns if c in a.columns and c not in on])
             if on:
                 return a.join(b, on, how)
+            # a pattern without variables has one solution at most; any other pair would be a cross product
+            if not any({c for c in x.columns if not c.endswith("__k")} <= {"unit__"} for x in (a, b)):
+                raise SyntaxError("parts of a group that share no variable")
             return a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how)
         x, y = a.alias("x"), b.alias("y")
         either = lambda c: F.coalesce(F.col(f"x.`{c}`"), F.col(f"y.`{c}`")).alias(c)
@@ -162,22 +158,32 @@ class _Query:
         self.loose |= {c for c in inner.columns if c not in before and not c.endswith("__k") and c != "unit__"}
         return made
 
-    def triples_block(self, out: DataFrame | None) -> DataFrame:
-        s = self.term()
+    def triples_block(self) -> list[DataFrame]:
+        s, scans = self.term(), []
         while True:
             p = self.term()
             path = next((x for x in "+*" if self.accept(x)), "")
             while True:
-                out = self.join(out, self.scan(s, p, self.term(), path))
+                scans.append(self.scan(s, p, self.term(), path))
                 if not self.accept(","):
                     break
             if not self.accept(";") or self.peek(".", "}"):
-                return out
+                return scans
+
+    def connected(self, out: DataFrame | None, scans: list[DataFrame]) -> DataFrame | None:
+        """Joins patterns so that each shares a variable with those before, whatever their order in the text."""
+        names = lambda df: {c for c in df.columns if not c.endswith("__k") and c != "unit__"}
+        while scans:
+            i = next((i for i, x in enumerate(scans) if out is None or not names(x) or names(x) & names(out)), 0)
+            out = self.join(out, scans.pop(i))
+        return out
 
     def group(self) -> DataFrame:
         self.need("{")
-        out, filters = None, []
+        out, filters, scans = None, [], []
         while not self.accept("}"):
+            if self.peek("OPTIONAL", "MINUS", "{"):
+                out = self.connected(out, scans)
             if self.accept("OPTIONAL"):
                 out = self.optional(out)
             elif self.accept("MINUS"):
@@ -196,8 +202,9 @@ class _Query:
             elif self.toks[self.i][0] == "end":
                 raise SyntaxError("the group is not closed")
             else:
-                out = self.triples_block(out)
+                scans += self.triples_block()
             self.accept(".")
+        out = self.connected(out, scans)
         if out is None:
             raise SyntaxError("an empty group")
         for f in filters:

@@ -85,6 +85,20 @@ def test_closure_on_random_graphs_with_cycles(spark):
         assert {(r.ancestor, r.descendant) for r in G.descendants(df).collect()} == closure(edges)
 
 
+def test_closure_rounds_grow_with_the_logarithm_of_depth(spark):
+    """A chain of 250 classes and a ring behind a chain: counts and pairs are exact."""
+    chain = [(f"c{i + 1:04}", f"c{i:04}") for i in range(250)]
+    df = spark.createDataFrame(chain, "child string, parent string")
+    got = G.closure(df)
+    assert got.rounds <= 9
+    assert {r.uri: r.n_descendants for r in got.counts().collect()} == {f"c{i:04}": 250 - i for i in range(250)}
+    ring = [(f"r{(i + 1) % 20:03}", f"r{i:03}") for i in range(20)] + [(f"t{i + 1}", f"t{i}") for i in range(9)] + [("r000", "t9"), ("low", "r010"), ("low", "low")]
+    got = G.closure(spark.createDataFrame(ring, "child string, parent string"))
+    assert got.members.select("comp").distinct().count() == 12 and got.rounds <= 7
+    assert {r.uri: r.n_descendants for r in got.counts().collect()} == {f"r{i:03}": 20 for i in range(20)} | {f"t{i}": 30 - i for i in range(10)}
+    assert {(r.ancestor, r.descendant) for r in got.expanded().collect()} == closure(set(ring))
+
+
 def test_roots(spark):
     t = graph(spark, [("b", M.SUBCLASS, "a"), ("c", M.SUBCLASS, "b"), ("d", M.SUBCLASS, "b"), ("y", M.SUBCLASS, "x"), ("alone", M.TYPE, M.OWL + "Class"), ("p", M.SUBCLASS, "q"), ("q", M.SUBCLASS, "p"), ("top", M.SUBCLASS, M.THING), ("r", M.TYPE, M.RESTRICTION), ("z", M.SUBCLASS, "r")])
     roots = {r.uri.removeprefix(EX): r.n_descendants for r in G.root_classes(t).collect()}
@@ -105,6 +119,9 @@ def test_sparql(spark):
     assert q("SELECT ?x WHERE { ?x rdfs:label ?l MINUS { ?x rdfs:subClassOf ?y } }").endswith(EX + "a")
     assert q("CONSTRUCT { ?x ex:named ?l } WHERE { ?x rdfs:label ?l }") == f'<{EX}a> <{EX}named> "Alpha" .\n<{EX}b> <{EX}named> "Beta" .'
     assert q("DESCRIBE ex:c").count("\n") == 1
+    # the first two patterns meet only through the third; parts that never meet are refused
+    assert q("SELECT ?l ?n WHERE { ?x ex:age ?n . ?y rdfs:label ?l . ?x rdfs:subClassOf ?y }").split("\n")[-1].split(" | ") == ["Beta", "7"]
+    assert "share no variable" in q("SELECT ?l ?n WHERE { ?x ex:age ?n . ?y rdfs:label ?l }")
     for bad in ("SELECT ?x WHERE { ?x", "SELECT ?x WHERE { SERVICE <x> { ?x ?y ?z } }", "nonsense", "SELECT ?x WHERE { ?x nope:y ?z }"):
         assert q(bad).startswith("Error: ")
 
