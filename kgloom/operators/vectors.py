@@ -1,15 +1,20 @@
 """Similarity joins over vectors: the top k targets of every source, and of every target too.
 
-Both sides are cut into blocks: every pair of a source block and a target block is one matrix
-product, of which only the best k per row (and per column, where both directions are asked for) leave
-the task; a second ranking merges the blocks' bests. The product of a pair of blocks is taken once
-for both directions. Scores are rounded before ranking, so that the order of float sums can't decide
-a rank; ties go to the lesser id.
+A target side of checked size is sent to every task once, and sources stream past it. Beyond that size
+both sides are clustered around shared centers and cut into blocks, written once. A task holds one block of
+sources and lets target blocks stream past it, the most promising first, with a running top k; a target
+block whose bound can't reach the k-th score of any source is skipped. A first pass over the nearest
+blocks gives the k-th scores by which whole pairs of blocks are left out before any vector moves. What is
+skipped can't be in a result: results are those of the full join.
+
+Scores are rounded before ranking, so that the order of float sums can't decide a rank; ties go to the
+lesser id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgloom.functions.text import dot, l2_normalized, sublist_positions
+from kgloom.functions.text import l2_normalized, sublist_positions
+from kgloom.operators.settle import scratch
 
-#: Decimal places of a score, rows of a block.
-DIGITS, BLOCK = 6, 2048
+#: Decimal places of a score, rows of a block, bytes of a side that is sent to every task, cells of a product.
+DIGITS, BLOCK, SIDE, CELLS = 6, 2048, 64 << 20, 1 << 23
+#: Centers, vectors from which they are made, rounds to make them; target blocks that one task meets.
+CENTERS, SAMPLE, LLOYD, STREAM = 256, 8192, 5, 64
 
 
 def unit(vectors: DataFrame, id_col: str = "id", v_col: str = "v") -> DataFrame:
@@ -32,66 +40,258 @@ def _best(scored: DataFrame, k: int, of: str = "source", by: str = "target") ->
     return scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def _blocks(vectors: DataFrame, name: str, blocks: int) -> DataFrame:
-    keyed = vectors.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return keyed.groupBy(name).agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_v"))
-
-
-def _sorted_side(ids, values) -> tuple[np.ndarray, np.ndarray]:
-    """Ids in order with their vectors, so that ties of a stable sort stay in the order of ids."""
-    ids = np.array(ids.as_py(), object)
+def _leaders(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the best k columns of every row, best first; ties go to the first column."""
+    if score.shape[1] > 4 * k:  # candidates by a partial sort: all that reach the k-th value, ties with it
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        row, col = np.nonzero(score >= least[:, None])
+    else:
+        row, col = (x.ravel() for x in np.indices(score.shape))
+    order = np.lexsort((col, -score[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
+class _Best:
+    """The running top k of rows that other ids stream past: scores and ids, best first."""
+
+    def __init__(self, rows: int, k: int, least: np.ndarray | None = None):
+        self.k = k
+        self.score, self.ids = np.full((rows, k), -np.inf), np.full((rows, k), None, object)
+        self.least = np.full(rows, -np.inf) if least is None else least  # what a row has elsewhere already
+
+    def bar(self) -> np.ndarray:
+        """A score below a row's bar is not among its best."""
+        return np.maximum(self.score[:, -1], self.least)
+
+    def meet(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """``score`` of some rows with ids that are in order."""
+        i, j = _leaders(score, self.k)
+        keep = score[i, j] >= self.bar()[rows[i]]
+        i, j = i[keep], j[keep]
+        if not len(i):
+            return
+        touched, at = np.unique(rows[i], return_inverse=True)
+        have = np.concatenate([self.score[touched].ravel(), score[i, j]])
+        name = np.concatenate([self.ids[touched].ravel(), ids[j]])
+        row = np.concatenate([np.repeat(np.arange(len(touched)), self.k), at])
+        real = np.flatnonzero(have > -np.inf)
+        order = real[np.lexsort((-have[real], row[real]))]
+        if ((row[order][1:] == row[order][:-1]) & (have[order][1:] == have[order][:-1])).any():  # ids decide ties
+            order = np.array(sorted(real, key=lambda x: (row[x], -have[x], name[x])))
+        place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        order, place = order[place < self.k], place[place < self.k]
+        self.score[touched], self.ids[touched] = -np.inf, None
+        self.score[touched[row[order]], place], self.ids[touched[row[order]], place] = have[order], name[order]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, id, score) of all that is held."""
+        i, j = np.nonzero(self.score > -np.inf)
+        return i, self.ids[i, j], self.score[i, j]
+
+
+def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.round(x @ y.T, DIGITS) + 0.0
+
+
+def _matrix(v, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros((0, 0))
+    v = pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v
+    return np.asarray(v.flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1)
+
+
+SCORED = "source string, target string, confidence double"
+
+
+def _beside(source: DataFrame, target: DataFrame, k: int, both: bool) -> DataFrame:
+    """(back, source, target, confidence): sources stream past the whole target side, which every task has."""
+    held = target.select("id", "v").toArrow().combine_chunks()
+    ids = np.array(held.column("id").to_pylist(), object)
     order = np.argsort(ids, kind="stable")
-    return ids[order], np.asarray(values.values, float).reshape(len(ids), -1)[order]
+    sent = source.sparkSession.sparkContext.broadcast((ids[order], _matrix(held.column("v"), len(ids))[order]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, y = sent.value
+        back = _Best(len(names), k) if both else None
 
-def _leaders(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the best k columns of every row; ties go to the first column."""
-    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-    return np.repeat(np.arange(len(score)), best.shape[1]), best.ravel()
-
+        def rows(back: bool, source, target, score) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(score), back)), pa.array(source, pa.string()), pa.array(target, pa.string()), pa.array(score, pa.float64())], ["back", "source", "target", "confidence"])
 
-def _scored(source: DataFrame, target: DataFrame, k: int, both: bool, n_source: int | None, n_target: int | None, block: int) -> DataFrame:
-    """(back, source, target, confidence): what pairs of blocks send on, ``back`` for a target's best sources."""
-    counts = [df.count() if n is None else n for df, n in ((source, n_source), (target, n_target))]
-    a, b = (_blocks(df, name, -(-n // block) or 1) for df, name, n in zip((source, target), "ab", counts))
-    schema = "back boolean, source string, target string, confidence double"
+        for b in batches:
+            mine, x = np.array(b.column("id").to_pylist(), object), _matrix(b.column("v"), b.num_rows)
+            step = max(1, CELLS // max(len(names), 1))
+            for a in range(0, len(mine) if len(names) else 0, step):
+                score = _product(x[a : a + step], y)
+                i, j = _leaders(score, k)
+                yield rows(False, mine[a + i], names[j], score[i, j])
+                if back is not None:
+                    order = np.argsort(mine[a : a + step], kind="stable")
+                    back.meet(np.arange(len(names)), score[order].T, mine[a : a + step][order])
+        if back is not None:
+            i, who, score = back.found()
+            yield rows(True, who, names[i], score)
+
+    return source.select("id", "v").mapInArrow(run, "back boolean, " + SCORED)
+
+
+def _centers(vectors: DataFrame) -> np.ndarray:
+    """At most CENTERS points, by a few rounds of k-means over at most SAMPLE vectors that a hash of their id picks.
+    They shape blocks alone; no result depends on them."""
+    some = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().combine_chunks().column("v")
+    x = _matrix(some, len(some))
+    if not len(x):
+        return x
+    c, far = x[:1], np.full(len(x), np.inf)
+    while len(c) < min(CENTERS, len(x) // 16):  # each new one is the point farthest from the others
+        far = np.minimum(far, ((x - c[-1]) ** 2).sum(1))
+        c = np.concatenate([c, x[far.argmax()][None]])
+    for _ in range(LLOYD):
+        near = (2 * x @ c.T - (c * c).sum(1)).argmax(1)
+        n = np.bincount(near, minlength=len(c))
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def _blocks(vectors: DataFrame, centers, block: int) -> DataFrame:
+    """(block, cluster, radius, norm, n, ids, v): the vectors near a center in blocks of some ``block`` rows, ids in order,
+    with the greatest distance from the center and the greatest norm. Written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = centers.value
+        for b in batches:
+            x = _matrix(b.column("v"), b.num_rows)
+            near = (2 * x @ c.T - (c * c).sum(1)).argmax(1).astype(np.int32)
+            far = np.linalg.norm(x - c[near], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near), pa.array(far), pa.array(np.linalg.norm(x, axis=1))], ["id", "v", "cluster", "far", "norm"])
+
+    near = _kept(vectors.select("id", "v").mapInArrow(run, "id string, v array<double>, cluster int, far double, norm double"))
+    counts = near.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("cuts"))  # a row a center
+    cut = near.join(F.broadcast(counts), "cluster").withColumn("cut", F.pmod(F.xxhash64("id"), "cuts"))
+    rows = F.array_sort(F.collect_list(F.struct("id", "v")))
+    made = cut.groupBy("cluster", "cut").agg(F.max("far").alias("radius"), F.max("norm").alias("norm"), rows.alias("rows"))
+    made = made.select(F.monotonically_increasing_id().alias("block"), "cluster", "radius", "norm", F.size("rows").alias("n"), F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("v"))
+    return _kept(made)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "vectors")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@dataclass
+class Search:
+    """found: (source, target, confidence); of ``pairs`` pairs of blocks the products of ``taken`` were sent to be taken."""
+
+    found: DataFrame
+    pairs: int
+    taken: int
+
+
+def search(source: DataFrame, target: DataFrame, k: int, block: int = BLOCK) -> Search:
+    """The exact top k targets of every source by pruned products of blocks, whatever the sides' sizes."""
+    sc, points = source.sparkSession.sparkContext, _centers(target)
+    if not len(points):
+        return Search(source.sparkSession.createDataFrame([], SCORED), 0, 0)
+    centers = sc.broadcast(points)
+    a, b = _blocks(source, centers, block), _blocks(target, centers, block)
+    # a row a target block, of three numbers: 24 bytes for every BLOCK vectors
+    heads = b.select("block", "cluster", "radius", "n").toArrow().combine_chunks()
+    heads = sc.broadcast(tuple(heads.column(c).to_numpy() for c in ("block", "cluster", "radius", "n")))
+
+    def pairs_of(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c, (name, cluster, radius, n) = centers.value, heads.value
+            for batch in batches:
+                for x, own, r, norm, bar in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                    # x.y <= a.c + |x - a| |c| + |x| |y - c| for the centers a and c
+                    bound = c[cluster] @ c[own] + r * np.linalg.norm(c[cluster], axis=1) + norm * radius
+                    order = np.lexsort((name, -bound))
+                    near = max(2, int(np.searchsorted(np.cumsum(n[order]), k)) + 1)
+                    chosen = order[:near] if first else order[near:][bound[order[near:]] >= bar - 10.0**-DIGITS]
+                    seq = np.arange(len(chosen))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chosen), x)), pa.array(name[chosen]), pa.array(seq // STREAM), pa.array(seq)], ["a", "b", "part", "seq"])
+
+        return run
+
+    def taken(pairs: DataFrame, bars: DataFrame) -> DataFrame:
+        """(a, bar, source, target, confidence arrays): one row a source block and stream of target blocks."""
+        mine = pairs.select("a", "part").distinct().join(a.withColumnRenamed("block", "a"), "a").join(bars, "a", "left")
+        mine = mine.select("a", "part", F.lit(-1).cast("bigint").alias("seq"), "ids", "v", F.lit(-1).alias("cluster"), F.lit(0.0).alias("radius"), "bars")
+        theirs = pairs.join(b.withColumnRenamed("block", "b"), "b").select("a", "part", "seq", "ids", "v", "cluster", "radius", F.lit(None).cast("array<double>").alias("bars"))
+        stream = mine.unionByName(theirs).repartition("a", "part").sortWithinPartitions("a", "part", "seq")
+        return stream.mapInArrow(run, "a bigint, bars array<double>, source array<string>, target array<string>, confidence array<double>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, own = centers.value, None
+
+        def done() -> pa.RecordBatch:
+            i, who, score = own[3].found()
+            cols = [pa.array([own[0]]), pa.array([own[3].score[:, -1]], pa.list_(pa.float64())), pa.array([own[1][i]], pa.list_(pa.string())), pa.array([who], pa.list_(pa.string())), pa.array([score], pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays(cols, ["a", "bars", "source", "target", "confidence"])
 
-    def run(batches):
         for batch in batches:
-            for cell in zip(*(batch.column(i) for i in range(4))):
-                (ids_a, x), (ids_b, y) = _sorted_side(*cell[:2]), _sorted_side(*cell[2:])
-                score = np.round(x @ y.T, DIGITS) + 0.0
-                for back in (False, True) if both else (False,):
-                    i, j = _leaders(score.T, k)[::-1] if back else _leaders(score, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(i), back)), pa.array(ids_a[i], pa.string()), pa.array(ids_b[j], pa.string()), pa.array(score[i, j])],
-                        ["back", "source", "target", "confidence"],
-                    )
-
-    # a pair of blocks is one row; the number of pairs is (n / block) squared, never rows squared
-    return a.join(b).repartition("a", "b").select("a_ids", "a_v", "b_ids", "b_v").mapInArrow(run, schema)
-
-
-def top_k(source: DataFrame, target: DataFrame, k: int, n_source: int | None = None, n_target: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(source, target, confidence). ``source`` and ``target`` are (id, v) with unit vectors."""
-    return _best(_scored(source, target, k, False, n_source, n_target, block).drop("back"), k)
-
-
-def top_k_both(source: DataFrame, target: DataFrame, k: int, n_source: int | None = None, n_target: int | None = None, block: int = BLOCK) -> DataFrame:
+            for i in range(batch.num_rows):
+                at = {name: batch.column(name)[i] for name in batch.schema.names}
+                ids = np.array(at["ids"].as_py(), object)
+                v = np.asarray(at["v"].values, float).reshape(len(ids), -1)
+                if at["seq"].as_py() < 0:
+                    if own is not None:
+                        yield done()
+                    bars = at["bars"].as_py()
+                    own = (at["a"].as_py(), ids, v, _Best(len(ids), k, None if bars is None else np.array(bars)), np.linalg.norm(v, axis=1))
+                    continue
+                x, best, norm = own[2:]
+                reach = x @ c[at["cluster"].as_py()] + norm * at["radius"].as_py() + 10.0**-DIGITS
+                rows = np.flatnonzero(reach >= best.bar())
+                if len(rows):
+                    best.meet(rows, _product(x[rows], v), ids)
+        if own is not None:
+            yield done()
+
+    head = a.select("block", "cluster", "radius", "norm")
+    pairs = "a bigint, b bigint, part bigint, seq bigint"
+    none = source.sparkSession.createDataFrame([], "a bigint, bars array<double>")
+    near = _kept(head.withColumn("bar", F.lit(0.0)).mapInArrow(pairs_of(True), pairs))
+    first = _kept(taken(near, none))
+    # a stream's bars are the k-th scores of a block's rows; of several streams the greatest counts
+    bars = first.groupBy("a").agg(F.collect_list("bars").alias("all"))
+    bars = _kept(bars.select("a", F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0], lambda x, y: F.zip_with(x, y, lambda p, q: F.greatest(p, q))).alias("bars")))
+    rest = head.join(bars.withColumnRenamed("a", "block"), "block").withColumn("bar", F.array_min("bars")).drop("bars")
+    rest = _kept(rest.mapInArrow(pairs_of(False), pairs))
+    second = taken(rest, bars)
+    flat = lambda df: df.select(F.explode(F.arrays_zip("source", "target", "confidence")).alias("x")).select("x.*")
+    return Search(_best(flat(first).unionByName(flat(second)), k), a.count() * b.count(), near.count() + rest.count())
+
+
+def _fits(side: DataFrame, most: int) -> bool:
+    n, dim = side.agg(F.count("*"), F.max(F.size("v"))).first()
+    return n * (8 * (dim or 0) + 64) <= most
+
+
+def top_k(source: DataFrame, target: DataFrame, k: int, block: int = BLOCK, side: int = SIDE) -> DataFrame:
+    """(source, target, confidence). ``source`` and ``target`` are (id, v), ids distinct; a target side of up to
+    ``side`` bytes is sent to every task."""
+    if _fits(target, side):
+        return _best(_beside(source, target, k, False).drop("back"), k)
+    return search(source, target, k, block).found
+
+
+def top_k_both(source: DataFrame, target: DataFrame, k: int, block: int = BLOCK, side: int = SIDE) -> DataFrame:
     """(source, target, confidence): the union of every source's best targets and every target's best
-    sources, with one product a pair of blocks. A pair that is both comes once."""
-    found = _scored(source, target, k, True, n_source, n_target, block)
-    # a row's own key: the entity whose best list it is on
-    found = found.withColumn("of", F.when(F.col("back"), F.col("target")).otherwise(F.col("source")))
-    w = Window.partitionBy("back", "of").orderBy(F.desc("confidence"), F.when(F.col("back"), F.col("source")).otherwise(F.col("target")))
-    kept = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    return kept.groupBy("source", "target").agg(F.max("confidence").alias("confidence"))
-
-
-def top_k_plain(source: DataFrame, target: DataFrame, k: int) -> DataFrame:
-    """The same by a nested-loop join of built-in functions, for tests: its rows are sources times targets."""
-    s, t = source.select(F.col("id").alias("source"), F.col("v").alias("sv")), target.select(F.col("id").alias("target"), F.col("v").alias("tv"))
-    return _best(s.join(t).select("source", "target", F.round(dot(F.col("sv"), F.col("tv")), DIGITS).alias("confidence")), k)
+    sources. A pair that is both comes once. Where a side is sent to every task, a product serves both ways."""
+    if _fits(target, side):
+        found = _beside(source, target, k, True)
+        back = _best(found.where("back"), k, "target", "source")
+        found = _best(found.where("not back"), k).unionByName(back)
+    else:
+        back = top_k(target, source, k, block, side).select(F.col("target").alias("source"), F.col("source").alias("target"), "confidence")
+        found = top_k(source, target, k, block, side).unionByName(back)
+    return found.groupBy("source", "target").agg(F.max("confidence").alias("confidence"))
 
 
 # --- encoders -----------------------------------------------------------------------------------

@@ -371,8 +371,8 @@ def topk_forward(spark, sf_dir):
 
 @_register(f"WITH {D.vector_sql(5)} SELECT source, target, confidence FROM sym")
 def topk_blocks(spark, sf_dir):
-    """The same join in smaller blocks, whose bests are merged."""
-    return V.top_k(*D.sides(spark, sf_dir), 5, block=256).select("source", "target", "confidence")
+    """The same join by clusters and bounds, as for a side too large to send to every task."""
+    return V.search(*D.sides(spark, sf_dir), 5, block=256).found.select("source", "target", "confidence")
 
 
 _BOTH = f"""{D.vector_sql(5)},

@@ -90,11 +90,39 @@ def test_both_directions_in_one_pass(spark):
     side = lambda name, n: V.unit(spark.createDataFrame([(f"{name}{i}", [rng.gauss(0, 1) for _ in range(6)]) for i in range(n)], "id string, v array<double>"))
     s, t = side("s", 37), side("t", 23)
     s, t = (spark.createDataFrame(df.collect(), df.schema) for df in (s, t))
-    forward = {(r.source, r.target, r.confidence) for r in V.top_k_plain(s, t, 3).collect()}
-    back = {(r.target, r.source, r.confidence) for r in V.top_k_plain(t, s, 3).collect()}
-    for block in (5, 2048):
-        assert {tuple(r) for r in V.top_k(s, t, 3, block=block).select("source", "target", "confidence").collect()} == forward
-        assert {tuple(r) for r in V.top_k_both(s, t, 3, block=block).select("source", "target", "confidence").collect()} == forward | back
+    forward, back = plain(s, t, 3), {(b, a, c) for a, b, c in plain(t, s, 3)}
+    for side_, block in ((1 << 20, 2048), (0, 5)):
+        assert {tuple(r) for r in V.top_k(s, t, 3, block, side_).select("source", "target", "confidence").collect()} == forward
+        assert {tuple(r) for r in V.top_k_both(s, t, 3, block, side_).select("source", "target", "confidence").collect()} == forward | back
+
+
+def plain(s, t, k):
+    """The top k by every product, in plain Python."""
+    out = set()
+    for a in s.collect():
+        scored = sorted((-(round(sum(x * y for x, y in zip(a.v, b.v)), V.DIGITS) + 0.0), b.id) for b in t.collect())
+        out |= {(a.id, b, -x + 0.0) for x, b in scored[:k]}
+    return out
+
+
+def test_pruned_search_in_clusters(spark):
+    """Two hundred and forty vectors around eight directions, some equal, a few not of unit length: the same as every
+    product, of which far fewer are taken; no nested loop, and only ids and numbers in pairs of blocks."""
+    rng = random.Random(5)
+    tops = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(8)]
+    def vector(i):
+        v = [x + rng.gauss(0, 0.02) for x in tops[i % 8]]
+        n = math.hypot(*v) / (2 if i % 60 == 0 else 1)
+        return [round(x / n, 3) if i % 9 == 0 else x / n for x in v]
+    rows = [(f"s{i:03}", vector(i)) for i in range(240)]
+    rows += [(f"t{i:03}", rows[i][1]) for i in range(20)]  # ties
+    df = spark.createDataFrame(rows, "id string, v array<double>").repartition(4)
+    s, t = df.where("id < 's120'"), df.where("id >= 's120'")
+    got = V.search(s, t, 4, block=8)
+    assert {tuple(r) for r in got.found.select("source", "target", "confidence").collect()} == plain(s, t, 4)
+    assert got.taken < got.pairs / 2
+    assert "NestedLoop" not in got.found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got.found._jdf.queryExecution().executedPlan().toString()
+    assert V.search(s, t.limit(0), 4).found.count() == 0 and V.search(s.limit(0), t, 4).found.count() == 0
 
 
 def test_pooling_by_name(spark):
