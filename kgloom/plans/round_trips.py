@@ -67,6 +67,41 @@ def rdfxml_read(spark, sf_dir):
     return rdf.read_graph(spark, path).select("s", "p", "o", "o_kind", "o_lang")
 
 
+@register(_NAMED_TRIPLES)
+def rdfxml_split_read(spark, sf_dir):
+    """The same documents read in parts, cut at their top-level nodes, whatever their size."""
+    path = scratch(spark, "rdf")
+    one = F.format_string('<owl:Class rdf:about="%s"><rdfs:label xml:lang="en">%s</rdfs:label><rdfs:subClassOf rdf:resource="%s"/></owl:Class>', "uri", "name", "up")
+    write_documents(_named(spark, sf_dir), one, path, f'<rdf:RDF xmlns:rdf="{M.RDF}" xmlns:rdfs="{M.RDFS}" xmlns:owl="{M.OWL}">', "</rdf:RDF>")
+    return rdf.read_rdfxml(spark, path, whole=0).select("s", "p", "o", "o_kind", "o_lang")
+
+
+def _document_lines(spark, sf_dir, tail):
+    """A line a document: its text, every character beyond ASCII as a numeric escape."""
+    code = lambda c: F.when(F.ascii(c) > 0xFFFF, F.format_string("\\U%08X", F.ascii(c))).when(F.ascii(c) > 0x7E, F.format_string("\\u%04X", F.ascii(c))).otherwise(c)
+    text = G._escaped(F.col("text"))
+    text = F.array_join(F.transform(F.split(text, ""), code), "")
+    d = D.table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    return d.select(F.concat(F.lit("<urn:doc:"), F.col("doc_id").cast("string"), F.lit('> <urn:te\\u0078t> "'), text, F.lit('"'), tail, F.lit(" .")).alias("value"))
+
+
+@register("SELECT 'urn:doc:' || doc_id AS s, 'urn:text' AS p, text AS o FROM documents WHERE text IS NOT NULL")
+def ntriples_escapes(spark, sf_dir):
+    """Every document's text as a literal whose accents are numeric escapes, one in the predicate too."""
+    path = scratch(spark, "nt")
+    _document_lines(spark, sf_dir, F.lit("")).write.text(path)
+    return rdf.read_graph(spark, path).select("s", "p", "o")
+
+
+@register("SELECT 'urn:source:' || coalesce(source, '') AS graph, 'urn:doc:' || doc_id AS s, text AS o, lang AS o_lang FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL")
+def nquads_read(spark, sf_dir):
+    """Documents in the graphs of their sources, tagged with their language, as N-Quads."""
+    path = scratch(spark, "nq")
+    tail = F.concat(F.lit("@"), F.col("lang"), F.lit(" <urn:source:"), F.coalesce("source", F.lit("")), F.lit(">"))
+    _document_lines(spark, sf_dir, tail).where(F.col("value").isNotNull()).write.text(path)
+    return rdf.read_graph(spark, path).select("graph", "s", "o", "o_lang")
+
+
 @register(_NAMED_TRIPLES)
 def turtle_read(spark, sf_dir):
     """The same in Turtle, with prefixes, 'a' and lists of predicates."""

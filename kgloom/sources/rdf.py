@@ -1,4 +1,4 @@
-"""RDF sources: N-Triples by built-in functions, RDF/XML and Turtle through Python readers."""
+"""RDF sources: N-Triples and N-Quads by built-in functions, RDF/XML and Turtle through Python readers."""
 
 from __future__ import annotations
 
@@ -12,50 +12,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.model import RDF, TRIPLES, XSD
+from kgloom.sources import rdfxml_split
 from kgloom.sources.turtle import read_turtle
 
 _XML = "{http://www.w3.org/XML/1998/namespace}"
 _R = "{" + RDF + "}"
+# the possessive loop over a literal's characters takes no stack, however long the literal is
 _SUBJECT = r"^\s*(?:<([^>]*)>|_:(\S+))"
-_LINE = _SUBJECT + r"\s+<([^>]*)>\s+(?:<([^>]*)>|_:([^\s.]+(?:\.[^\s.]+)*)|\"((?:[^\"\\]|\\.)*)\"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$"
+_LINE = _SUBJECT + r"\s+<([^>]*)>\s+(?:<([^>]*)>|_:([^\s.]+(?:\.[^\s.]+)*)|\"((?:[^\"\\]|\\.)*+)\"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$"
+_QUAD = _LINE.replace(r")\s*\.\s*(?:#", r")\s*(?:<([^>]*)>|_:([^\s.]+(?:\.[^\s.]+)*))?\s*\.\s*(?:#")
+
+
+def _numeric(c):
+    """With ``\\uXXXX`` and ``\\UXXXXXXXX`` decoded, on the JVM; what names no character becomes U+FFFD, what is no
+    such escape stays. For texts whose doubled backslashes are out of the way."""
+
+    def char(p):
+        n = F.when(F.startswith(p, F.lit("u")), 4).otherwise(8)
+        code = F.lpad(F.substring(p, F.lit(2), n), 8, "0")
+        real = (F.length(p) > n) & F.substring(p, F.lit(2), n).rlike("^[0-9A-Fa-f]+$")
+        named = ~code.rlike("^0000[dD][89a-fA-F]") & code.rlike("^00(0[0-9A-Fa-f]|10)")
+        text = F.when(named, F.decode(F.unhex(code), "UTF-32")).otherwise(F.lit("\ufffd"))
+        return F.when(real, F.concat(text, F.substring(p, n + 2, F.length(p)))).otherwise(F.concat(F.lit("\\"), p))
+
+    parts = F.transform(F.split(c, r"\\(?=[uU])"), lambda p, i: F.when(i == 0, p).otherwise(char(p)))
+    return F.when(c.rlike(r"\\[uU]"), F.array_join(parts, "")).otherwise(c)
 
 
 def _unescaped(c):
-    """String escapes of N-Triples, without the numeric ones."""
+    """The escapes of N-Triples."""
     out = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
-    for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"')):
+    for a, b in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.replace(out, F.lit("\x00"), F.lit("\\"))
+    return F.replace(_numeric(out), F.lit("\x00"), F.lit("\\"))
 
 
-def read_ntriples(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
+def read_ntriples(spark: SparkSession, path: str, graph: str | None = None, quads: bool = False) -> DataFrame:
     """Triples of N-Triples files: split by lines, parsed on the JVM, distinct.
 
     Blank nodes are told apart by the ``graph`` column. Comments and blank lines are left out; a
-    line that is no triple raises."""
+    line that is no triple raises. Of N-Quads (``quads``) the graph is the one that a line names, else
+    as before."""
+    line = _QUAD if quads else _LINE
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    part = lambda i: F.regexp_extract("value", _LINE, i)
+    part = lambda i: F.regexp_extract("value", line, i)
     bad = F.raise_error(F.concat(F.lit("not a triple: "), F.col("value")))
-    read = lines.where(F.when(F.col("value").rlike(_LINE), True).otherwise(bad.cast("boolean")))
+    read = lines.where(F.when(F.col("value").rlike(line), True).otherwise(bad.cast("boolean")))
     s_iri, o_iri, o_bnode = part(1), part(4), part(5)
     literal = (o_iri == "") & (o_bnode == "") & ~F.col("value").rlike(_SUBJECT + r"\s+<[^>]*>\s+<>")
     some = lambda c: F.when(c != "", c)
     s_is_iri = F.col("value").rlike(r"^\s*<")
     out = read.select(
-        F.lit(graph or path).alias("graph"), F.when(s_is_iri, s_iri).otherwise(part(2)).alias("s"), F.when(s_is_iri, "iri").otherwise("bnode").alias("s_kind"), part(3).alias("p"),
-        F.when(literal, _unescaped(part(6))).when(o_bnode != "", o_bnode).otherwise(o_iri).alias("o"),
-        F.when(literal, "literal").when(o_bnode != "", "bnode").otherwise("iri").alias("o_kind"), some(part(7)).alias("o_lang"), some(part(8)).alias("o_dtype"),
+        (F.coalesce(some(_numeric(part(9))), some(part(10)), F.lit(graph or path)) if quads else F.lit(graph or path)).alias("graph"), F.when(s_is_iri, _numeric(s_iri)).otherwise(part(2)).alias("s"), F.when(s_is_iri, "iri").otherwise("bnode").alias("s_kind"), _numeric(part(3)).alias("p"),
+        F.when(literal, _unescaped(part(6))).when(o_bnode != "", o_bnode).otherwise(_numeric(o_iri)).alias("o"),
+        F.when(literal, "literal").when(o_bnode != "", "bnode").otherwise("iri").alias("o_kind"), some(part(7)).alias("o_lang"), some(_numeric(part(8))).alias("o_dtype"),
     )
     return out.dropDuplicates()
 
 
-def parse_rdfxml(data: bytes | str, base: str = "") -> Iterator[tuple]:
+def parse_rdfxml(data: bytes | str, base: str = "", fresh: Iterator[str] | None = None) -> Iterator[tuple]:
     """(s, s_kind, p, o, o_kind, o_lang, o_dtype) of an RDF/XML document.
 
     Node elements, property elements and attributes; rdf:about, ID, nodeID, resource, datatype,
     parseType Resource, Collection and Literal; rdf:li, containers, reification by rdf:ID of a
-    property; xml:base and xml:lang. Generated blank nodes are numbered in document order."""
-    fresh = (f"genid{i}" for i in itertools.count(1))
+    property; xml:base and xml:lang. Generated blank nodes are numbered in document order, or take
+    the names that ``fresh`` gives."""
+    fresh = fresh or (f"genid{i}" for i in itertools.count(1))
     root = ET.fromstring(data)
     name = lambda tag: tag[1:].replace("}", "", 1)
 
@@ -152,8 +174,23 @@ def parse_rdfxml(data: bytes | str, base: str = "") -> Iterator[tuple]:
         yield from node(root, base, lang)
 
 
-def read_rdfxml(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
-    """Triples of RDF/XML files: one task per file, as a document is no splittable input."""
+#: Bytes of an RDF/XML file up to which one task reads it whole.
+WHOLE = 16 << 20
+
+
+def read_rdfxml(spark: SparkSession, path: str, graph: str | None = None, whole: int = WHOLE) -> DataFrame:
+    """Triples of RDF/XML files: small ones each in a task, those of more than ``whole`` bytes in parts by many."""
+    sizes = spark.read.format("binaryFile").load(path).select("path", "length")
+    large = [r["path"] for r in sizes.where(F.col("length") > whole).collect()]
+    if not large:
+        return _read_whole(spark, path, graph)
+    read = rdfxml_split.read(spark, large, parse_rdfxml, lambda odd: _read_whole(spark, odd, graph), graph)
+    small = [r["path"] for r in sizes.where(F.col("length") <= whole).collect()]
+    return (read.unionByName(_read_whole(spark, small, graph)) if small else read).dropDuplicates()
+
+
+def _read_whole(spark: SparkSession, path: str | list[str], graph: str | None) -> DataFrame:
+    """One task per file."""
 
     def run(batches):
         for pdf in batches:
@@ -167,7 +204,9 @@ def read_rdfxml(spark: SparkSession, path: str, graph: str | None = None) -> Dat
 
 
 def read_graph(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
-    """Triples of a file by its ending: .nt N-Triples, .ttl or .turtle Turtle, else RDF/XML."""
+    """Triples of a file by its ending: .nt N-Triples, .nq N-Quads, .ttl or .turtle Turtle, else RDF/XML."""
+    if re.search(r"\.nq(\.gz|\.bz2)?/?$", path):
+        return read_ntriples(spark, path, graph, quads=True)
     if re.search(r"\.nt(\.gz|\.bz2)?/?$", path):
         return read_ntriples(spark, path, graph)
     return (read_turtle if re.search(r"\.(ttl|turtle)/?$", path) else read_rdfxml)(spark, path, graph)
