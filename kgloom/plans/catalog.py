@@ -417,6 +417,30 @@ def token_mask_pooling(spark, sf_dir):
     return V.pool(tok, "mean").select("id", F.posexplode("v").alias("dim", "x")).select("id", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x"))
 
 
+@_register(f"""WITH {D.letters_sql(5)}, {_PARTS}, every AS (SELECT * FROM top_k UNION ALL SELECT * FROM top_b UNION ALL SELECT source, target, confidence FROM lex)
+SELECT source, target, '=' AS relation, max(confidence) AS confidence FROM every GROUP BY ALL""")
+def matcher_candidates(spark, sf_dir):
+    """The matcher on two graphs: descriptions, embeddings, both directions, lexical matches."""
+    m = MA.CandidateMatcher(lambda: D.letter_encoder(), "description_text", k=5)
+    return m.match(*D.part_graphs(spark, sf_dir)).select(*M.KEY, "confidence")
+
+
+@_register(f"WITH {D.letters_sql(7)} SELECT source, target, '=' AS relation, confidence FROM top_k")
+def matcher_retrieval(spark, sf_dir):
+    m = MA.RetrievalMatcher(lambda: D.letter_encoder(), "description_text", k=7)
+    return m.match(*D.part_graphs(spark, sf_dir)).select(*M.KEY, "confidence")
+
+
+_RUNS = {r: D.letters_sql(3, prompts.INSTRUCTIONS[i]) for r, i in (("<", "asym_broader_v1"), (">", "asym_narrower_v1"))}
+
+
+@_register(" UNION ALL ".join(f"SELECT * FROM (WITH {sql} SELECT source, target, '{r}' AS relation, confidence FROM top_k)" for r, sql in _RUNS.items()))
+def matcher_asymmetric(spark, sf_dir):
+    """Two runs, with an instruction for broader and one for narrower targets before each source's text."""
+    m = MA.AsymmetricMatcher(lambda: D.letter_encoder(), "description_text", k=3)
+    return m.match(*D.part_graphs(spark, sf_dir)).select(*M.KEY, "confidence")
+
+
 # --- ranked evaluation --------------------------------------------------------------------------
 
 _EVAL = f"WITH {D.vector_sql(20)}, {D.GOLD_SQL}"

@@ -154,6 +154,34 @@ def directed(vectors: DataFrame, half: int) -> DataFrame:
     return vectors.select("id", F.transform("v", lambda x, i: F.when((i < n) == F.lit(half == 0), x * 2).otherwise(x)).alias("v"))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def letter_encoder():
+    """A stand-in for a sentence encoder that SQL can express: how often each letter and digit occurs."""
+    import numpy as np
+
+    return lambda texts: np.array([[t.lower().count(c) for c in LETTERS] for t in texts], float).reshape(len(texts), len(LETTERS))
+
+
+def part_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two graphs: classes of even parts with their names as labels, and those of odd ones."""
+    graph = lambda df: M.union_graphs(df.select(*M.triple("g", F.col("uri"), M.TYPE, M.OWL + "Class")), df.select(*M.triple("g", F.col("uri"), M.LABEL, F.col("label"), "literal")))
+    return tuple(graph(df) for df in part_labels(spark, sf_dir))
+
+
+def letters_sql(k: int, instruction: str = "") -> str:
+    """(source, target, confidence) as top_k, and top_b the other way round, of part texts by letters; sources after an instruction."""
+    before = instruction.replace("'", "''") + "\n" if instruction else ""
+    score = "round(list_inner_product(s.v, t.v), 6)"
+    return f"""txt AS (SELECT 'urn:part:' || p_partkey AS id, p_partkey % 2 AS side, lower(CASE WHEN p_partkey % 2 = 0 THEN '{before}' ELSE '' END || 'Label: ' || p_name || chr(10)) AS x FROM part),
+cnt AS (SELECT id, side, list_transform(string_split('{LETTERS}', ''), lambda c: (length(x) - length(replace(x, c, '')))::DOUBLE) AS w FROM txt),
+vec AS (SELECT id, side, list_transform(w, lambda y: y / sqrt(list_inner_product(w, w))) AS v FROM cnt),
+prod AS (SELECT s.id AS source, t.id AS target, {score} AS confidence FROM vec s JOIN vec t ON s.side = 0 AND t.side = 1),
+top_k AS (SELECT * FROM prod QUALIFY row_number() OVER (PARTITION BY source ORDER BY confidence DESC, target) <= {k}),
+top_b AS (SELECT * FROM prod QUALIFY row_number() OVER (PARTITION BY target ORDER BY confidence DESC, source) <= {k})"""
+
+
 def predictions(spark: SparkSession, sf_dir: str, variant: str = "asymmetric", k: int = 20) -> DataFrame:
     s, t = sides(spark, sf_dir)
     if variant == "symmetric":
