@@ -46,17 +46,22 @@ def selected(df: DataFrame, by: list[str], value: str, ranks: Column) -> DataFra
     Selection by counted probes: each round takes PROBES values of what is left of a group from a mergeable
     sketch, counts exactly between them, and goes on with the one gap that holds the rank, until all values
     in it are equal. Counts combine before they move, so a group never meets in a task. A round leaves about
-    1 / PROBES of the rows, and always less than all, as the greatest value is a probe of its own."""
+    1 / PROBES of the rows, and always less than all, as the greatest value is a probe of its own. Once no more
+    than SMALL rows are left of all groups together, which is known from the counts, they are sorted."""
     values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
     groups = values.groupBy(*by).agg(F.count("*").alias("n")).withColumn("rank", F.explode(ranks)).distinct()
     groups = _written(groups.where("rank >= 0 and rank < n").withColumn("sid", F.monotonically_increasing_id()), "ranks")
-    left = groups.count()
+    left, rows = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     named = _small(groups.select("sid", *[F.col(c).alias(f"_{c}") for c in by]), left)
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True))
     inside = _written(values.join(named, same).select("sid", "v"), "values")
     state = groups.select("sid", "rank", F.lit(0).cast("bigint").alias("below"))
     found = []
     while left:
+        if rows <= SMALL:
+            last = inside.groupBy("sid").agg(F.sort_array(F.collect_list("v")).alias("vs")).join(state, "sid")
+            found.append(last.select("sid", F.get("vs", (F.col("rank") - F.col("below")).cast("int")).alias("value")))
+            break
         steps = [i / PROBES for i in range(PROBES + 1)]
         probes = inside.groupBy("sid").agg(F.array_distinct(F.concat(F.percentile_approx("v", steps, 4 * PROBES), F.array(F.max("v")))).alias("probes"))
         probes = _small(_written(probes, "probes"), left)
@@ -66,11 +71,11 @@ def selected(df: DataFrame, by: list[str], value: str, ranks: Column) -> DataFra
         gaps = gaps.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("gap", "n", "least", "most"))).alias("g")).join(state, "sid")
         upto = F.transform("g", lambda x, i: F.struct(x["n"].alias("n"), x["least"].alias("least"), x["most"].alias("most"), F.aggregate(F.slice("g", 1, i + 1), F.col("below"), lambda t, y: t + y["n"]).alias("end")))
         hit = F.filter(upto, lambda x: x["end"] > F.col("rank"))[0]
-        state = gaps.select("sid", "rank", hit.alias("x")).select("sid", "rank", (F.col("x.end") - F.col("x.n")).alias("below"), "x.least", "x.most")
+        state = gaps.select("sid", "rank", hit.alias("x")).select("sid", "rank", (F.col("x.end") - F.col("x.n")).alias("below"), "x.n", "x.least", "x.most")
         state = _written(state, "gaps")
         found.append(state.where("least <=> most").select("sid", F.col("least").alias("value")))
         state = state.where("not least <=> most")
-        left = state.count()
+        left, rows = state.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         if left:
             inside = inside.join(_small(state.select("sid", "least", "most"), left), "sid").where("v >= least and v <= most").select("sid", "v")
             inside, state = _written(inside, "gap"), state.select("sid", "rank", "below")

@@ -17,8 +17,9 @@ def test_selected_against_sorting(spark, monkeypatch):
         of.setdefault(g, []).extend([] if v is None else [v])
     of = {g: sorted(v) for g, v in of.items() if v}
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
-    for probes in (order.PROBES, 2):  # with few probes it takes many rounds
+    for probes, small in ((order.PROBES, order.SMALL), (order.PROBES, 100), (2, 0)):  # with few probes it takes many rounds
         monkeypatch.setattr(order, "PROBES", probes)
+        monkeypatch.setattr(order, "SMALL", small)
         got = order.selected(df, ["g"], "v", F.array(F.lit(0).cast("bigint"), F.expr("n div 3"), F.col("n") - 1, F.lit(700).cast("bigint")))
         want = {(g, len(v), r, v[r]) for g, v in of.items() for r in {0, len(v) // 3, len(v) - 1, 700} if r < len(v)}
         assert {tuple(r) for r in got.collect()} == want
