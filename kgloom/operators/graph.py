@@ -92,67 +92,72 @@ def only_classes(triples: DataFrame, keep: DataFrame) -> DataFrame:
 
 
 # --- descriptions: (entity, s, s_kind, p, o, o_kind, o_lang, o_dtype), distinct -----------------
+#
+# What an entity reaches is found first, as pairs (entity, node) over the bare edges; triples join once, at
+# the end. So however many hops lead to a node of very many triples, they move once, and neither edges nor
+# pairs carry literals. As pairs are distinct and triples are, the result is, without a look at its rows.
 
 
-def _own(triples: DataFrame, frontier: DataFrame) -> DataFrame:
-    """Triples of the frontier's nodes; frontier is (entity, node)."""
-    return frontier.join(triples.withColumnRenamed("s", "node"), "node").withColumnRenamed("node", "s")
+def _own(triples: DataFrame, reach: DataFrame) -> DataFrame:
+    """Triples of the nodes that are reached; reach is (entity, node), distinct."""
+    known = triples.select(*_T).distinct().withColumnRenamed("s", "node")
+    return reach.join(known, "node").select("entity", F.col("node").alias("s"), *_T[1:])
 
 
-def _next(found: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """The frontier made of the objects found."""
-    hit = found.where(F.col("o_kind").isin(*kinds)) if kinds else found.where(F.col("o_kind") != "literal")
-    return hit.select("entity", F.col("o").alias("node")).distinct()
+def _edges(triples: DataFrame, kinds: tuple[str, ...] = ("iri", "bnode")) -> DataFrame:
+    """(node, next): subjects and their objects of some kinds."""
+    return triples.where(F.col("o_kind").isin(*kinds)).select(F.col("s").alias("node"), F.col("o").alias("next")).distinct()
 
 
-def _shape(*parts: DataFrame) -> DataFrame:
-    out = parts[0].select("entity", *_T)
-    for x in parts[1:]:
-        out = out.unionByName(x.select("entity", *_T))
-    return out.distinct()
+def _next(reach: DataFrame, edges: DataFrame) -> DataFrame:
+    return reach.join(edges, "node").select("entity", F.col("next").alias("node")).distinct()
 
 
 def _start(entities: DataFrame) -> DataFrame:
     return entities.select(F.col("uri").alias("entity"), F.col("uri").alias("node")).distinct()
 
 
+def _all(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
 def describe_outgoing(triples: DataFrame, entities: DataFrame, hops: int = 2) -> DataFrame:
     """Triples within so many hops along objects of any kind."""
-    frontier, parts = _start(entities), []
-    for _ in range(hops):
-        found = _own(triples, frontier)
-        parts.append(found)
-        frontier = _next(found)
-    return _shape(*parts)
+    reach = [_start(entities)]
+    for _ in range(hops - 1):
+        reach.append(_next(reach[-1], _edges(triples)))
+    return _own(triples, _all(*reach))
 
 
 def describe_outgoing_blank(triples: DataFrame, entities: DataFrame) -> DataFrame:
     """Hop 1; two further hops behind a blank node, one behind anything else."""
-    one = _own(triples, _start(entities))
-    two = _own(triples, _next(one))
-    three = _own(triples, _next(_own(triples, _next(one, ("bnode",)))))
-    return _shape(one, two, three)
+    start, edges = _start(entities), _edges(triples)
+    behind = _next(_next(start, _edges(triples, ("bnode",))), edges)
+    return _own(triples, _all(start, _next(start, edges), behind))
 
 
 def describe_depth(triples: DataFrame, entities: DataFrame, depth: int = 1) -> DataFrame:
     """Triples of the entity; below ``depth`` a blank object is entered, an IRI object adds its label
     and types alone. At ``depth`` nothing is entered, blank nodes included."""
-    frontier, parts = _start(entities), []
-    known = triples.where(F.col("p").isin(M.LABEL, M.TYPE))
-    for level in range(depth + 1):
-        found = _own(triples, frontier)
-        parts.append(found)
-        if level < depth:
-            parts.append(_own(known, _next(found, ("iri",))))
-            frontier = _next(found, ("bnode",))
-    return _shape(*parts)
+    reach = [_start(entities)]
+    for _ in range(depth):
+        reach.append(_next(reach[-1], _edges(triples, ("bnode",))))
+    whole = _all(*reach)
+    if not depth:
+        return _own(triples, whole)
+    named = _next(_all(*reach[:-1]), _edges(triples, ("iri",))).join(whole, ["entity", "node"], "left_anti")
+    return _own(triples, whole).unionByName(_own(triples.where(F.col("p").isin(M.LABEL, M.TYPE)), named))
 
 
 def describe_basic(triples: DataFrame, entities: DataFrame) -> DataFrame:
     """Label, description and type triples, with the rdfs:label of each type."""
     own = _own(triples.where(F.col("p").isin(*M.LABEL_PREDICATES, *M.DESCRIPTION_PREDICATES, M.TYPE)), _start(entities))
     types = own.where(F.col("p") == M.TYPE).select("entity", F.col("o").alias("node")).distinct()
-    return _shape(own, _own(triples.where(F.col("p") == M.LABEL), types))
+    # an entity that is its own type has its label already
+    return own.unionByName(_own(triples.where(F.col("p") == M.LABEL), types.where("entity <> node")))
 
 
 def describe_text(triples: DataFrame, entities: DataFrame) -> DataFrame:
