@@ -12,6 +12,7 @@ from kgloom import model as M
 from kgloom.functions import prompts
 from kgloom.functions import text as X
 from kgloom.operators import alignments as A
+from kgloom.operators import conversations as CV
 from kgloom.operators import graph as G
 from kgloom.operators import matchers as MA
 from kgloom.operators import order as O
@@ -420,3 +421,37 @@ def tool_conversations(spark, sf_dir):
     scores, talks = loop.run([[{"role": "user", "content": n}] for n in of])
     seen = [next(m["content"] for m in t if m["role"] == "tool") for t in talks]
     return spark.createDataFrame(list(zip(of, seen, scores)), "nation string, seen string, confidence double")
+
+
+def _guide():
+    """A stand-in for a model: asks for the nation's region, by a wrong tool first where its supplier's number ends
+    in 7, and ends once it has read it."""
+
+    def talk(talks, tools):
+        out = []
+        for t in talks:
+            asked, heard = t[0]["content"].split("|"), [m for m in t if m["role"] == "tool"]
+            if heard and not heard[-1]["content"].startswith("Error"):
+                out.append({"content": "I have read it."})
+                continue
+            wrong = asked[0].endswith("7") and not heard
+            name = "no_tool" if wrong else tools[0]["function"]["name"]
+            out.append({"content": None, "tool_calls": [{"id": f"c{len(t)}", "function": {"name": name, "arguments": json.dumps({"nation": asked[1]})}}]})
+        return out
+
+    return talk
+
+
+@register("""SELECT CAST(s_suppkey AS VARCHAR) AS id, r_name AS seen, CASE WHEN s_suppkey % 10 = 7 THEN 7 ELSE 5 END AS messages, round(0.5 + length(r_name) / 100, 6) AS confidence
+FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
+def supplier_conversations(spark, sf_dir):
+    """A talk a supplier: the model asks a tool for the region of its nation, which a join answers for all at once."""
+    t = lambda n: D.table(spark, sf_dir, n)
+    nations = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    tool = CV.lookup_tool("region_of", "The region of a nation.", "nation", nations.select(F.col("n_name").alias("key"), F.col("r_name").alias("content")))
+    opening = F.concat_ws("|", F.col("s_suppkey").cast("string"), "n_name")
+    talks = CV.first_messages(t("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), opening.alias("content")))
+    heard = lambda talk: [m["content"] for m in talk if m["role"] == "tool"][-1]
+    loop = CV.ToolRounds(_guide, lambda: lambda talks: [0.5 + len(heard(x)) / 100 for x in talks], [tool], folder=scratch(spark, "talks"))
+    told = F.filter("messages", lambda m: m["role"] == "tool")
+    return loop.run(talks).select("id", F.element_at(told, -1)["content"].alias("seen"), F.size("messages").alias("messages"), F.round("confidence", 6).alias("confidence"))
