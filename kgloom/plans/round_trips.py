@@ -4,7 +4,9 @@ Files go to the folder that spark.checkpoint.dir names, which the driver and all
 
 from __future__ import annotations
 
+import base64
 import json
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from kgloom import model as M
 from kgloom.functions import prompts
 from kgloom.functions import text as X
 from kgloom.operators import alignments as A
+from kgloom.operators import batches as BA
 from kgloom.operators import conversations as CV
 from kgloom.operators import graph as G
 from kgloom.operators import matchers as MA
@@ -455,3 +458,33 @@ def supplier_conversations(spark, sf_dir):
     loop = CV.ToolRounds(_guide, lambda: lambda talks: [0.5 + len(heard(x)) / 100 for x in talks], [tool], folder=scratch(spark, "talks"))
     told = F.filter("messages", lambda m: m["role"] == "tool")
     return loop.run(talks).select("id", F.element_at(told, -1)["content"].alias("seen"), F.size("messages").alias("messages"), F.round("confidence", 6).alias("confidence"))
+
+
+def _service(method, path, body):
+    """A stand-in for a batch service that keeps nothing: a file's name is its content."""
+    if path == "/v1/files":
+        return {"id": base64.urlsafe_b64encode(zlib.compress(body)).decode()}
+    if path == "/v1/batches":
+        return {"id": body["input_file_id"]}
+    if path.startswith("/v1/batches?"):
+        return {"data": []}
+    name = path.split("/")[3]
+    if path.startswith("/v1/batches/"):
+        return {"status": "completed", "output_file_id": name}
+    out = []
+    for line in zlib.decompress(base64.urlsafe_b64decode(name)).decode().splitlines():
+        asked = json.loads(line)
+        words = asked["body"]["messages"][0]["content"].count(" ")
+        top = [{"token": "Yes", "logprob": -(words % 7) / 10}, {"token": "no", "logprob": -1.0}, {"token": "maybe", "logprob": -0.1}]
+        out.append(json.dumps({"custom_id": asked["custom_id"], "response": {"body": {"choices": [{"logprobs": {"content": [{"top_logprobs": top}]}}]}}}))
+    return "\n".join(out)
+
+
+@register("""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, exp(-((length(text) - length(replace(text, ' ', ''))) % 7) / 10.0::DOUBLE) AS y, exp(-1.0::DOUBLE) AS n FROM documents WHERE text IS NOT NULL)
+SELECT id, round(y / (y + n), 6) AS confidence FROM d""")
+def batch_scores(spark, sf_dir):
+    """Every document scored through batches: submitted, looked after and fetched as steps of their own."""
+    rows = D.table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.col("text").alias("prompt"))
+    job = BA.BatchRun(SC.BatchEndpoint(_service, wait=0), "m", scratch(spark, "batches"), size=200)
+    job.run(rows)
+    return job.confidences(spark).select("id", F.round("confidence", 6).alias("confidence"))
