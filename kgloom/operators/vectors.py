@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from kgloom.functions.text import l2_normalized, sublist_positions
@@ -342,16 +343,29 @@ POOLING = (
 def pool(tokens: DataFrame, method: str = "mean") -> DataFrame:
     """Unit vectors from token vectors: (id, position, masked, v) -> (id, v).
 
-    mean and max over the masked tokens, cls takes the token at position 0. All by built-in
-    functions: a dimension is a group of its own, with map-side combining."""
+    mean and max over the masked tokens, cls takes the token at position 0. Vectors of an id are added up,
+    or their maxima taken, a batch at a time before they move; what is left of an id is a vector a batch."""
     if method not in ("mean", "max", "cls"):
         raise ValueError(f"unknown pooling {method!r}, not one of mean, max, cls")
     rows = tokens.where(F.col("position") == 0) if method == "cls" else tokens.where("masked")
-    flat = rows.select("id", F.posexplode(F.col("v").cast("array<double>")).alias("dim", "x"))
-    cell = F.max("x") if method == "max" else F.avg("x")
-    dims = flat.groupBy("id", "dim").agg(cell.alias("x"))
-    v = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"])
-    return dims.groupBy("id").agg(v.alias("v")).select("id", l2_normalized(F.col("v")).alias("v"))
+    put = np.maximum if method == "max" else np.add
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                codes = b.column("id").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                order = np.argsort(codes, kind="stable")
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(codes[order]) != 0]))
+                x = put.reduceat(_matrix(b.column("v"), b.num_rows)[order], starts, axis=0)
+                n = np.diff(np.append(starts, len(order)))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(order[starts])), pa.array(list(x), pa.list_(pa.float64())), pa.array(n)], ["id", "x", "n"])
+
+    some = rows.select("id", F.col("v").cast("array<double>").alias("v"))
+    some = some.mapInArrow(run, some.select("id").schema.add("x", T.ArrayType(T.DoubleType())).add("n", T.LongType()))
+    met = some.groupBy("id").agg(F.collect_list("x").alias("xs"), F.sum("n").alias("n"))
+    both = (lambda p, q: F.greatest(p, q)) if method == "max" else (lambda p, q: p + q)
+    v = F.aggregate(F.slice("xs", 2, F.size("xs")), F.col("xs")[0], lambda a, x: F.zip_with(a, x, both))
+    return met.select("id", l2_normalized(v if method == "max" else F.transform(v, lambda x: x / F.col("n"))).alias("v"))
 
 
 def pooling_parts(name: str) -> tuple[str, bool, str]:

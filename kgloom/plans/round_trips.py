@@ -321,6 +321,32 @@ def pooling_allmax(spark, sf_dir):
     return _pooled(spark, sf_dir, "allmax")
 
 
+def _masked(every: bool, tokens: str = "") -> str:
+    """The mask in SQL: the first or every occurrence of the entity, and special tokens."""
+    found = "found" if every else "found AND position = first_at"
+    return f"coalesce({found} OR t IN ({tokens}), t IN ({tokens}))" if tokens else f"coalesce({found}, false)"
+
+
+for _name, _mask, _with in (
+    ("sentence", "true", "avg"), ("cls", "position = 0", "avg"), ("firstmean", _masked(False), "avg"), ("allmean", _masked(True), "avg"), ("firstmax", _masked(False), "max"),
+    ("firstmeanspecial", _masked(False, "0, 1"), "avg"), ("allmeanspecial", _masked(True, "0, 1"), "avg"), ("firstmeancls", _masked(False, "0"), "avg"),
+    ("allmeancls", _masked(True, "0"), "avg"), ("allmeanclssep", _masked(True, "0, 1"), "avg"),
+):
+
+    def _pooling(spark, sf_dir, name=_name):
+        return _pooled(spark, sf_dir, name)
+
+    _pooling.__name__ = f"pooling_{_name}"
+    register("WITH " + _POOLED.format(_mask, _with))(_pooling)
+
+
+@register("""WITH m AS (SELECT conv_id, len(regexp_extract_all(coalesce(role, ''), '[^ ]+')) + len(regexp_extract_all(coalesce(text, ''), '[^ ]+')) AS n FROM conversations)
+SELECT conv_id, 3 + sum(3 + n)::BIGINT AS tokens FROM m GROUP BY conv_id""")
+def chat_tokens(spark, sf_dir):
+    """Tokens of every conversation by the rule for chats, with words for tokens."""
+    return SC.chat_tokens(D.table(spark, sf_dir, "conversations"), lambda: lambda texts: [sum(w != "" for w in t.split(" ")) for t in texts], "conv_id", ["role", "text"])
+
+
 @register("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS full_ FROM documents), s AS (SELECT *, full_[1:2] AS sub FROM w),
 h AS (SELECT doc_id, full_, sub, list_filter(range(len(full_)), lambda i: len(sub) > 0 AND i + len(sub) <= len(full_) AND full_[i + 1:i + len(sub)] = sub) AS places FROM s)
 SELECT doc_id, array_to_string(list_sort(list_distinct(flatten(list_transform(places, lambda i: range(i, i + len(sub)))))), ' ') AS every_one,
