@@ -182,6 +182,22 @@ def alignment_xml_round_trip(spark, sf_dir):
     return got.select(*M.KEY, "confidence", note.alias("note"), same.cast("boolean").alias("same"))
 
 
+@register(f"WITH {D.LINE_SQL} SELECT * FROM al")
+def alignment_single_file(spark, sf_dir):
+    """The alignment as one document, joined from what the executors wrote, and read at its cells."""
+    path = scratch(spark, "xml")
+    AX.write_alignment(_al(spark, sf_dir), path, AX.Header(["urn:a"], ["urn:b"]))
+    return AX.read_large(spark, path).select(*M.KEY, "confidence")
+
+
+@register(f"WITH {D.LINE_SQL} SELECT source, target, relation, printf('%.6f', confidence) AS confidence FROM al")
+def tsv_single_file(spark, sf_dir):
+    """One TSV file in the order of confidence, read as text."""
+    path = scratch(spark, "tsv")
+    tables.write_tsv(A.by_confidence(_al(spark, sf_dir)).select(*M.KEY, "confidence"), path)
+    return spark.read.csv(path, sep="\t", header=True, quote="").select(*M.KEY, "confidence")
+
+
 @register(f"WITH {D.LINE_SQL} SELECT source, target, relation, max(confidence) AS confidence FROM li GROUP BY ALL")
 def alignment_file_matcher(spark, sf_dir):
     """Files with repeated cells, loaded as an alignment by the matcher that reads files."""

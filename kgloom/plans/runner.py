@@ -149,4 +149,6 @@ def _retrieval(case: TestCase, matcher, out: str, top_k: int, variant: str, give
     tables.write_tsv(tables.reference_table(case.reference), f"{out}/reference.tsv")
     if n:
         tables.write_tsv(R.per_source(predictions, case.reference, *labels).orderBy("source_uri", "rank"), f"{out}/per_source_long.tsv")
+    for x in labels:
+        x.unpersist()
     return metrics

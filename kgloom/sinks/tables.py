@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import normalized_relation
+from kgloom.sinks.single import write_single
 
 RESULT_COLUMNS = ["Track", "TestCase", "Matcher", "Precision", "Recall", "F1", "TP", "FP", "FN", "Time (ns)", "Time HH:MM:SS"]
 PREDICTION_COLUMNS = ["source_uri", "source_label", "target_uri", "target_label", "predicted_relation", "score"]
@@ -29,14 +30,9 @@ def cell(c: Column, kind: str) -> Column:
 
 
 def write_tsv(df: DataFrame, path: str) -> str:
-    """One TSV file with a head. Lines are made on the executors in the frame's order and stream
-    through the driver a partition at a time."""
+    """One TSV file with a head. Lines are made and written by the executors, in the frame's order."""
     line = F.concat_ws("\t", *[cell(F.col(f"`{c}`"), k) for c, k in df.dtypes])
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\t".join(df.columns) + "\n")
-        for r in df.select(line.alias("x")).toLocalIterator():
-            f.write(r.x + "\n")
-    return path
+    return write_single(df.select(line.alias("value")), path, "\t".join(df.columns) + "\n")
 
 
 def write_tsv_files(df: DataFrame, path: str) -> None:

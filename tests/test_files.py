@@ -1,4 +1,5 @@
 import json
+import os
 import zipfile
 
 import pytest
@@ -76,6 +77,19 @@ def test_tables(spark, tmp_path):
     assert open(tmp_path / "r.csv").read().count("Track") == 1 and "01:02:03" in open(tmp_path / "r.csv").read()
 
 
+def test_one_file_from_many_tasks(spark, tmp_path):
+    from kgloom.sinks.single import write_single
+
+    df = spark.range(1000).repartition(7).orderBy("id").selectExpr("concat('é', id) AS value")
+    path = str(tmp_path / "out.txt")
+    for head in ("first\n", ""):  # the second time over the first
+        assert write_single(df, path, head, "end\n") == path
+        assert open(path, encoding="utf-8").read() == head + "".join(f"é{i}\n" for i in range(1000)) + "end\n"
+    assert os.listdir(tmp_path) == ["out.txt"]
+    write_single(df.limit(0), path)
+    assert open(path).read() == ""
+
+
 def test_layout(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
         for f in layout.FILES:
