@@ -19,12 +19,13 @@ from kgloom.operators.settle import settled
 _T = ["s", "s_kind", "p", "o", "o_kind", "o_lang", "o_dtype"]
 
 
-def classes(triples: DataFrame) -> DataFrame:
-    """(uri): IRIs typed as a class, or on either side of subClassOf; owl:Thing is none."""
+def classes(triples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(uri): IRIs typed as a class, or on either side of subClassOf; owl:Thing is none. With ``by``, columns that
+    tell graphs in one table apart, the classes of each."""
     iri_s, iri_o = F.col("s_kind") == "iri", F.col("o_kind") == "iri"
     sub = triples.where(F.col("p") == M.SUBCLASS)
-    typed = triples.where((F.col("p") == M.TYPE) & F.col("o").isin(M.CLASS_TYPES) & iri_s).select(F.col("s").alias("uri"))
-    both = sub.where(iri_s).select(F.col("s").alias("uri")).unionByName(sub.where(iri_o).select(F.col("o").alias("uri")))
+    typed = triples.where((F.col("p") == M.TYPE) & F.col("o").isin(M.CLASS_TYPES) & iri_s).select(*by, F.col("s").alias("uri"))
+    both = sub.where(iri_s).select(*by, F.col("s").alias("uri")).unionByName(sub.where(iri_o).select(*by, F.col("o").alias("uri")))
     return typed.unionByName(both).where(F.col("uri") != M.THING).distinct()
 
 
@@ -58,13 +59,14 @@ def instances(triples: DataFrame, of: DataFrame, sample: int | None = None) -> D
     return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).drop("_r")
 
 
-def labels(triples: DataFrame, entities: DataFrame) -> DataFrame:
+def labels(triples: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(uri, label): every distinct label; an entity without one gets its URI's fragment, unless
-    that is mostly digits."""
-    wanted = entities.select("uri").distinct()
-    found = triples.where(F.col("p").isin(M.LABEL_PREDICATES)).select(F.col("s").alias("uri"), F.col("o").alias("label")).distinct()
-    found = found.join(wanted, "uri", "left_semi")
-    bare = wanted.join(found, "uri", "left_anti").withColumn("label", fragment(F.col("uri")))
+    that is mostly digits. ``by`` as in ``classes``."""
+    key = [*by, "uri"]
+    wanted = entities.select(*key).distinct()
+    found = triples.where(F.col("p").isin(M.LABEL_PREDICATES)).select(*by, F.col("s").alias("uri"), F.col("o").alias("label")).distinct()
+    found = found.join(wanted, key, "left_semi")
+    bare = wanted.join(found, key, "left_anti").withColumn("label", fragment(F.col("uri")))
     return found.unionByName(bare.where(~mostly_numbers(F.col("label"))))
 
 

@@ -1,5 +1,6 @@
 import json
 import os
+import shutil
 import zipfile
 
 import pytest
@@ -126,6 +127,23 @@ def track(tmp_path):
     return str(tmp_path / "track")
 
 
+def test_a_track_in_one_plan_equals_a_run_a_case(spark, tmp_path):
+    """Three testcases that share URIs: a full match, a partial one, one without any."""
+    from kgloom.plans import together
+
+    folder = track(tmp_path)
+    for name, labels in (("other", ["lung", "Hand", "the of"]), ("nothing", ["the", "日本", ""])):
+        d = tmp_path / "track" / name
+        shutil.copytree(tmp_path / "track" / "case", d)
+        (d / "target.rdf").write_text(ONTO.format("".join(CLASS.format(o="target", i=i, l=x) for i, x in enumerate(labels))))
+    want = {r["testcase"]: r for r in runner.run_tracks(spark, [MA.LexicalMatcher()], {"t": folder}, str(tmp_path / "out"))}
+    got = together.run_lexical(spark, {n: tuple(f"{folder}/{n}/{x}.rdf" for x in ("source", "target", "reference")) for n in want}).collect()
+    assert {r.case for r in got} == set(want) == {"case", "other", "nothing"}
+    for r in got:
+        assert all(r[c] == want[r.case][c] for c in ("size", "precision", "recall", "f1", "tp", "fp", "fn")), r
+    assert {r.case: r.size for r in got} == {"case": 3, "other": 1, "nothing": 0}
+
+
 def test_end_to_end(spark, tmp_path):
     folder = track(tmp_path)
     scorer = SC.table_scorer({"source#1": 0.9}, 0.3)
