@@ -417,16 +417,29 @@ def text_table(names: list[str], rows: list[tuple]) -> str:
     return "\n".join([lines[0], "-+-".join("-" * w for w in width), *lines[1:]])
 
 
-def query_text(text: str, triples: DataFrame) -> str:
-    """The answer as text: a table, 'No results.', True or False, or a graph's lines. Errors are text too."""
+def _more(df: DataFrame, seen: int, most: int) -> str:
+    return f"\n({most} of {df.count()} rows; LIMIT and OFFSET give others)" if seen > most else ""
+
+
+#: Rows of an answer that one text holds.
+PAGE = 10_000
+
+
+def query_text(text: str, triples: DataFrame, most: int = PAGE) -> str:
+    """The answer as text: a table, 'No results.', True or False, or a graph's lines. Errors are text too.
+
+    A text is read by one reader and made in one place, so it holds at most ``most`` rows; of a longer answer it
+    tells the number and how to ask for the rest. ``compile_query`` gives answers of any size as a table."""
     try:
         kind, df = compile_query(text, triples)
         if kind == "ask":
             return str(not df.isEmpty())
         if kind == "graph":
             line = F.concat(term(F.col("s"), F.col("s_kind")), F.lit(" <"), F.col("p"), F.lit("> "), term(F.col("o"), F.col("o_kind"), F.col("o_lang"), F.col("o_dtype")), F.lit(" ."))
-            return "\n".join(r.x for r in df.select(line.alias("x")).distinct().orderBy("x").collect())
-        rows = [tuple(r) for r in df.collect()]
-        return text_table(df.columns, rows) if rows else "No results."
+            lines = df.select(line.alias("x")).distinct()
+            rows = [r.x for r in lines.orderBy("x").take(most + 1)]
+            return "\n".join(rows[:most]) + _more(lines, len(rows), most)
+        rows = [tuple(r) for r in df.take(most + 1)]
+        return text_table(df.columns, rows[:most]) + _more(df, len(rows), most) if rows else "No results."
     except Exception as e:  # an agent reads the text and tries again
         return f"Error: {e}"

@@ -119,6 +119,7 @@ def test_sparql(spark):
     assert q("SELECT ?x WHERE { ?x rdfs:label ?l MINUS { ?x rdfs:subClassOf ?y } }").endswith(EX + "a")
     assert q("CONSTRUCT { ?x ex:named ?l } WHERE { ?x rdfs:label ?l }") == f'<{EX}a> <{EX}named> "Alpha" .\n<{EX}b> <{EX}named> "Beta" .'
     assert q("DESCRIBE ex:c").count("\n") == 1
+    assert sparql.query_text("SELECT ?x WHERE { ?x ?p ?y } ORDER BY ?x", t, 2).endswith("\n(2 of 5 rows; LIMIT and OFFSET give others)")
     # the first two patterns meet only through the third; parts that never meet are refused
     assert q("SELECT ?l ?n WHERE { ?x ex:age ?n . ?y rdfs:label ?l . ?x rdfs:subClassOf ?y }").split("\n")[-1].split(" | ") == ["Beta", "7"]
     assert "share no variable" in q("SELECT ?l ?n WHERE { ?x ex:age ?n . ?y rdfs:label ?l }")
