@@ -29,19 +29,28 @@ def load_cases(spark: SparkSession, cases: dict[str, tuple[str, str, str]]) -> t
     return tuple(reduce(DataFrame.unionByName, column) for column in zip(*parts))
 
 
+def labels(graph: DataFrame) -> DataFrame:
+    """(case, uri, label) of the classes of every case."""
+    return G.labels(graph, G.classes(graph, BY), BY)
+
+
+def matched(source_labels: DataFrame, target_labels: DataFrame, stopwords: tuple | list = STOPWORDS) -> DataFrame:
+    """(case, source, target, relation, confidence): the lexical matches of every case, from labels."""
+    return MA.lexical_by(source_labels, target_labels, BY, stopwords=stopwords).withColumns({"relation": F.lit("="), "confidence": F.lit(1.0)})
+
+
 def lexical(source: DataFrame, target: DataFrame, stopwords: tuple | list = STOPWORDS) -> DataFrame:
     """(case, source, target, relation, confidence): the lexical matches of every case."""
-    named = [G.labels(t, G.classes(t, BY), BY) for t in (source, target)]
-    return MA.lexical_by(*named, BY, stopwords=stopwords).withColumns({"relation": F.lit("="), "confidence": F.lit(1.0)})
+    return matched(labels(source), labels(target), stopwords)
 
 
-def scores(system: DataFrame, gold: DataFrame, cases: DataFrame) -> DataFrame:
+def scores(system: DataFrame, gold: DataFrame, cases: DataFrame, sizes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(case, size, precision, recall, f1, tp, fp, fn): a row a case of ``cases`` (case), also where nothing was found
-    and nothing was to be found."""
-    sizes = system.groupBy("case").agg(F.count("*").alias("size"))
-    got = R.precision_recall(system, gold, ["case"])
+    and nothing was to be found. The number of matches is that of the distinct ones; ``sizes`` as in
+    ``precision_recall``."""
+    got = R.precision_recall(system, gold, ["case"], sizes).withColumn("size", F.col("tp") + F.col("fp"))
     zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("size", "tp", "fp", "fn")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("precision", "recall", "f1")}
-    return cases.select("case").distinct().join(got, "case", "left").join(sizes, "case", "left").withColumns(zero)
+    return cases.select("case").distinct().join(got, "case", "left").withColumns(zero).select("case", "precision", "recall", "f1", "tp", "fp", "fn", "size")
 
 
 def run_lexical(spark: SparkSession, cases: dict[str, tuple[str, str, str]]) -> DataFrame:
