@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -106,7 +107,7 @@ def _frame(spark: SparkSession, rows: DataFrame, keep_extensions: bool) -> DataF
     return alignment(out if keep_extensions else out.withColumn("extensions", F.lit(None).cast("map<string,string>")))
 
 
-def read_cells(spark: SparkSession, path: str, keep_extensions: bool = False) -> DataFrame:
+def read_cells(spark: SparkSession, path: str | list[str], keep_extensions: bool = False) -> DataFrame:
     """Rows of alignment files as written, one task per file. A cell without a measure makes the
     read fail: the measure is cast strictly."""
 
@@ -123,10 +124,10 @@ def read_cells(spark: SparkSession, path: str, keep_extensions: bool = False) ->
     return _frame(spark, files.mapInPandas(run, _CELLS), keep_extensions)
 
 
-def read_large(spark: SparkSession, path: str) -> DataFrame:
+def read_large(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows of very large files without extensions: Spark splits the file at its cells."""
     schema = "entity1 struct<`_rdf:resource`:string>, entity2 struct<`_rdf:resource`:string>, relation string, measure struct<_VALUE:string>"
-    rows = spark.read.format("xml").option("rowTag", "Cell").schema(schema).load(path)
+    rows = spark.read.format("xml").option("rowTag", "Cell").option("mode", "FAILFAST").schema(schema).load(path)
     trim = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
     return alignment(
         rows.select(
@@ -135,11 +136,36 @@ def read_large(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_alignment(spark: SparkSession, path: str) -> DataFrame:
-    """A file as an alignment: extensions dropped, keys made unique with their highest confidence."""
+#: Bytes of a file up to which one task reads it whole.
+WHOLE = 16 << 20
+
+
+def _plain_head(spark: SparkSession, path: str) -> bool:
+    """Whether a file names its elements as they are written here: cells without a prefix, resources with ``rdf``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        root = re.search(rb"<rdf:RDF\b([^>]*)>", bytes(stream.readNBytes(1 << 16)))
+    finally:
+        stream.close()
+    return root is not None and all(re.search(f"\\s{name}\\s*=\\s*[\"']{re.escape(uri)}#?[\"']".encode(), root[1]) for name, uri in (("xmlns", ALIGN), ("xmlns:rdf", RDF)))
+
+
+def read_alignment(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """A file or a folder as an alignment: extensions dropped, keys made unique with their highest confidence.
+
+    Small files are read each in a task; those of more than ``whole`` bytes are split at their cells, whatever their
+    size, unless they use other prefixes. Cells of split files have no ``seq``."""
     from kgloom.operators.alignments import upsert
 
-    return upsert(read_cells(spark, path))
+    sizes = spark.read.format("binaryFile").load(path).select("path", "length")
+    large = [r["path"] for r in sizes.where(F.col("length") > whole).collect()]
+    large = [p for p in large if _plain_head(spark, p)]
+    if not large:
+        return upsert(read_cells(spark, path))
+    rows = read_large(spark, large)
+    small = [r["path"] for r in sizes.collect() if r["path"] not in set(large)]
+    return upsert(rows.unionByName(read_cells(spark, small)) if small else rows)
 
 
 def parse_string(spark: SparkSession, text: str, keep_extensions: bool = False) -> tuple[DataFrame, Header]:
