@@ -2,10 +2,16 @@
 the square of a crowd that need not."""
 
 import io
+import random
 from contextlib import redirect_stdout
 
+from kgloom import model as M
+from kgloom.functions import text as X
 from kgloom.operators import matchers as MA
 from kgloom.operators import ranking as R
+from kgloom.operators import vectors as V
+from kgloom.sources import alignment_xml as AX
+from pyspark.sql import functions as F
 
 
 def plan(df):
@@ -42,3 +48,50 @@ def test_entities_alike_count_as_often_as_they_are(spark):
     assert R.precision_recall(MA.lexical(s, t), gold(s, t), sizes=(n, m)).first() == want
     assert (want.tp, want.fp, want.fn) == (8, 18, 0)
 
+
+def test_durations_beyond_a_double(spark):
+    # a double takes the first for a nanosecond less than it is
+    whole = [s * 10**9 for s in (9_223_372_035, 9_100_000_001, 8_999_999_999, 7, 0)] + [9_100_000_001 * 10**9 - 1]
+    want = [f"{s // 3600:02d}:{s % 3600 // 60:02d}:{s % 60:02d}" for s in (n // 10**9 for n in whole)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(whole)], "i int, ns bigint").orderBy("i")
+    assert [r.d for r in df.select(X.duration(F.col("ns")).alias("d")).collect()] == want
+    more = df.select((F.col("ns").cast("decimal(25,0)") * 1000).alias("ns"))
+    assert [r.d for r in more.select(X.duration(F.col("ns")).alias("d")).collect()] == [f"{s // 3600:02d}:{s % 3600 // 60:02d}:{s % 60:02d}" for s in (n * 1000 // 10**9 for n in whole)]
+
+
+def test_large_alignment_files_are_split(spark, tmp_path):
+    rows = [(f"urn:a&{i % 50}", f"urn:b<{i % 7}", "=", i / 1000) for i in range(1000)]
+    a = M.alignment(spark.createDataFrame(rows, "source string, target string, relation string, confidence double"))
+    path = "file://" + str(tmp_path / "x.rdf")
+    AX.write_alignment(a, path)
+    odd = "file://" + str(tmp_path / "odd.rdf")
+    with open(tmp_path / "x.rdf", encoding="utf-8") as f, open(tmp_path / "odd.rdf", "w", encoding="utf-8") as g:
+        g.write(f.read().replace("xmlns=", "xmlns:al=").replace("Cell>", "al:Cell>").replace("<entity", "<al:entity").replace("relation>", "al:relation>").replace("<measure", "<al:measure").replace("</measure", "</al:measure"))
+    found = lambda df: sorted(tuple(r) for r in df.select(*M.KEY, "confidence").collect())
+    want = found(AX.read_alignment(spark, path))
+    split = AX.read_alignment(spark, path, whole=1000)
+    assert found(split) == want and len(want) == 350 and "xml" in plan(split).lower() and "binaryFile" not in plan(split)
+    assert found(AX.read_alignment(spark, odd, whole=1000)) == want
+    AX.write_alignments(a.repartition(3), "file://" + str(tmp_path / "more"))
+    assert found(AX.read_alignment(spark, "file://" + str(tmp_path / "more"), whole=1000)) == want
+    (tmp_path / "both").mkdir()
+    for name in ("x.rdf", "odd.rdf"):
+        (tmp_path / name).rename(tmp_path / "both" / name)
+    assert found(AX.read_alignment(spark, "file://" + str(tmp_path / "both"), whole=1000)) == want
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    rng = random.Random(3)
+    kinds = [[rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)] for _ in range(7)]
+    rows = lambda c, n: [(f"{c}{i}", rng.choice(kinds)) for i in range(n)]
+    a, b, k = rows("s", 60), rows("t", 45), 4
+    score = lambda x, y: round(sum(p * q for p, q in zip(x, y)), 6) + 0.0
+    top = lambda of, by: {(x, y, c) for x, v in of for c, y in [(-m, y) for m, y in sorted((-score(v, w), y) for y, w in by)[:k]]}
+    there, back = top(a, b), {(x, y, c) for y, x, c in top(b, a)}
+    seen, old = [], V._beside
+    monkeypatch.setattr(V, "_beside", lambda s, t, *more: (seen.append((s.count(), t.count())), old(s, t, *more))[1])
+    s, t = (spark.createDataFrame(x, "id string, v array<double>") for x in (a, b))
+    for side in (V.SIDE, 0):
+        assert {tuple(r) for r in V.top_k(s, t, k, 8, side).collect()} == there
+        assert {tuple(r) for r in V.top_k_both(s, t, k, 8, side).collect()} == there | back
+    assert seen and all(n <= len(kinds) and m <= len(kinds) for n, m in seen)
