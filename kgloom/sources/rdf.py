@@ -11,9 +11,10 @@ from urllib.parse import urljoin
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.model import RDF, TRIPLES, XSD
+from kgloom.model import RDF, XSD
 from kgloom.sources import rdfxml_split
 from kgloom.sources.turtle import read_turtle
+from kgloom.sources.whole import WHOLE, read_whole
 
 _XML = "{http://www.w3.org/XML/1998/namespace}"
 _R = "{" + RDF + "}"
@@ -174,10 +175,6 @@ def parse_rdfxml(data: bytes | str, base: str = "", fresh: Iterator[str] | None
         yield from node(root, base, lang)
 
 
-#: Bytes of an RDF/XML file up to which one task reads it whole.
-WHOLE = 16 << 20
-
-
 def read_rdfxml(spark: SparkSession, path: str, graph: str | None = None, whole: int = WHOLE) -> DataFrame:
     """Triples of RDF/XML files: small ones each in a task, those of more than ``whole`` bytes in parts by many."""
     sizes = spark.read.format("binaryFile").load(path).select("path", "length")
@@ -191,16 +188,7 @@ def read_rdfxml(spark: SparkSession, path: str, graph: str | None = None, whole:
 
 def _read_whole(spark: SparkSession, path: str | list[str], graph: str | None) -> DataFrame:
     """One task per file."""
-
-    def run(batches):
-        for pdf in batches:
-            import pandas as pd
-
-            rows = [(graph or p, *t) for p, c in zip(pdf["path"], pdf["content"]) for t in parse_rdfxml(bytes(c), p)]
-            yield pd.DataFrame(rows, columns=TRIPLES.names)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, TRIPLES).dropDuplicates()
+    return read_whole(spark, path, parse_rdfxml, graph).dropDuplicates()
 
 
 def read_graph(spark: SparkSession, path: str, graph: str | None = None) -> DataFrame:
