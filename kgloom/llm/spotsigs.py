@@ -11,8 +11,10 @@ the empty fingerprint. Likeness is the Jaccard resemblance of two sets; two empt
 that two sets at the threshold lie in the same or in neighbouring bands. Within a band pair,
 candidates share one of the rarest signatures of each (its prefix), the lengths must allow the
 threshold, and the Jaccard itself stops as soon as the threshold is out of reach. In a group of
-candidates every set meets the group's leader first; two sets that are both like it are in one class
-already, so only the others meet the rest, and a crowd of near copies costs as much as it has members.
+candidates every set meets the group's leader first; sets that are like the same leader are a cluster and
+in one class already. Of clusters that meet in a group the leaders are compared, and their members only if the
+leaders are neither alike, nor joined by others, nor too far apart for any of them, so a crowd of near copies costs as much as it has
+members, whichever set leads a group.
 
 Defined results: a null text is empty; the order is by falling doc_id, null last of all, ties and
 repeated rows by the hash of the text; a very long text is read whole; an empty table gives no rows;
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ from kgloom.llm import common
 from kgloom.llm.simhash import components
 
 CHAIN, DISTANCE, THRESHOLD = 2, 1, 0.8
+#: Sets whose signatures are spread at once.
+SPREAD = 64
 #: Common words of four languages, the anchors.
 ANCHORS = frozenset(
     "a an the is are was were be been of to in on at by for from with and or not that this it as he she they have has had do does did can will there which "
@@ -189,17 +194,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return read.mapInArrow(run, "doc_id bigint, fingerprint string, length_band int")
 
 
+def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, band, n, sig): a row a signature of the sets (s, band, fingerprint)."""
+    for batch in batches:
+        s, bands = (batch.column(i).to_numpy() for i in (0, 1))
+        for at in range(0, len(batch), SPREAD):
+            sigs = [from_text(x.as_py()) for x in batch.column(2).slice(at, SPREAD)]
+            n = np.array([len(x) for x in sigs], np.int32)
+            cols = [np.repeat(s[at : at + SPREAD], n), np.repeat(bands[at : at + SPREAD], n), np.repeat(n, n), np.concatenate(sigs).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["s", "band", "n", "sig"])
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint, class_id (the least doc_id reachable by links of
     Jaccard >= threshold). Equal fingerprints collapse first; the rest meet by rare signatures."""
     prints = common.written(fingerprints(docs, id_col, text_col), "spots")
     sets = common.written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.first("length_band").alias("band")).withColumn("s", F.xxhash64("fingerprint")), "sets")
     n = (F.length("fingerprint") / 8).cast("int")
-    sigs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("fingerprint"), i * 8 + 1, F.lit(8)))
-    flat = sets.where(F.length("fingerprint") > 0).select("s", "band", n.alias("n"), F.explode(sigs).alias("sig"))
-    counted = flat.groupBy("sig").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("s").orderBy("df", "sig")
-    ranked = flat.join(counted, "sig").withColumn("rank", F.row_number().over(w))
+    flat = sets.where(F.length("fingerprint") > 0).select("s", "band", "fingerprint").mapInArrow(spread, "s bigint, band int, n int, sig bigint")
+    # signatures of one set alone come first in it and lead to no other, so they are only counted
+    counted = flat.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    w = Window.partitionBy("s")
+    ranked = flat.join(counted, "sig").withColumn("rank", F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "sig")))
     prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("s", "band", "n", "sig")
     prefix = common.written(prefix, "prefix")
     # a group: the sets of a band and of the one above that share a rare signature
@@ -208,25 +224,45 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     member = common.written(member.join(leader, ["sig", "group"]), "members")
     texts = sets.select("s", "fingerprint", n.alias("n"))
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of (na, nb) signatures that reach the threshold."""
-        pairs = pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b").distinct()
+    def likeness(pairs: DataFrame) -> DataFrame:
+        """(a, b, least, j) of the distinct pairs of (a, b, na, nb, least) whose Jaccard j is ``least`` or more."""
+        pairs = pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.col("least")).select("a", "b", "least").distinct()
         full = pairs.join(texts.select(F.col("s").alias("a"), F.col("fingerprint").alias("fa")), "a").join(texts.select(F.col("s").alias("b"), F.col("fingerprint").alias("fb")), "b")
-        return common.written(full.select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint"), "alike")
+        return common.written(full.select("a", "b", "least", "fa", "fb").mapInArrow(run, "a bigint, b bigint, least double, j double"), "alike")
 
     def run(batches):
         for batch in batches:
-            keep = pa.array([jaccard(from_text(x), from_text(y), threshold) >= threshold for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    # first every member against its group's leader; two that are both like it need no look at each other
-    first = member.where("s <> leader").join(texts.select(F.col("s").alias("leader"), F.col("n").alias("nb")), "leader")
-    near = alike(first.select(F.col("s").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), "nb"))
-    settled = near.select(F.col("a").alias("s"), F.col("b").alias("leader"), F.lit(True).alias("settled"))
-    member = member.join(settled, ["s", "leader"], "left")
-    open_ = member.where("settled IS NULL AND s <> leader").select("sig", "group", F.col("s").alias("a"), F.col("n").alias("na"))
-    rest = open_.join(member.where("s <> leader").select("sig", "group", F.col("s").alias("b"), F.col("n").alias("nb")), ["sig", "group"]).where("a <> b")
-    links = near.unionByName(alike(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))))
+            least = batch.column(2).to_numpy()
+            j = np.array([jaccard(from_text(x.as_py()), from_text(y.as_py()), m) for m, x, y in zip(least.tolist(), batch.column(3), batch.column(4))], float)
+            keep = pa.array(j >= least)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).filter(keep) for i in range(3)], pa.array(j).filter(keep)], ["a", "b", "least", "j"])
+
+    # first every member against its group's leader; two that are both like one need no look at each other
+    lead = lambda c, size: texts.select(F.col("s").alias(c), F.col("n").alias(size))
+    first = member.where("s <> leader").join(lead("leader", "nb"), "leader")
+    near = likeness(first.select(F.col("s").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), "nb", F.lit(threshold).alias("least")))
+    # a cluster: the sets whose first leader among those they are like is the same
+    mine = near.groupBy(F.col("a").alias("s")).agg(F.min("b").alias("k"))
+    member = common.written(member.join(mine, "s", "left").select("sig", "group", "s", "n", F.coalesce("k", "s").alias("k")), "clusters")
+    # of clusters that meet in a group, the leaders are compared. Jaccard's distance is a metric, so sets of two
+    # clusters can only be alike if their leaders are within a link and the ways to both leaders
+    way = mine.groupBy("k").agg(F.lit(1 - threshold).alias("way"))
+    cluster = member.select("sig", "group", "k").distinct().join(lead("k", "n"), "k").join(way, "k", "left")
+    one = lambda c: cluster.select("sig", "group", F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.coalesce("way", F.lit(0.0)).alias(f"way_{c}"))
+    met = one("a").join(one("b"), ["sig", "group"]).where("a > b")
+    leaders = likeness(met.select("a", "b", "na", "nb", F.greatest(F.lit(0.0), F.lit(threshold - 1e-9) - F.col("way_a") - F.col("way_b")).alias("least")))
+    sure = common.written(near.unionByName(leaders.where(F.col("j") >= threshold)).select("a", "b"), "sure")
+    joint = common.written(components(sure), "joint")
+    # where that leaves it open, and the clusters aren't one by others in between, the members meet
+    side = lambda k, s: member.select("sig", "group", F.col("k").alias(k), F.col("s").alias(s), F.col("n").alias(f"n{s}"))
+    rest = leaders.where(F.col("j") < threshold).select(F.col("a").alias("ka"), F.col("b").alias("kb"))
+    for k in ("ka", "kb"):
+        rest = rest.join(joint.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left")
+    rest = rest.where(F.coalesce("cka", "ka") != F.coalesce("ckb", "kb")).select("ka", "kb")
+    rest = rest.join(side("ka", "a"), "ka").join(side("kb", "b"), ["sig", "group", "kb"])
+    others = likeness(rest.select("a", "b", "na", "nb", F.lit(threshold).alias("least")))
+    # what is joint is a star by now
+    links = joint.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(others.select("a", "b"))
     found = common.written(components(links), "classes")
     named = sets.join(found, sets.s == found.node, "left").select("fingerprint", F.coalesce("component", "s").alias("c"), "least")
     named = common.written(named, "named")

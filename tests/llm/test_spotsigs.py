@@ -112,3 +112,19 @@ def test_near_duplicates_equal_brute_force(spark, sf_dir):
                 if SP.jaccard(sigs[i], sigs[j]) >= 0.8:
                     label[i] = label[j] = min(label[i], label[j])
     assert got == {r[0]: rows[label[i]][0] for i, r in enumerate(rows)}
+
+
+def test_links_grow_with_a_crowd_not_with_its_square(spark, monkeypatch):
+    """Texts that drift from one to another, many of each kind: one class, whoever leads a group."""
+    rng = random.Random(3)
+    unit = lambda: [rng.choice(["the", "of", "and"]), f"w{rng.randrange(10**6)}", f"w{rng.randrange(10**6)}"]
+    one, two, rows = [unit() for _ in range(60)], [unit() for _ in range(60)], []
+    for i in range(200):
+        units = two[: i // 10] + one[i // 10 :]
+        units[rng.randrange(30, 60)] = unit()
+        rows.append((i, " ".join(w for u in units for w in u), *[None] * 11))
+    made, write = [], SP.common.written
+    monkeypatch.setattr(SP.common, "written", lambda df, name, *a: made.append((name, write(df, name, *a))) or made[-1][1])
+    got = {r.doc_id: r.class_id for r in SP.near_duplicates(spark.createDataFrame(rows, corpus.SCHEMA)).collect()}
+    assert got == classes(rows) and len(set(got.values())) == 1
+    assert sum(df.count() for name, df in made if name == "alike") < 10 * len(rows)
