@@ -21,6 +21,8 @@ _R = "{" + RDF + "}"
 # the possessive loop over a literal's characters takes no stack, however long the literal is
 _SUBJECT = r"^\s*(?:<([^>]*)>|_:(\S+))"
 _LINE = _SUBJECT + r"\s+<([^>]*)>\s+(?:<([^>]*)>|_:([^\s.]+(?:\.[^\s.]+)*)|\"((?:[^\"\\]|\\.)*+)\"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$"
+_HEAD = r"^\s*(?:<[^>]*>|_:\S+)\s+<[^>]*>\s+"
+_QUOTED = r"^\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\""
 _QUAD = _LINE.replace(r")\s*\.\s*(?:#", r")\s*(?:<([^>]*)>|_:([^\s.]+(?:\.[^\s.]+)*))?\s*\.\s*(?:#")
 
 
@@ -34,7 +36,9 @@ def _numeric(c):
         real = (F.length(p) > n) & F.substring(p, F.lit(2), n).rlike("^[0-9A-Fa-f]+$")
         named = ~code.rlike("^0000[dD][89a-fA-F]") & code.rlike("^00(0[0-9A-Fa-f]|10)")
         text = F.when(named, F.decode(F.unhex(code), "UTF-32")).otherwise(F.lit("\ufffd"))
-        return F.when(real, F.concat(text, F.substring(p, n + 2, F.length(p)))).otherwise(F.concat(F.lit("\\"), p))
+        # most are four digits of a character by itself
+        four = F.concat(F.decode(F.unhex(F.substring(p, 2, 4)), "UTF-16BE"), F.substring(p, F.lit(6), F.length(p)))
+        return F.when(p.rlike("^u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}"), four).when(real, F.concat(text, F.substring(p, n + 2, F.length(p)))).otherwise(F.concat(F.lit("\\"), p))
 
     parts = F.transform(F.split(c, r"\\(?=[uU])"), lambda p, i: F.when(i == 0, p).otherwise(char(p)))
     return F.when(c.rlike(r"\\[uU]"), F.array_join(parts, "")).otherwise(c)
@@ -56,16 +60,21 @@ def read_ntriples(spark: SparkSession, path: str, graph: str | None = None, quad
     as before."""
     line = _QUAD if quads else _LINE
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    part = lambda i: F.regexp_extract("value", line, i)
+    # a literal is looked through once, the parts are taken from the line without it
+    cut = lines.withColumn("head", F.regexp_extract("value", _HEAD, 0))
+    cut = cut.withColumn("quoted", F.regexp_extract(F.substring("value", F.length("head") + 1, F.length("value")), _QUOTED, 0))
+    short = F.concat("head", F.lit('""'), F.substring("value", F.length("head") + F.length("quoted") + 1, F.length("value")))
+    cut = cut.withColumn("short", F.when((F.col("head") != "") & (F.col("quoted") != ""), short).otherwise(F.col("value")))
+    part = lambda i: F.regexp_extract("short", line, i)
     bad = F.raise_error(F.concat(F.lit("not a triple: "), F.col("value")))
-    read = lines.where(F.when(F.col("value").rlike(line), True).otherwise(bad.cast("boolean")))
-    s_iri, o_iri, o_bnode = part(1), part(4), part(5)
-    literal = (o_iri == "") & (o_bnode == "") & ~F.col("value").rlike(_SUBJECT + r"\s+<[^>]*>\s+<>")
+    o_iri, o_bnode = part(4), part(5)
+    literal = F.col("short").rlike(_HEAD + '"')
     some = lambda c: F.when(c != "", c)
-    s_is_iri = F.col("value").rlike(r"^\s*<")
-    out = read.select(
-        (F.coalesce(some(_numeric(part(9))), some(part(10)), F.lit(graph or path)) if quads else F.lit(graph or path)).alias("graph"), F.when(s_is_iri, _numeric(s_iri)).otherwise(part(2)).alias("s"), F.when(s_is_iri, "iri").otherwise("bnode").alias("s_kind"), _numeric(part(3)).alias("p"),
-        F.when(literal, _unescaped(part(6))).when(o_bnode != "", o_bnode).otherwise(_numeric(o_iri)).alias("o"),
+    s_is_iri = F.col("short").rlike(r"^\s*<")
+    out = cut.select(
+        (F.coalesce(some(_numeric(part(9))), some(part(10)), F.lit(graph or path)) if quads else F.lit(graph or path)).alias("graph"), F.when(s_is_iri, _numeric(part(1))).otherwise(part(2)).alias("s"),
+        F.when(~F.col("short").rlike(line), bad).when(s_is_iri, "iri").otherwise("bnode").alias("s_kind"), _numeric(part(3)).alias("p"),
+        F.when(literal, _unescaped(F.substring("quoted", F.lit(2), F.length("quoted") - 2))).when(o_bnode != "", o_bnode).otherwise(_numeric(o_iri)).alias("o"),
         F.when(literal, "literal").when(o_bnode != "", "bnode").otherwise("iri").alias("o_kind"), some(part(7)).alias("o_lang"), some(_numeric(part(8))).alias("o_dtype"),
     )
     return out.dropDuplicates()
