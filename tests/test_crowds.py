@@ -95,3 +95,40 @@ def test_equal_vectors_are_compared_once(spark, monkeypatch):
         assert {tuple(r) for r in V.top_k(s, t, k, 8, side).collect()} == there
         assert {tuple(r) for r in V.top_k_both(s, t, k, 8, side).collect()} == there | back
     assert seen and all(n <= len(kinds) and m <= len(kinds) for n, m in seen)
+
+
+def moved(df):
+    """Bytes that are shuffled while a frame is read whole."""
+    sc = df.sparkSession.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+
+    def written():
+        array = sc._gateway.new_array(sc._jvm.double, 0)
+        stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, array, sc._jvm.java.util.ArrayList()).iterator()
+        total = 0
+        while stages.hasNext():
+            total += stages.next().shuffleWriteBytes()
+        return total
+
+    before = written()
+    df.write.format("noop").mode("overwrite").save()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return written() - before
+
+
+def test_a_crowd_moves_in_proportion_to_its_entities(spark, monkeypatch):
+    monkeypatch.setattr(MA, "BLOCK", 4)
+    side = lambda c, n: labels(spark, [(f"{c}{i}", "red bolt") for i in range(n)])
+    few, many = (moved(MA.lexical(side("a", n), side("b", n))) for n in (700, 1400))
+    assert few < many < 3 * few
+
+
+def test_pairs_of_several_keys_come_once_from_any_cell(spark, monkeypatch):
+    monkeypatch.setattr(MA, "BLOCK", 4)
+    monkeypatch.setattr(MA, "WIDE", 8)
+    rng = random.Random(5)
+    names = ["red bolt", "old ring", "hot nut", "of the", "lone"]
+    a, b = ([(f"{c}{i}", x) for i in range(n) for x in rng.sample(names[:-1] if i else names, rng.choice([1, 1, 2, 3]))] for c, n in (("a", 90), ("b", 50)))
+    of = lambda rows: {u: {x for v, x in rows if v == u and x != "of the"} for u, _ in rows}
+    want = sorted((u, v) for u, x in of(a).items() for v, y in of(b).items() if x & y)
+    assert sorted((r.source, r.target) for r in MA.lexical(labels(spark, a), labels(spark, b)).collect()) == want
