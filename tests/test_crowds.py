@@ -132,3 +132,8 @@ def test_pairs_of_several_keys_come_once_from_any_cell(spark, monkeypatch):
     of = lambda rows: {u: {x for v, x in rows if v == u and x != "of the"} for u, _ in rows}
     want = sorted((u, v) for u, x in of(a).items() for v, y in of(b).items() if x & y)
     assert sorted((r.source, r.target) for r in MA.lexical(labels(spark, a), labels(spark, b)).collect()) == want
+
+
+def test_no_key_is_made_to_be_tested(spark):
+    text = plan(MA.lexical(labels(spark, [("a", "Red bolt"), ("b", "of the")]), labels(spark, [("c", "bolt red"), ("d", "")])))
+    assert "regexp_replace" in text and not [x for x in text.splitlines() if "Filter" in x and "regexp_replace" in x]
