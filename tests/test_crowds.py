@@ -137,3 +137,12 @@ def test_pairs_of_several_keys_come_once_from_any_cell(spark, monkeypatch):
 def test_no_key_is_made_to_be_tested(spark):
     text = plan(MA.lexical(labels(spark, [("a", "Red bolt"), ("b", "of the")]), labels(spark, [("c", "bolt red"), ("d", "")])))
     assert "regexp_replace" in text and not [x for x in text.splitlines() if "Filter" in x and "regexp_replace" in x]
+
+
+def test_candidates_make_the_keys_of_a_graph_once(spark, monkeypatch):
+    seen, old = [], MA._keyed
+    monkeypatch.setattr(MA, "_keyed", lambda *a: (seen.append(a), old(*a))[1])
+    triples = lambda c: [("g", f"{c}{i}", "iri", p, o, k, None, None) for i, n in enumerate(["red bolt", "old ring", "nut"]) for p, o, k in ((M.TYPE, M.OWL + "Class", "iri"), (M.LABEL, n, "literal"))]
+    s, t = (spark.createDataFrame(triples(c), M.TRIPLES) for c in "ab")
+    got = {(r.source, r.target): r.confidence for r in MA.CandidateMatcher(k=1).match(s, t).collect()}
+    assert len(seen) == 2 and [got[f"a{i}", f"b{i}"] for i in range(3)] == [1.0] * 3
